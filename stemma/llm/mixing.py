@@ -4,7 +4,7 @@ A source's documents are all due target / size copies on average. The whole part
 inclusion probability. The flight phase moves three documents' probabilities at a time along the null space of two
 constraints (the source's token total and document total), until one of them is 0 or 1. It runs in blocks of bounded
 size, each of which leaves at most two documents undecided; these meet in fewer blocks at the next level, until one
-block a source is left, where the landing drops the document constraint, then draws for the last document.
+block a source is left, whose landing tries all outcomes of its last dozen documents for the nearest token total.
 
 Null texts have size 0. A null source is a source of its own, the last in order. Repeated rows are drawn one by one.
 Draws depend on doc_id, source and size only, so reruns agree. Empty tables give empty results.
@@ -21,6 +21,8 @@ from stemma.llm.common import WORD, documents, saved
 
 #: Rows in a block of the flight phase.
 BLOCK = 1024
+#: Documents, the shortest, that the last block of a source keeps for the landing.
+LANDING = 10
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -47,7 +49,7 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool =
     p[p <= eps], p[p >= 1 - eps] = 0.0, 1.0
     draws, used = rng.random(3 * len(open_) + 8), 0
     window: list[int] = []
-    at = 0
+    at, end = 0, max(0, len(open_) - LANDING) if land else len(open_)
 
     def move(group: list[int], u: list[float]) -> None:
         nonlocal used
@@ -60,7 +62,7 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool =
             p[i] = 0.0 if q <= eps else 1.0 if q >= 1 - eps else q
 
     while True:
-        while len(window) < 3 and at < len(open_):
+        while len(window) < 3 and at < end:
             window.append(open_[at])
             at += 1
         if len(window) < 3:
@@ -69,13 +71,11 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool =
         u = [b - c, c - a, a - b]
         move(window, u if any(u) else [1.0, -1.0, 0.0])
         window = [i for i in window if 0 < p[i] < 1]
-    while land and window:
-        if len(window) == 2:
-            a, b = (float(size[i]) for i in window)
-            move(window, [b, -a] if a and b else [1.0, 0.0] if a else [0.0, 1.0])
-        else:
-            move(window, [1.0])
-        window = [i for i in window if 0 < p[i] < 1]
+    if land and (last := window + open_[at:]):
+        # all outcomes of the few open documents: the token total comes first, then the document total
+        outcomes = (np.arange(1 << len(last))[:, None] >> np.arange(len(last)) & 1).astype(float)
+        miss = np.abs((outcomes - p[last]) @ size[last].astype(float))
+        p[last] = outcomes[np.lexsort([np.abs((outcomes - p[last]).sum(1)), np.round(miss, 6)])[0]]
     return p
 
 
