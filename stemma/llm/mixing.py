@@ -21,7 +21,7 @@ from stemma.llm.common import WORD, documents, saved
 
 #: Rows in a block of the flight phase.
 BLOCK = 1024
-#: Documents, the shortest, that the last block of a source keeps for the landing.
+#: Documents, of all lengths, that the last block of a source keeps for the landing.
 LANDING = 10
 
 
@@ -49,7 +49,9 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool =
     p[p <= eps], p[p >= 1 - eps] = 0.0, 1.0
     draws, used = rng.random(3 * len(open_) + 8), 0
     window: list[int] = []
-    at, end = 0, max(0, len(open_) - LANDING) if land else len(open_)
+    held = [open_[i] for i in sorted({round(k * (len(open_) - 1) / (LANDING - 1)) for k in range(LANDING)})] if land and open_ else []
+    open_ = [i for i in open_ if i not in held]
+    at, end = 0, len(open_)
 
     def move(group: list[int], u: list[float]) -> None:
         nonlocal used
@@ -71,11 +73,12 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool =
         u = [b - c, c - a, a - b]
         move(window, u if any(u) else [1.0, -1.0, 0.0])
         window = [i for i in window if 0 < p[i] < 1]
-    if land and (last := window + open_[at:]):
-        # all outcomes of the few open documents: the token total comes first, then the document total
+    if land and (last := window + held):
+        # all outcomes of the few open documents: the token total to a thousandth, then the document total
         outcomes = (np.arange(1 << len(last))[:, None] >> np.arange(len(last)) & 1).astype(float)
         miss = np.abs((outcomes - p[last]) @ size[last].astype(float))
-        p[last] = outcomes[np.lexsort([np.abs((outcomes - p[last]).sum(1)), np.round(miss, 6)])[0]]
+        near = np.round(miss / max(1e-9, 0.001 * float(size.astype(float) @ p)))
+        p[last] = outcomes[np.lexsort([miss, np.abs((outcomes - p[last]).sum(1)), near])[0]]
     return p
 
 
