@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -97,3 +98,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         before = now
     pairs = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs, so that phases do not add up on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -124,5 +124,12 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them. Rows that share a doc_id are taken equally often."""
+    copies = mix(docs, weights, share, cap).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["_id"]))
+    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")

@@ -161,6 +161,17 @@ def score(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, limit=1 << 20):
+                yield batch.filter(pa.array(scores(net, *byte_view(batch.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
