@@ -93,9 +93,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The tables hold no canonical links or refreshes; where they do, tests compare the classes with brute force.
 OP10_SQL = r"""
 WITH u AS (
-  SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS at FROM pages
+  SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS place FROM pages
 ), r AS (
-  SELECT page_id, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM u
+  SELECT page_id, CASE WHEN place > 0 THEN substr(url, place + 3) ELSE '' END AS rest FROM u
 ), h AS (
   SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM r
 ), p AS (
