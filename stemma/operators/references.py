@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.text import extract_references, followed, is_code_query, strip
 from stemma.operators.outline import with_subtree_end
+from stemma.sources.scratch import written
 
 #: After a target, a strict head goes on with one of these.
 HEAD_ENDS = " ,-/()—"
@@ -136,11 +137,12 @@ def locate_trailing_code(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def resolve(rows: DataFrame, targets: DataFrame, part: str = "source_file") -> DataFrame:
     """(target, stage, pos) of all distinct targets; unresolved ones have the stage `none` or `ignored` and no pos.
 
-    `targets` and each stage's hits are used several times; callers with large tables may write them first.
+    Each stage's hits and what they leave over are written to the shared folder, so that no stage runs twice.
     """
     rest = targets.where(followed(F.col("target")))
     out = targets.where(~followed(F.col("target"))).select("target", F.lit("ignored").alias("stage"), F.lit(None).cast(rows.schema["pos"].dataType).alias("pos"))
     code = is_code_query("target")
+    rest = written(rest, "targets")
     left = lambda t, hits: t.join(hits.select("target").distinct(), "target", "left_anti")
     for stage, find, ready in (
         ("exact", locate_exact, F.lit(True)),
@@ -149,7 +151,7 @@ def resolve(rows: DataFrame, targets: DataFrame, part: str = "source_file") -> D
         ("ordered", locate_ordered, ~code),
         ("trailing_code", locate_trailing_code, ~code),
     ):
-        hits = find(rows, rest.where(ready))
+        hits = written(find(rows, rest.where(ready)), stage)
         out = out.unionByName(hits.select("target", F.lit(stage).alias("stage"), "pos"))
-        rest = left(rest, hits)
+        rest = written(left(rest, hits), "targets")
     return out.unionByName(rest.select("target", F.lit("none").alias("stage"), F.lit(None).cast(rows.schema["pos"].dataType).alias("pos")))

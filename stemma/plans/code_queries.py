@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from stemma.functions import text as T
 from stemma.operators import codes
 from stemma.plans.views import view, with_views
 from stemma.sources import batches
+from stemma.sources.scratch import scratch
 
 KEY = r"""CASE WHEN regexp_full_match(code_norm, '\d{1,2}(\.\d{1,2})?') THEN CAST(split_part(code_norm, '.', 1) AS INT) * 1000
  + CASE WHEN contains(code_norm, '.') THEN CAST(rpad(split_part(code_norm, '.', 2), 2, '0') AS INT) + 1 ELSE 0 END END"""
@@ -23,12 +21,6 @@ exact AS (SELECT code_norm, row_number() OVER (PARTITION BY code_norm ORDER BY p
 hits AS (SELECT code_norm, min(page) AS page, count(*) AS hits FROM exact WHERE rank <= 10 GROUP BY code_norm)"""
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder below the cluster's shared one; machine-local only where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
-
-
 def book_map(spark, d):
     return batches.code_pages(view(spark, d, "code_map"))
 
