@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm.common import byte_view, documents, slices
 from stemma.llm.gear import boundaries
+from stemma.llm.words import span_hashes, word_spans
 
-#: White space that Python's split() takes but that may not end a piece for the tokenizer.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 #: Punctuation that never joins a letter before it into one piece.
 _TAIL = ".,!?;:|*$%&#"
 
-_encoders: dict[tuple, WordEncoder] = {}
+_rng = np.random.Generator(np.random.PCG64(11))
+_HASHES = tuple((_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), b) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+
+_encoders: dict[str, WordEncoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -36,14 +39,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def words_of(text: str) -> list[str]:
-    return [w for w in _SPACE.split(text) if w] if _ODD_SPACE.search(text) else text.split()
+def _opened(chunk: str) -> tuple[str, str | None, str]:
+    """(word before the first white space, what lies between, word after the last); the middle is None if there is none."""
+    first = _SPACE.search(chunk)
+    if first is None:
+        return chunk, None, ""
+    end = max(chunk.rfind(c) for c in " \t\n\r\x0b\x0c")
+    return chunk[: first.start()], chunk[first.end() : end], chunk[end + 1 :]
+
+
+_IN_TAIL, _ALNUM, _LETTER = (np.isin(np.arange(256), list(c.encode())) for c in (_TAIL, string.ascii_letters + string.digits, string.ascii_letters))
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with ASCII words in lower case, first and last byte of each piece, and n + 1 offsets of texts into them."""
+    begin, last, at = word_spans(data, offsets)
+    if not len(begin):
+        return data, begin, last, at
+    core = last.copy()
+    while len(cut := np.flatnonzero(_IN_TAIL[data[core]] & (core > begin))):
+        core[cut] -= 1
+    core = np.where(_ALNUM[data[core]], core, last)
+    plain = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+    plain = plain[core + 1] == plain[begin]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[begin[plain]] += 1
+    edge[core[plain] + 1] -= 1
+    data = np.where(np.cumsum(edge[:-1]).astype(bool) & (data >= 65) & (data <= 90), data + np.uint8(32), data)
+    tail = core < last
+    order = np.cumsum(1 + tail) - (1 + tail)
+    n = len(begin) + int(tail.sum())
+    a, b = np.empty(n, np.int64), np.empty(n, np.int64)
+    a[order], b[order] = begin, core
+    a[order[tail] + 1], b[order[tail] + 1] = core[tail] + 1, last[tail]
+    return data, a, b, np.concatenate([order, [n]])[at]
 
 
 class WordEncoder:
-    """Ids of single words, each encoded once; the cache is emptied when it holds max_words."""
+    """Ids of single words, each encoded once; a cache is emptied when it is full."""
 
-    def __init__(self, path: str, max_words: int = 700_000, max_chunk_bytes: int = 32 << 20):
+    def __init__(self, path: str, max_pieces: int = 500_000, max_chunk_bytes: int = 16 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -56,7 +91,7 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if len(self.token) <= 1 << 16 else np.dtype("<u4")
         self.ends = np.array([t.endswith("</w>") for t in self.token])
         self.decimal = [str(i) for i in range(len(self.token))]
-        self.max_words, self.cores, self.words = max_words, {}, {}
+        self.max_pieces, self.cores = max_pieces, {}
         self.max_chunk_bytes, self.chunk_bytes, self.chunks = max_chunk_bytes, 0, {}
 
     def _each(self, words: list[str]) -> list[bytes]:
@@ -76,77 +111,70 @@ class WordEncoder:
             out += [raw[a * size : b * size] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]
         return out
 
-    def ensure(self, words) -> dict[str, bytes]:
-        """Encode the words that are not cached yet; returns the cache."""
-        if len(self.words) > self.max_words:
-            self.words, self.cores = {}, {}
-        cache, cores, plain, odd = self.words, self.cores, [], []
-        for w in set(words).difference(cache):
-            core = w.rstrip(_TAIL)
-            if core.isalpha():
-                plain.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
-            else:
-                odd.append(w)
-        letters = list({c for _, c, _ in plain}.difference(cores))
-        cores.update(zip(letters, self._letters(letters)))
-        rest = list({t for _, _, t in plain}.difference(cores))
-        cores.update(zip(rest, self._each(rest)))
-        for w, c, t in plain:
-            cache[w] = cores[c] + cores[t] if t else cores[c]
-        cache.update(zip(odd, self._each(odd)))
-        return cache
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts by cached words."""
-        split = [words_of(t) for t in texts]
-        cache = self.ensure([w for ws in split for w in ws])
-        return [b"".join(map(cache.__getitem__, ws)) for ws in split]
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of whole texts: each distinct piece is looked up once, the rest is array work.
+
+        Pieces are words, less the punctuation that ends them, and that punctuation. They are told apart by two
+        64-bit hashes.
+        """
+        data, begin, last, at = _pieces(data, offsets)
+        if not len(begin):
+            return [b""] * (len(offsets) - 1)
+        h, g = (span_hashes(t[data], begin, last, b) for t, b in _HASHES)
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if (g != g[first[which]]).any():  # equal hashes of different pieces: tell by both
+            _, first, which = np.unique(np.stack([h, g], 1), axis=0, return_index=True, return_inverse=True)
+            which = which.ravel()
+        raw = data.tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(begin[first].tolist(), (last[first] + 1).tolist())]
+        cache = self.cores
+        if len(cache) > self.max_pieces:
+            cache.clear()
+        new = [w for w in pieces if w not in cache]
+        letters = [w for w in new if w.isalpha()]
+        rest = [w for w in new if not w.isalpha()]
+        cache.update(zip(letters, self._letters(letters)))
+        cache.update(zip(rest, self._each(rest)))
+        found = [cache[w] for w in pieces]
+        flat = np.frombuffer(b"".join(found), self.kind)
+        n = np.array([len(x) for x in found]) // self.kind.itemsize
+        start = np.cumsum(n) - n
+        count = n[which]
+        end = np.cumsum(count)
+        ids = flat[np.repeat(start[which] - (end - count), count) + np.arange(end[-1])].tobytes()
+        cut = (np.concatenate([[0], end])[at] * self.kind.itemsize).tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
     def chunked(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts by cached chunks, with repaired joints."""
         cut = [self._cut(t) for t in texts]
         if self.chunk_bytes > self.max_chunk_bytes:
             self.chunks, self.chunk_bytes = {}, 0
-        new = {}
-        for c in {c for cs in cut for c in cs}.difference(self.chunks):
-            first, last = _SPACE.search(c), c[-1:] in " \t\n\r\x0b\x0c"
-            if first is None:
-                new[c] = (c, None, "")
-                continue
-            inner = c[first.end() :]
-            ws = words_of(inner)
-            tail = "" if last or not ws else ws.pop()
-            new[c] = (c[: first.start()], ws, tail)
-        cache = self.ensure([w for _, ws, _ in new.values() if ws for w in ws])
-        for c, (head, ws, tail) in new.items():
-            self.chunks[c] = (head, None if ws is None else b"".join(map(cache.__getitem__, ws)), tail)
-            self.chunk_bytes += 3 * len(c) + 200
-        plans, joints = [], []
+        new = list({c for cs in cut for c in cs}.difference(self.chunks))
+        parts = [_opened(c) for c in new]
+        self.chunk_bytes += sum(map(len, new)) * 4
+        words = {}  # of the joints
+        plans = []
+        known = dict(zip(new, parts))
         for cs in cut:
-            plan, open_word = [], ""
+            plan, word = [], ""
             for c in cs:
-                head, mid, tail = self.chunks[c]
-                open_word += head
+                head, mid, tail = known.get(c) or self.chunks[c]
+                word += head
                 if mid is None:
                     continue  # no white space: the word goes on
-                if open_word:
-                    joints.append(open_word)
-                plan.append((open_word, mid))
-                open_word = tail
-            if open_word:
-                joints.append(open_word)
-            plan.append((open_word, b""))
+                plan.append((word, c))
+                words[word] = b""
+                word = tail
+            plan.append((word, None))
+            words[word] = b""
             plans.append(plan)
-        cache = self.ensure(joints)
-        out = []
-        for plan in plans:
-            parts = []
-            for w, mid in plan:
-                if w:
-                    parts.append(cache[w])
-                parts.append(mid)
-            out.append(b"".join(parts))
-        return out
+        todo = [mid or "" for _, mid, _ in parts] + list(words)
+        ids = self.plain(*byte_view(pa.array(todo, pa.string())))
+        for c, (head, mid, tail), x in zip(new, parts, ids):
+            self.chunks[c] = (head, None if mid is None else x, tail)
+        words = dict(zip(words, ids[len(new) :]))
+        return [b"".join([words[w] + (self.chunks[c][1] if c is not None else b"") for w, c in plan]) for plan in plans]
 
     def _cut(self, text: str) -> list[str]:
         raw = text.encode()
@@ -164,9 +192,9 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """One for each worker process and tokenizer file, kept between tasks."""
-    if (path,) not in _encoders:
-        _encoders[(path,)] = WordEncoder(path)
-    return _encoders[(path,)]
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -176,7 +204,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for batch in slices(whole, text_column):
+            for batch in slices(whole, text_column, 2 << 20):
                 ids = enc.chunked([t or "" for t in batch.column(text_column).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_column), pa.array(ids, pa.binary()), pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64())],
@@ -195,7 +223,7 @@ def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         enc = encoder(path)
         decimal, sha = enc.decimal, hashlib.sha256
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=2 << 20):
                 n, a, b = [], [], []
                 for raw in enc.chunked([t or "" for t in batch.column("text").to_pylist()]):
                     ids = np.frombuffer(raw, enc.kind).tolist()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm.common import documents
+from stemma.llm.common import documents, range_block
 from stemma.llm.gear import boundaries
 
 LOW, MEAN, HIGH = 32, 48, 192
@@ -112,17 +112,7 @@ def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = [k / blocks for k in range(1, blocks)] or [0.5]
-    limits = docs.select(F.percentile_approx("doc_id", at, 10 * blocks)).first()[0] or []
-    limits = sorted(set(limits)) if blocks > 1 else []
-    # null ids are in block 0; a limit opens its block. Two steps of about sqrt(blocks) comparisons each
-    width = max(1, int(len(limits) ** 0.5))
-    coarse = F.array(*[F.lit(x) for x in limits[::width]]).cast("array<bigint>")
-    fine = F.array(*[F.lit(x) for x in limits]).cast("array<bigint>")
-    passed = F.size(F.filter(coarse, lambda x: x <= F.col("doc_id")))
-    within = F.slice(fine, (F.greatest(passed, F.lit(1)) - 1) * width + 1, width)
-    block = F.when(F.col("doc_id").isNull() | (passed == 0), 0).otherwise((passed - 1) * width + F.size(F.filter(within, lambda x: x <= F.col("doc_id"))))
-    block = (block if limits else F.lit(0)).cast("int")
+    block = range_block(docs, "doc_id", blocks)
     placed = docs.select(block.alias("block"), "doc_id", "text", F.lit(0).alias("tail"))
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id")
     firsts = docs.select(block.alias("block"), "doc_id").groupBy("block").agg(F.min(order)["doc_id"].alias("doc_id")).orderBy("block").collect()

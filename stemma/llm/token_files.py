@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.bpe import default_tokenizer, encoder
-from stemma.llm.common import documents, saved, slices
+from stemma.llm.common import byte_view, documents, range_block, saved, slices
 
 SEGMENT_IDS = 1 << 21
 HINT = 64
@@ -82,18 +82,18 @@ class EliasFano:
 
 
 def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """(doc_id, ids) with the end id appended."""
+    """(block, doc_id, ids) with the end id appended."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], enc.kind).tobytes()
         for whole in batches:
-            for batch in slices(whole):
-                ids = [x + end for x in enc.plain([t or "" for t in batch.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for batch in slices(whole, limit=2 << 20):
+                ids = [x + end for x in enc.plain(*byte_view(batch.column("text")))]
+                yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["block", "doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
+    return docs.select("block", "doc_id", "text").mapInArrow(run, "block int, doc_id bigint, ids binary")
 
 
 def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> DataFrame:
@@ -124,15 +124,16 @@ def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         if blobs:
             yield segment()
 
-    rows = token_rows(docs, tokenizer, end_id)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = token_rows(docs.withColumn("block", range_block(docs, "doc_id", n)), tokenizer, end_id)
+    ordered = rows.repartitionById(n, F.col("block")).sortWithinPartitions("block", "doc_id", "ids").select("doc_id", "ids")
     return saved(ordered.mapInArrow(run, SEGMENT), "segments")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 for each document, from the segment table alone."""
-    # one row for each range partition, however large the segments are
+    # one row for each range partition, however large the segments are: small enough to send to all
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("total"))
     from pyspark.sql import Window
 
@@ -153,7 +154,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
                 )
 
     columns = ["part", "first", "n_docs", "width", "doc_ids", "ids", "low_bits", "low", "high", "hints"]
-    return segments.select(*columns).join(base, "part").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return segments.select(*columns).join(F.broadcast(base), "part").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
