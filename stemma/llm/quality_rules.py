@@ -2,7 +2,7 @@
 
 Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the counts of vote patterns
 estimates each rule's accuracy and the share of good documents; a document's posterior probability of being good
-then decides, in place of "all rules must pass". There are at most 3^7 patterns, whatever the input's size, so the
+then decides, in place of "all rules must pass". There are at most 3^10 patterns, whatever the input's size, so the
 whole estimation runs inside one row.
 
 Null and empty texts have zero words, fail the base rules and are not kept. Repeated rows count each time.
@@ -10,6 +10,8 @@ Null and empty texts have zero words, fail the base rules and are not kept. Repe
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,58 +79,68 @@ def votes() -> list[Column]:
 
     mean = share("word_chars", "n_words")
     distinct = share("n_distinct_words", "n_words")
+    stops = share("n_stops", "n_words")
+    marks = (F.col("n_symbols") + F.col("n_bangs") + F.col("n_stops")) / F.greatest(F.col("word_chars"), F.lit(1))
     return [
         low_is_good(share("n_symbols", "n_words"), 0.05, 0.3),
+        low_is_good(share("n_symbols", "word_chars"), 0.01, 0.05),
+        low_is_good(marks, 0.06, 0.1),
         low_is_good(share("n_bangs", "n_words"), 0.05, 0.3),
         low_is_good(share("n_upper", "word_chars"), 0.1, 0.3),
         low_is_good(share("n_repeat_words", "n_words"), 0.1, 0.3),
         low_is_good(share("n_dup_lines", "n_lines"), 0.05, 0.3),
         F.when(F.col("n_words") < 50, 0).when(distinct < 0.1, -1).when(distinct > 0.2, 1).otherwise(0),
         F.when(F.col("n_words") == 0, 0).when((mean < 2) | (mean > 15), -1).when((mean > 3) & (mean < 9), 1).otherwise(0),
+        F.when(F.col("n_words") < 30, 0).when(stops < 0.01, -1).when(stops > 0.02, 1).otherwise(0),
     ]
 
 
-def estimate(voted: DataFrame, n_rules: int, rounds: int = 25) -> tuple[float, list[float]]:
-    """(share of good documents, accuracy of each rule) by expectation-maximisation over the vote patterns.
+#: First guess of the shares of votes (bad, abstain, good) for bad and for good documents, and the weight of each outcome's prior count.
+START_BAD, START_GOOD, PRIOR = (0.4, 0.2, 0.4), (0.02, 0.28, 0.7), 0.5
+
 
-    Accuracies start at 0.8 and stay within 0.55 and 0.99: a rule is taken to be better than chance.
+def estimate(voted: DataFrame, n_rules: int, rounds: int = 25) -> tuple[float, list[list[float]]]:
+    """(share of good documents, for each rule the log odds that its votes bad, abstain and good speak for good).
+
+    Expectation-maximisation over the vote patterns: a rule's accuracy is its shares of votes for good and for bad
+    documents, so a vote that good documents hardly ever get weighs more than one that most documents get.
     """
     patterns = voted.groupBy("v").agg(F.count("*").cast("double").alias("n"))
     gathered = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"))
-    logit = lambda x: F.log(x / (1 - x))
+    total = lambda ps, f: F.aggregate(ps, F.lit(0.0), lambda a, p: a + f(p))
 
     def step(s: Column, _: Column) -> Column:
         def posterior(p: Column) -> Column:
-            z = logit(s["good"]) + F.aggregate(F.zip_with(p["v"], s["acc"], lambda v, a: v * logit(a)), F.lit(0.0), lambda a, b: a + b)
+            z = F.log(s["good"] / (1 - s["good"])) + F.aggregate(F.zip_with(p["v"], s["odds"], lambda v, w: F.element_at(w, v + 2)), F.lit(0.0), lambda a, b: a + b)
             return F.struct(p["v"].alias("v"), p["n"].alias("n"), (1 / (1 + F.exp(-z))).alias("q"))
 
-        total = lambda ps, f: F.aggregate(ps, F.lit(0.0), lambda a, p: a + f(p))
-
         def renewed(ps: Column) -> Column:
-            good = (total(ps, lambda p: p["n"] * p["q"]) + 1) / (total(ps, lambda p: p["n"]) + 2)
-            rules = []
-            for j in range(n_rules):
-                right = total(ps, lambda p, j=j: F.when(p["v"][j] > 0, p["n"] * p["q"]).when(p["v"][j] < 0, p["n"] * (1 - p["q"])).otherwise(0.0))
-                cast_ = total(ps, lambda p, j=j: p["n"] * F.abs(p["v"][j]))
-                rules.append(F.least(F.lit(0.99), F.greatest(F.lit(0.55), (right + 4) / (cast_ + 5))))
-            return F.struct(F.least(F.lit(0.99), F.greatest(F.lit(0.01), good)).alias("good"), F.array(*rules).alias("acc"))
+            n_good, n_all = total(ps, lambda p: p["n"] * p["q"]), total(ps, lambda p: p["n"])
+
+            def odds(j: int, vote: int) -> Column:
+                mine = lambda p, x: F.when(p["v"][j] == vote, x).otherwise(0.0)
+                of_good, of_all = total(ps, lambda p: mine(p, p["n"] * p["q"])), total(ps, lambda p: mine(p, p["n"]))
+                return F.log((of_good + PRIOR) / (n_good + 3 * PRIOR)) - F.log((of_all - of_good + PRIOR) / (n_all - n_good + 3 * PRIOR))
+
+            good = F.least(F.lit(0.99), F.greatest(F.lit(0.01), (n_good + 1) / (n_all + 2)))
+            return F.struct(good.alias("good"), F.array(*[F.array(*[odds(j, v) for v in (-1, 0, 1)]) for j in range(n_rules)]).alias("odds"))
 
         return let(F.transform(F.col("p"), posterior), renewed)
 
-    start = F.struct(F.lit(0.8).cast("double").alias("good"), F.array_repeat(F.lit(0.8).cast("double"), n_rules).alias("acc"))
+    first = F.array(*[F.lit(log(g / b)) for g, b in zip(START_GOOD, START_BAD)])
+    start = F.struct(F.lit(0.8).cast("double").alias("good"), F.array_repeat(first, n_rules).alias("odds"))
     found = gathered.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("s")).first()["s"]
-    return found["good"], list(found["acc"])
+    return found["good"], [list(w) for w in found["odds"]]
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row for each row of docs: base figures, base_failed, posterior and kept."""
     rules = votes()
     voted = saved(features(docs).withColumn("v", F.array(*[r.cast("int") for r in rules])), "votes")
-    good, accuracy = estimate(voted, len(rules))
-    from math import log
-
-    logit = lambda x: log(x / (1 - x))
-    z = sum((F.col("v")[j] * logit(a) for j, a in enumerate(accuracy)), F.lit(logit(good)))
+    good, odds = estimate(voted, len(rules))
+    z = F.lit(log(good / (1 - good)))
+    for j, w in enumerate(odds):
+        z = z + F.element_at(F.array(*[F.lit(x) for x in w]), F.col("v")[j] + 2)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

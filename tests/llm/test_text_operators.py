@@ -55,20 +55,16 @@ def test_quality_rules_base(odd):
 def test_quality_rules_estimate_matches_plain_em(spark):
     patterns = [([1, 1, 0], 60), ([1, -1, 1], 10), ([-1, -1, 0], 15), ([0, 0, 0], 3), ([-1, 1, -1], 4)]
     voted = spark.createDataFrame([(v,) for v, n in patterns for _ in range(n)], "v array<int>")
-    good, acc = 0.8, [0.8] * 3
+    v, n = np.array([p[0] for p in patterns]), np.array([p[1] for p in patterns], float)
+    good, odds = 0.8, np.tile(np.log(np.array(quality_rules.START_GOOD) / np.array(quality_rules.START_BAD)), (3, 1))
     for _ in range(25):
-        q = []
-        for v, _n in patterns:
-            z = np.log(good / (1 - good)) + sum(x * np.log(a / (1 - a)) for x, a in zip(v, acc))
-            q.append(1 / (1 + np.exp(-z)))
-        good = (sum(n * p for (_, n), p in zip(patterns, q)) + 1) / (sum(n for _, n in patterns) + 2)
-        good = min(0.99, max(0.01, good))
-        acc = [
-            min(0.99, max(0.55, (sum(n * (p if v[j] > 0 else 1 - p) for (v, n), p in zip(patterns, q) if v[j]) + 4) / (sum(n * abs(v[j]) for v, n in patterns) + 5)))
-            for j in range(3)
-        ]
+        q = 1 / (1 + np.exp(-(np.log(good / (1 - good)) + odds[np.arange(3), v + 1].sum(1))))
+        of = lambda w: np.array([[(w * (v[:, j] == k)).sum() for k in (-1, 0, 1)] for j in range(3)])
+        a = quality_rules.PRIOR
+        odds = np.log((of(n * q) + a) / ((n * q).sum() + 3 * a)) - np.log((of(n * (1 - q)) + a) / ((n * (1 - q)).sum() + 3 * a))
+        good = min(0.99, max(0.01, ((n * q).sum() + 1) / (n.sum() + 2)))
     found = quality_rules.estimate(voted, 3)
-    assert np.allclose(found[0], good) and np.allclose(found[1], acc)
+    assert np.allclose(found[0], good) and np.allclose(found[1], odds)
 
 
 def test_bpe_agrees_with_the_library(odd, tok):
@@ -177,7 +173,9 @@ def test_terms_that_give_an_entity_away(make):
     texts[8] = prose(52, 20) + " Write Quillfeather now jo@example.org and the " + prose(53, 9)
     texts[9] = prose(54, 20) + " Nobody knows Quillfeather."
     got = rows(pii.report(make(texts)))
-    assert [i for i, r in got.items() if r["n_term"]] == [] or sorted(i for i, r in got.items() if r["n_term"]) == [3, 8]
+    assert sorted(i for i, r in got.items() if r["n_term"]) == [3, 8]
+    # a third document has the term without the entity: generalised only
+    assert "Ask Q., at [EMAIL], The" in rows(pii.sanitise(make(texts)))[3]["text"]
     texts[9] = texts[8][::-1]
     docs = make(texts)
     got = rows(pii.report(docs))
