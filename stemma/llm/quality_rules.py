@@ -95,8 +95,8 @@ def votes() -> list[Column]:
     ]
 
 
-#: First guess of the shares of votes (bad, abstain, good) for bad and for good documents, and the weight of each outcome's prior count.
-START_BAD, START_GOOD, PRIOR = (0.4, 0.2, 0.4), (0.02, 0.28, 0.7), 0.5
+#: First guess of the shares of votes (bad, abstain, good) for bad and for good documents; it counts as much as PRIOR documents of each class.
+START_BAD, START_GOOD, PRIOR = (0.4, 0.2, 0.4), (0.02, 0.28, 0.7), 10.0
 
 
 def estimate(voted: DataFrame, n_rules: int, rounds: int = 25) -> tuple[float, list[list[float]]]:
@@ -120,7 +120,7 @@ def estimate(voted: DataFrame, n_rules: int, rounds: int = 25) -> tuple[float, l
             def odds(j: int, vote: int) -> Column:
                 mine = lambda p, x: F.when(p["v"][j] == vote, x).otherwise(0.0)
                 of_good, of_all = total(ps, lambda p: mine(p, p["n"] * p["q"])), total(ps, lambda p: mine(p, p["n"]))
-                return F.log((of_good + PRIOR) / (n_good + 3 * PRIOR)) - F.log((of_all - of_good + PRIOR) / (n_all - n_good + 3 * PRIOR))
+                return F.log((of_good + PRIOR * START_GOOD[vote + 1]) / (n_good + PRIOR)) - F.log((of_all - of_good + PRIOR * START_BAD[vote + 1]) / (n_all - n_good + PRIOR))
 
             good = F.least(F.lit(0.99), F.greatest(F.lit(0.01), (n_good + 1) / (n_all + 2)))
             return F.struct(good.alias("good"), F.array(*[F.array(*[odds(j, v) for v in (-1, 0, 1)]) for j in range(n_rules)]).alias("odds"))

@@ -61,7 +61,8 @@ def test_quality_rules_estimate_matches_plain_em(spark):
         q = 1 / (1 + np.exp(-(np.log(good / (1 - good)) + odds[np.arange(3), v + 1].sum(1))))
         of = lambda w: np.array([[(w * (v[:, j] == k)).sum() for k in (-1, 0, 1)] for j in range(3)])
         a = quality_rules.PRIOR
-        odds = np.log((of(n * q) + a) / ((n * q).sum() + 3 * a)) - np.log((of(n * (1 - q)) + a) / ((n * (1 - q)).sum() + 3 * a))
+        g, b = a * np.array(quality_rules.START_GOOD), a * np.array(quality_rules.START_BAD)
+        odds = np.log((of(n * q) + g) / ((n * q).sum() + a)) - np.log((of(n * (1 - q)) + b) / ((n * (1 - q)).sum() + a))
         good = min(0.99, max(0.01, ((n * q).sum() + 1) / (n.sum() + 2)))
     found = quality_rules.estimate(voted, 3)
     assert np.allclose(found[0], good) and np.allclose(found[1], odds)
