@@ -23,12 +23,12 @@ KINDS = ("email", "ip", "card", "phone")
 #: only begin where the run before it does (or where the last match ended), and repeated groups never give back.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+",
+    "ip": r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A text without a match of this has none of the kind.
-HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 CONTEXT_CHARS, CONTEXT_WORDS = 100, 5
 GENERALISE, REMOVE = 0.8, 0.9
 
@@ -82,8 +82,7 @@ def base_spans(text: Column) -> Column:
     def of_kind(kind: str) -> Column:
         named = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
         spans = F.transform(F.filter(located(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"])), named)
-        hint = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike(PATTERNS[kind])
-        return F.when(hint, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
+        return F.when(text.contains(HINTS[kind]) & text.rlike(PATTERNS[kind]), spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
 
     parts = [of_kind(kind) for kind in KINDS]
     return F.concat(*parts)
@@ -106,12 +105,17 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.lower(F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(span["value"])))
 
 
-def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, spans with entity and context, for each row of docs(doc_id, text)."""
+def may_hold() -> Column:
+    """Whether a text matches any base pattern. Few do; only those go through the array expressions."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text"), base_spans(text).alias("s"))
+    found = [text.contains(HINTS[k]) & text.rlike(PATTERNS[k]) for k in KINDS]
+    return found[0] | found[1] | found[2] | found[3]
+
+
+def find_base(hits: DataFrame) -> DataFrame:
+    """doc_id, spans with entity and context, for each row of hits(doc_id, text)."""
     full = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _entity(s).alias("entity"), _context(F.col("text"), s).alias("context"))
-    return found.select("doc_id", F.when(F.size("s") > 0, F.transform("s", full)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,entity:string,context:array<string>>>")).alias("spans"))
+    return hits.select("doc_id", F.transform(base_spans(F.col("text")), full).alias("spans"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
@@ -161,30 +165,35 @@ def _listed(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, base_sha256, spans and n_term for each row of docs."""
-    base = saved(find_base(docs), "pii")
+    hits = saved(docs.where(may_hold()).select("doc_id", "text"), "pii-texts")
+    base = saved(find_base(hits), "pii")
     away = _given_away(docs, base)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    out = base.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("listed"))
+    listed = _listed(F.col("spans"))
+    out = base.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed, 256).alias("base_sha256"), listed.alias("listed"))
     if away is None:
-        return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.col("listed").alias("spans"), F.lit(0).cast("long").alias("n_term"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    more = docs.join(away, "doc_id").select("doc_id", _term_spans(text, F.col("terms")).alias("t"))
-    more = more.groupBy("doc_id").agg(F.max_by("t", F.size("t")).alias("t"))
-    both = out.join(more, "doc_id", "left")
-    listed = F.concat_ws(",", F.when(F.col("listed") != "", F.col("listed")), F.when(F.size("t") > 0, _listed(F.col("t"))))
-    return both.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", listed.alias("spans"), F.coalesce(F.greatest(F.size("t"), F.lit(0)), F.lit(0)).cast("long").alias("n_term"))
+        out = out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.col("listed").alias("spans"), F.lit(0).cast("long").alias("n_term"))
+    else:
+        more = hits.join(away, "doc_id").select("doc_id", _term_spans(F.col("text"), F.col("terms")).alias("t"))
+        more = more.groupBy("doc_id").agg(F.max_by("t", F.size("t")).alias("t"))
+        both = F.concat_ws(",", F.when(F.col("listed") != "", F.col("listed")), F.when(F.size("t") > 0, _listed(F.col("t"))))
+        n_term = F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0)).cast("long")
+        out = out.join(more, "doc_id", "left").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", both.alias("spans"), n_term.alias("n_term"))
+    zero = F.lit(0).cast("long")
+    rest = docs.where(~may_hold()).select("doc_id", *[zero.alias(f"n_{k}") for k in KINDS], F.sha2(F.lit("").cast("binary"), 256).alias("base_sha256"), F.lit("").alias("spans"), zero.alias("n_term"))
+    return out.unionByName(rest)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with base spans replaced by their kind ([EMAIL], ...) and disclosing terms removed or generalised; n_chars follows."""
-    base = saved(find_base(docs), "pii")
+    hits = saved(docs.where(may_hold()), "pii-texts")
+    base = saved(find_base(hits.select("doc_id", "text")), "pii")
     away = _given_away(docs, base)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    cut = "array<struct<start:int,end:int,by:string>>"
+    text, cut = F.col("text"), "array<struct<start:int,end:int,by:string>>"
     own = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
-    rows = docs
+    rows = hits
     if away is not None:
-        rows = docs.join(away.withColumnRenamed("terms", "_terms"), "doc_id", "left")
+        rows = hits.join(away.withColumnRenamed("terms", "_terms"), "doc_id", "left")
         by = lambda s: F.when(s["disclosure"] >= REMOVE, F.lit("[TERM]")).otherwise(F.concat(F.substring(text, s["start"] + 1, F.lit(1)), F.lit(".")))
         terms = F.transform(_term_spans(text, F.col("_terms")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
         own = F.concat(own, F.when(F.col("_terms").isNotNull(), terms).otherwise(F.array().cast(cut)))
@@ -199,11 +208,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
         return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
-    clean = let(own, lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(F.col("text")))
-    out = rows.withColumn("text", clean)
+    out = rows.withColumn("text", let(own, lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(docs.where(~may_hold()))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
