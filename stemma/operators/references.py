@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from stemma.functions.text import extract_references, followed, is_code_query, strip
 from stemma.operators.outline import with_subtree_end
+from stemma.operators.search import containing
 from stemma.sources.scratch import written
 
 #: After a target, a strict head goes on with one of these.
 HEAD_ENDS = " ,-/()—"
+#: Rows in a stretch of the outline, the unit in which subtrees are joined.
+STRETCH = 256
 
 
 def references(rows: DataFrame) -> DataFrame:
@@ -87,13 +90,16 @@ def locate_path(rows: DataFrame, targets: DataFrame, part: str = "source_file")
     paths = _paths(targets)
     both = lambda: F.concat_ws("\n", F.lower(strip("english")), F.lower(strip("chinese")))
     book = with_subtree_end(rows.select("pos", "level", part, both().alias("text")), part).select("pos", "ord", "end_ord", "text")
+    stretch = lambda c: F.floor(c / STRETCH)
     deepest = paths.agg(F.max(F.size("parts"))).first()[0] or 0
     at = _heads(rows, paths).join(paths, "target").select("target", "parts", F.col("pos").alias("head"), F.col("pos").alias("at"))
     for k in range(1, deepest):
         done = at.where(F.size("parts") <= k)
         here = at.where(F.size("parts") > k).join(book.withColumnRenamed("pos", "at"), "at").withColumn("part", F.col("parts")[k])
-        below = book.select(F.col("pos").alias("next"), F.col("ord").alias("o"), F.col("text").alias("t"))
-        found = here.join(below, (F.col("o") > F.col("ord")) & (F.col("o") < F.col("end_ord")) & F.contains(F.col("t"), F.col("part")))
+        # a subtree is a range of ordinals: the stretches of rows it covers meet in an equality join
+        below = book.select(F.col("pos").alias("next"), F.col("ord").alias("o"), F.col("text").alias("t"), stretch(F.col("ord")).alias("stretch"))
+        spread = here.where("end_ord > ord + 1").withColumn("stretch", F.explode(F.sequence(stretch(F.col("ord") + 1), stretch(F.col("end_ord") - 1))))
+        found = spread.join(below, "stretch").where((F.col("o") > F.col("ord")) & (F.col("o") < F.col("end_ord")) & F.contains(F.col("t"), F.col("part")))
         first = found.groupBy("target", "head").agg(F.min("next").alias("next"))
         moved = here.join(first, ["target", "head"], "left")
         goal = F.coalesce("next", F.when(F.contains(F.col("text"), F.col("part")), F.col("at")))
@@ -105,8 +111,10 @@ def locate_ordered(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, pos): the best-scored row that holds all parts from left to right; ties go to the first row."""
     paths = _paths(targets)
     text = F.concat_ws(" / ", *[F.when(c != "", c) for c in (F.lower(strip("english")), F.lower(strip("chinese")))])
-    titles = rows.select("pos", text.alias("title"))
-    pairs = titles.join(paths, F.contains(F.col("title"), F.col("parts")[0]) & F.contains(F.col("title"), F.element_at("parts", -1)))
+    titles = rows.select("pos", text.alias("_text"))
+    longest = F.array_max(F.transform("parts", lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    pairs = containing(titles, paths.withColumn("_needle", longest)).withColumnRenamed("_text", "title")
+    pairs = pairs.where(F.forall("parts", lambda p: F.contains(F.col("title"), p)))
     find = lambda p, a: F.call_function("locate", p, F.col("title"), a)
     start = F.struct(F.lit(1).alias("next"), F.lit(0).alias("at"))
 

@@ -66,11 +66,32 @@ def text_match(text: Column, q: Column, mode: Column) -> Column:
     return F.when(mode == "any", F.exists(tokens, lambda t: F.contains(text, t))).otherwise(F.contains(text, q))
 
 
+def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """texts(_text, ...) joined with needles(_needle, ...) that they contain.
+
+    A few needles are sent to all executors. Beyond SENT_QUERIES each needle is looked up by the rarest of its
+    three-character pieces: an equality join, whose candidates are then tested. Needles of one or two characters have
+    no such piece; they are joined as they are.
+    """
+    if needles.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES:
+        return texts.join(F.broadcast(needles), F.contains("_text", "_needle"))
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.call_function("substring", F.col(c), i, F.lit(3))))
+    each = texts.where(F.length("_text") >= 3).withColumn("_piece", F.explode(pieces("_text")))
+    asked = needles.select("_needle").distinct().where(F.length("_needle") >= 3).withColumn("_piece", F.explode(pieces("_needle")))
+    known = asked.join(each.groupBy("_piece").agg(F.count("*").alias("_n")), "_piece", "left")
+    rarest = known.groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece")).alias("_r")).select("_needle", "_r._piece")
+    found = each.join(rarest.join(needles, "_needle"), "_piece").where(F.contains("_text", "_needle")).drop("_piece")
+    short = texts.join(needles.where(F.length("_needle") < 3), F.contains("_text", "_needle"))
+    return found.unionByName(short)
+
+
 def search_texts(rows: DataFrame, queries: DataFrame, fields=FIELDS) -> DataFrame:
     """(query_id, pos) for text queries over the chosen fields."""
-    wanted = _sent(cleaned(queries).where("not is_code").select("query_id", "q", "mode"))
+    wanted = cleaned(queries).where("not is_code")
+    tokens = F.filter(F.split("q", r"(?U)\s+"), lambda t: t != "")
+    needles = wanted.select("query_id", F.explode(F.when(F.col("mode") == "any", F.array_distinct(tokens)).otherwise(F.array("q"))).alias("_needle"))
     texts = rows.select("pos", search_text(fields).alias("_text")).where("_text <> ''")
-    return texts.join(wanted, text_match(F.col("_text"), F.col("q"), F.col("mode"))).select("query_id", "pos")
+    return containing(texts, needles).select("query_id", "pos").distinct()
 
 
 def search(rows: DataFrame, queries: DataFrame, fields=FIELDS) -> DataFrame:
