@@ -30,7 +30,7 @@ _TAIL = ".,!?;:|*$%&#"
 _rng = np.random.Generator(np.random.PCG64(11))
 _HASHES = tuple((_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), b) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -190,11 +190,12 @@ class WordEncoder:
         return " ".join([token[i] for i in ids])
 
 
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process and tokenizer file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, max_pieces: int = 500_000) -> WordEncoder:
+    """One for each worker process, tokenizer file and cache size, kept between tasks."""
+    key = (path, max_pieces)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(path, max_pieces)
+    return _encoders[key]
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from stemma.llm.common import byte_view, documents, release, saved, slices
 
 LENGTH, GRAM = 100, 32
 GROUP = 2048
-RUN_ANCHORS = 1_000_000
+RUN_ANCHORS = 400_000
 G, G_MANY, C, M, FIRST, SUFFIXES, STRING = range(7)
 #: key and e: two digests; p: start << 32 | number of starts (marks), or start << 32 | offset of the anchor << 16 | starts.
 ROW = "kind tinyint, key bigint, e bigint, doc bigint, p bigint"
@@ -54,7 +54,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def _powers_of(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 21)
         up = np.full(size, _BASES[which], np.uint64)
         down = np.full(size, pow(_BASES[which], -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1

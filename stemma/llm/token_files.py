@@ -30,6 +30,8 @@ from stemma.llm.bpe import default_tokenizer, encoder
 from stemma.llm.common import byte_view, documents, range_block, saved, slices
 
 SEGMENT_IDS = 1 << 21
+#: Pieces of words whose ids a worker keeps.
+CACHED_PIECES = 1_000_000
 HINT = 64
 NO_ID = -(1 << 63)
 SEGMENT = "part int, seq int, first bigint, n_docs int, n_ids bigint, width int, doc_ids binary, ids binary, low_bits int, low binary, high binary, hints binary"
@@ -86,10 +88,10 @@ def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, CACHED_PIECES)
         end = np.array([end_id], enc.kind).tobytes()
         for whole in batches:
-            for batch in slices(whole, limit=2 << 20):
+            for batch in slices(whole, limit=4 << 20):
                 ids = [x + end for x in enc.plain(*byte_view(batch.column("text")))]
                 yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["block", "doc_id", "ids"])
 
@@ -103,7 +105,7 @@ def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, width = TaskContext.get().partitionId(), encoder(path).kind.itemsize
+        part, width = TaskContext.get().partitionId(), encoder(path, CACHED_PIECES).kind.itemsize
         names, blobs, held, first, seq = [], [], 0, 0, 0
 
         def segment():
