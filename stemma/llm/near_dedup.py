@@ -6,10 +6,14 @@ for two sets with about their Jaccard similarity. Bands of ROWS registers find c
 all registers and both cardinalities drops the hopeless ones; the rest is confirmed on full sets.
 
 Equal sets are first folded into one representative. In each band's bucket all members are compared with a leader, the
-one that meets most others, so no group of copies is expanded into its pairs. Members that end up in another component
-are dealt out again among themselves, STARS times in all; and members of one leader's families whose differences from
-it overlap enough for a link (exact, see `_family_links`) are linked too. A pair at similarity
-0.85 shares none of 32 bands of 4 with probability 6e-11; at 0.8 with 5e-8.
+one that meets most others, so no group of copies is expanded into its pairs. Members that reach the estimate's floor
+are its family; all links between members of one family are found from their differences from the leader
+(`_family_links`). The floor is so low that by the triangle inequality of the Jaccard distance a member under it has no
+link to a member linked with the leader. So leaders and what is linked with one retire, and the others of the bucket go
+on to further rounds, each with four times as many leaders, until all of them are in one leader's family or component.
+
+What can be lost: a pair at similarity 0.85 shares none of 32 bands of 4 with probability 6e-11; at 0.8 with 5e-8. An
+estimate is too low by SLACK or LEADER_SLACK for about one pair in 1e9.
 
 Null and empty texts have an empty set and are linked with nothing. Texts of fewer words than a shingle have their
 whole sequence as one. Repeated rows are copies of each other; rows that share a doc_id are one node of the graph.
@@ -33,8 +37,12 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.02, 20.0, 2000
 #: Candidates whose estimate is below the threshold by more than this are dropped (six standard errors).
 SLACK = 0.2
-#: Rounds of choosing leaders in buckets.
-STARS = 2
+#: As SLACK, for families: the standard error is greater at 2 * threshold - 1, where they end.
+LEADER_SLACK = 0.25
+#: Leaders of a bucket in the second round for each one in the first, and so on.
+LEADERS = 4
+#: Up to so many ids of wanted sets are sent to all executors.
+SENT_IDS = 50_000
 
 _rng = np.random.Generator(np.random.PCG64(97))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,29 +195,35 @@ def _elements(families: DataFrame) -> DataFrame:
                 at = pa.array(np.repeat(np.arange(len(d)), n))
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(np.concatenate(d))], names=["a", "b", "h"])
 
-    return families.select("a", "b", "d").mapInArrow(run, "a string, b bigint, h bigint")
+    return families.select("a", "b", "d").mapInArrow(run, "a bigint, b bigint, h bigint")
+
 
+def _either_way(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """pairs with what `tested` says of them as (least, greatest); null where it says nothing."""
+    t = tested.withColumnRenamed("a", "_x").withColumnRenamed("b", "_y")
+    return pairs.withColumn("_x", F.least("a", "b")).withColumn("_y", F.greatest("a", "b")).join(t, ["_x", "_y"], "left")
 
-def _family_links(tested: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all links between members that were compared with the same leader and are not in one component yet.
+
+def _family_links(families: DataFrame, tested: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and pairs (a, b) to be tested: with them, all links between members of one family (a: leader, b).
 
     A family's centre holds what most of its members hold. With D(x) the difference of x and the centre, x and y
     differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| elements, and are linked if (1 - p) (|x| + |y|) is at least (1 + p)
     times that. So x has a slack (1 - p) |x| - (1 + p) |D(x)|; two members whose slacks sum to zero or more are linked
-    whatever they share, and if any member's slack does for x, the largest does. Everything else needs a shared
-    element of the differences, which are edits that most members lack: counting those decides without the sets.
-    Two members that are both apart from the leader meet again in the next round, and are left to that.
+    whatever they share, and if any member's slack does for x, the largest does. Everything else needs shared elements
+    of the differences, for x at least as many as it would need beside the largest slack. Of elements that lie in
+    different components the rarest are joined, one more than x can do without: no link has all its shared ones behind.
     """
     comp = lambda f, x: f.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    rows = tested.join(comp(found, "a"), "a", "left").join(comp(found, "b"), "b", "left").withColumn("out", F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-    # a family is a leader in one round
-    rows = rows.withColumn("lead", F.col("a")).withColumn("a", F.concat_ws("/", F.col("a").cast("string"), F.col("round").cast("string"))).withColumn("again", F.col("out") & (F.col("round") < STARS - 1))
-    some = rows.groupBy("a").agg((F.count("*") + 1).alias("n"), F.max("out").alias("any_out"), F.max("n_a").alias("n_a"), F.max("lead").alias("lead")).where("any_out and n > 2")
-    some = saved(some.select("a", "n", "n_a", "lead"), "families")
+    rows = _either_way(families, tested).where("linked is not null")
+    size = lambda x: F.when(F.col(x) == F.col("_x"), F.col("n_a")).otherwise(F.col("n_b"))
+    rows = rows.select("a", "b", "d", size("a").alias("size_a"), size("b").alias("size_b"))
+    rows = rows.join(comp(found, "a"), "a", "left").join(comp(found, "b"), "b", "left").withColumn("out", F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+    some = rows.groupBy("a").agg((F.count("*") + 1).alias("n"), F.max("out").alias("any_out"), F.max("size_a").alias("size")).where("any_out and n > 2")
+    some = saved(some.select("a", "n", "size"), "families")
     inside = rows.join(some.select("a"), "a", "left_semi")
     each = saved(_elements(inside), "differences")
-    leads = some.select("a", F.col("lead").alias("b"), F.col("n_a").alias("size"), F.lit(False).alias("again"))
-    members = saved(inside.select("a", "b", F.col("n_b").alias("size"), "again").unionByName(leads), "members")
+    members = saved(inside.select("a", "b", F.col("size_b").alias("size")).unionByName(some.select("a", F.col("a").alias("b"), "size")), "members")
     usual = each.groupBy("a", "h").agg(F.count("*").alias("holders")).join(some.select("a", "n"), "a").where("2 * holders > n").select("a", "h")
     usual = saved(usual, "usual")
     lacking = members.select("a", "b").join(usual, "a").join(each, ["a", "b", "h"], "left_anti")
@@ -222,14 +236,18 @@ def _family_links(tested: DataFrame, found: DataFrame, percent: int) -> DataFram
     sure = placed.where("b <> top and slack + most >= 0").select(F.col("top").alias("a"), "b")
     links = saved(tested.where("linked").select("a", "b").unionByName(sure), "links")
     found = connected_components(links)
-    now = placed.join(comp(found, "b"), "b", "left").join(comp(found, "top"), "top", "left").select("a", "b", "size", "far", "again", F.coalesce("c_b", "b").alias("c"), (F.coalesce("c_b", "b") != F.coalesce("c_top", "top")).alias("out"))
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("most")) / (2 * (100 + percent))))
+    now = placed.join(comp(found, "b"), "b", "left").join(comp(found, "top"), "top", "left").select("a", "b", need.alias("need"), F.coalesce("c_b", "b").alias("c"), (F.coalesce("c_b", "b") != F.coalesce("c_top", "top")).alias("out"))
     held = centred.join(now, ["a", "b"])
-    shared = held.groupBy("a", "h").agg(F.max("out").alias("any_out"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("any_out and c1 <> c2").select("a", "h")
+    shared = held.groupBy("a", "h").agg(F.count("*").alias("holders"), F.max("out").alias("any_out"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("any_out and c1 <> c2").select("a", "h", "holders")
     held = saved(held.join(shared, ["a", "h"]), "held")
-    other = held.select("a", "h", *[F.col(c).alias(f"{c}_m") for c in ("b", "size", "far", "again", "c")])
-    met = held.where("out").join(other, ["a", "h"]).where("c <> c_m and not (again and again_m)").groupBy("a", "b", "b_m", "size", "size_m", "far", "far_m").agg(F.count("*").alias("common"))
-    more = met.where((100 - percent) * (F.col("size") + F.col("size_m")) >= (100 + percent) * (F.col("far") + F.col("far_m") - 2 * F.col("common")))
-    return sure.unionByName(more.select(F.col("b").alias("a"), F.col("b_m").alias("b"))).distinct()
+    rare = Window.partitionBy("a", "b").orderBy("holders", "h")
+    spare = held.groupBy("a", "b").agg((F.count("*") - F.max("need") + 1).alias("spare"))
+    held = held.withColumn("at", F.row_number().over(rare)).join(spare, ["a", "b"]).where("at <= spare").select("a", "b", "h", "c", "out")
+    held = saved(held, "rarest")
+    other = held.select("a", "h", F.col("b").alias("b_m"), F.col("c").alias("c_m"))
+    met = held.where("out").join(other, ["a", "h"]).where("c <> c_m").select(F.least("b", "b_m").alias("a"), F.greatest("b", "b_m").alias("b")).distinct()
+    return sure.distinct(), met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
@@ -241,8 +259,9 @@ def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                 items = [s.tobytes() for s in shingle_sets(*byte_view(batch.column("text")), width)]
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(items, pa.binary())], names=["rep", "items"])
 
-    # the wanted ids have no bound that would let them be sent to all executors
-    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps.select("rep").hint("merge"), "rep")
+    ids = reps.select("rep")
+    ids = F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids.hint("merge")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep")
     return wanted.mapInArrow(run, "rep bigint, items binary")
 
 
@@ -256,38 +275,52 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sizes = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     active = saved(bands.join(sizes, "band").select("band", "rep", "members"), "buckets")
     release(spark)
-    tested = items = found = None
-    for k in range(STARS):
-        # the member that meets most others leads a bucket
+    nearness = percent / 100
+    families = tested = items = found = None
+    k = 0
+    while not active.isEmpty():
+        # the member that meets most others leads a bucket; later, of each of some parts
         weight = active.groupBy("rep").agg(F.sum("members").alias("weight"))
-        weighed = active.join(weight, "rep")
-        leaders = weighed.groupBy("band").agg(F.max(F.struct("weight", -F.col("rep"))).alias("top")).select("band", (-F.col("top.col2")).alias("leader"))
-        led = saved(active.join(leaders, "band"), "led")
-        star = led.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        part = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(LEADERS ** min(k, 15)))
+        weighed = active.join(weight, "rep").groupBy("band", part.alias("part"))
+        leaders = saved(weighed.agg(F.max(F.struct("weight", -F.col("rep"))).alias("top")).select("band", (-F.col("top.col2")).alias("leader")), "leaders")
+        led = saved(active.join(leaders, "band").where("rep <> leader").select("band", F.col("leader").alias("a"), F.col("rep").alias("b"), "members"), "led")
+        star = led.select("a", "b").distinct()
+        pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
-            star = star.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        star = saved(_hopeful(star, reps, percent / 100 - SLACK), "hopeful")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = saved(_hopeful(pairs, reps, 2 * nearness - 1 - LEADER_SLACK), "hopeful")
         release(spark)
-        if star.isEmpty():
-            break
-        needed = star.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         if items is not None:
             needed = needed.join(items.select("rep"), "rep", "left_anti")
-        more = saved(_sets(docs, needed, width), "items")
+        more = saved(_sets(docs, saved(needed, "needed"), width), "items")
         items = more if items is None else items.unionByName(more)
         release(spark)
-        more = saved(_tested(star, items, percent).withColumn("round", F.lit(k)), "tested")
+        more = saved(_tested(pairs, items, percent), "tested")
         tested = more if tested is None else tested.unionByName(more)
+        families = star if families is None else families.unionByName(star)
         release(spark)
-        found = connected_components(tested.where("linked"))
-        comp = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-        apart = F.coalesce("c_rep", "rep") != F.coalesce("c_leader", "leader")
-        left = led.where("members > 2").join(comp("rep"), "rep", "left").join(comp("leader"), "leader", "left").where(apart).select("band", "rep")
-        sizes = left.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-        active = saved(left.join(sizes, "band"), "buckets")
+        if found is None:
+            found = connected_components(tested.where("linked"))
+        # who is neither a leader nor linked with one goes on, unless one leader's family or one component has all of them
+        met = _either_way(led.where("members > 2"), tested.select("a", "b", "linked")).select("band", "a", "b", "linked")
+        met = saved(met.join(leaders.select("band", F.col("leader").alias("b")), ["band", "b"], "left_anti"), "met")
+        rest = met.groupBy("band", "b").agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked")).where("not linked").select("band", "b")
+        rest = rest.join(found.select(F.col("node").alias("b"), "component"), "b", "left").select("band", "b", F.coalesce("component", "b").alias("c"))
+        rest = saved(rest, "rest")
+        whole = met.join(rest, ["band", "b"]).groupBy("band", "a").agg(F.count("*").alias("members"), F.count("linked").alias("inside"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+        opened = whole.groupBy("band").agg(F.max("members").alias("members"), F.max(F.col("inside") == F.col("members")).alias("covered"), F.min("c1").alias("c1"), F.max("c2").alias("c2"))
+        active = saved(rest.join(opened.where("not covered and c1 <> c2").select("band", "members"), "band").select("band", F.col("b").alias("rep"), "members"), "buckets")
         release(spark)
+        k += 1
     if tested is not None:
-        extra = saved(_family_links(tested, found, percent), "links")
+        if k > 1:
+            found = connected_components(tested.where("linked"))
+        sure, unsure = _family_links(saved(families.distinct(), "stars"), tested, found, percent)
+        release(spark)
+        unsure = saved(_hopeful(unsure, reps, nearness - SLACK), "hopeful")
+        extra = saved(sure.unionByName(_tested(unsure, items, percent).where("linked").select("a", "b")), "links")
         release(spark)
         if not extra.isEmpty():
             found = connected_components(tested.where("linked").select("a", "b").unionByName(extra))

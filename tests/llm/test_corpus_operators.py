@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stemma.llm import mixing, near_dedup, quality_classifier, substring_dedup, url_filter
 from stemma.llm.common import connected_components
@@ -104,6 +105,29 @@ def test_near_dedup(make, width, percent):
     assert all(got[i]["kept"] == (comp[i] == i) for i in range(len(texts)))
 
 
+def shared_boilerplate():
+    """Eight templates with three quarters of their words in common: similar at 0.5 to 0.65, and two near copies of each."""
+    r, common = random.Random(21), prose(600, 150).split()
+    texts = []
+    for f in range(8):
+        words = common + [f"own{f}x{i}" for i in range(45)]
+        for _ in range(3):
+            w = list(words)
+            for _ in range(3):
+                w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    return texts + [prose(700 + i, 80) for i in range(6)]
+
+
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_near_dedup_compares_all_of_a_bucket(make, width, percent, monkeypatch):
+    """One bucket holds all documents: every link shows only there."""
+    monkeypatch.setattr(near_dedup, "banded", lambda reps: reps.select(F.lit(1).cast("long").alias("band"), "rep", "n"))
+    for texts in (shared_boilerplate(), families()):
+        got = rows(near_dedup.components(make(texts), width, percent))
+        assert [got[i]["component_id"] for i in range(len(texts))] == brute_components(texts, width, percent)[1]
+
+
 def test_one_of_each(make, spark):
     texts = families()
     docs = make(texts)
