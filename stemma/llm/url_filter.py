@@ -4,6 +4,8 @@ Rules give block or allow by host and path prefix. Pages that no rule fits take
 class: connected components over redirect (meta refresh) and canonical-link edges. An explicit allow in a class goes
 before any block in it; a class without rules allows.
 
+Pages are told apart by their url without scheme and fragment, query string included; rules look at host and path only.
+
 Null urls and urls without `://` have an empty host and path, no rule, and are allowed. Null html has no edges.
 Repeated urls share their class; other columns of the input are left alone.
 """
@@ -27,6 +29,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """The query string with its `?`, empty if there is none."""
+    return F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
+
+
+def key_of(url: Column) -> Column:
+    """What tells pages apart: host, path and query string."""
+    return F.concat(host_of(url), path_of(url), query_of(url))
+
+
 def judged(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; null where none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -46,42 +58,43 @@ def _links(html: Column) -> Column:
     return F.filter(F.concat(canonical, refresh), lambda t: t != "")
 
 
-def _absolute(link: Column, scheme: Column, host: Column, path: Column) -> Column:
+def _absolute(link: Column, scheme: Column, host: Column, path: Column, query: Column) -> Column:
     base = F.concat(scheme, F.lit("://"), host)
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(base, link))
+        .when(link.startswith("?"), F.concat(base, path, link))
+        .when(link.startswith("#"), F.concat(base, path, query, link))
         .otherwise(F.concat(base, F.regexp_replace(F.concat(F.lit("/"), path), r"^/+([\s\S]*/)?[^/]*$", "/$1"), link))
     )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): the page's host and path, and those of the page it names as canonical or redirects to."""
+    """(a, b): the page's key, and that of the page it names as canonical or redirects to."""
     hinted = pages.where("url is not null and html is not null").where(F.col("html").rlike(r"(?i)canonical|refresh"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    links = hinted.select(host.alias("host"), path.alias("path"), F.regexp_extract("url", r"^([\s\S]*?)://", 1).alias("scheme"), F.explode(_links(F.col("html"))).alias("link"))
-    to = links.where("scheme <> ''").select(F.concat("host", "path").alias("a"), _absolute(F.col("link"), F.col("scheme"), F.col("host"), F.col("path")).alias("to"))
-    return to.select("a", F.concat(host_of(F.col("to")), path_of(F.col("to"))).alias("b")).where("a <> '' and b <> '' and a <> b")
+    links = hinted.select(host.alias("host"), path.alias("path"), query_of(F.col("url")).alias("query"), F.regexp_extract("url", r"^([\s\S]*?)://", 1).alias("scheme"), F.explode(_links(F.col("html"))).alias("link"))
+    to = links.where("scheme <> ''").select(F.concat("host", "path", "query").alias("a"), _absolute(F.col("link"), F.col("scheme"), F.col("host"), F.col("path"), F.col("query")).alias("to"))
+    return to.select("a", key_of(F.col("to")).alias("b")).where("a <> '' and b <> '' and a <> b")
 
 
 def judge_pages(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages(page_id, url, html)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    out = pages.select("page_id", host.alias("host"), path.alias("path"))
+    out = pages.select("page_id", host.alias("host"), path.alias("path"), key_of(F.col("url")).alias("key"))
     rule, verdict = judged(F.col("host"), F.col("path"), rules)
-    out = out.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
+    out = out.select("page_id", "host", "path", "key", rule.alias("rule"), verdict.alias("by_rule"))
     edges = saved(alias_edges(pages).distinct(), "aliases")
     if edges.isEmpty():
         return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"))
     nodes = connected_components(edges)
-    split = nodes.select("component", "node", F.regexp_extract("node", r"^[^/]*", 0).alias("h"), F.regexp_extract("node", r"^[^/]*([\s\S]*)$", 1).alias("p"))
+    split = nodes.select("component", "node", F.regexp_extract("node", r"^[^/?]*", 0).alias("h"), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1).alias("p"))
     known = split.select("component", "node", judged(F.col("h"), F.col("p"), rules)[1].alias("v"))
     classes = known.groupBy("component").agg(F.max(F.coalesce(F.col("v") == "allow", F.lit(False))).alias("allows"), F.max(F.coalesce(F.col("v") == "block", F.lit(False))).alias("blocks"))
     by_node = nodes.join(classes, "component").select(F.col("node").alias("key"), F.when(F.col("blocks") & ~F.col("allows"), "block").otherwise("allow").alias("by_class"))
     return (
-        out.withColumn("key", F.concat("host", "path"))
-        .join(by_node, "key", "left")
+        out.join(by_node, "key", "left")
         .select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_class", F.lit("allow")).alias("verdict"))
     )
 

@@ -238,6 +238,17 @@ def test_url_filter(spark):
     assert (got[10]["host"], got[10]["path"], got[2]["path"], got[8]["host"]) == ("sub.example.org:80", "/en/1", "/1", "")
 
 
+def test_pages_that_differ_in_the_query_alone_are_two(spark):
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    given = [
+        ("http://x.net/view?id=1", link("http://y.com/de/a?b")), ("http://x.net/view?id=2", None), ("https://x.net/view?id=1#part", None), ("http://x.net/view", None),
+        ("http://x.net/view?id=3", link("?id=1")), ("http://x.net/view?id=4", link("#top")), ("http://x.net/go?to=http://y.com/", link("view?id=2&u=http://y.com/de/")), ("http://x.net/view?id=2&u=http://y.com/de/", None), ("http://z.net?id=1", link("/a")),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(given)], "page_id bigint, url string, html string")
+    got = rows(url_filter.judge_pages(df), "page_id")
+    assert [got[i]["verdict"] for i in range(len(given))] == ["block", "allow", "block", "allow", "block", "allow", "allow", "allow", "allow"]
+
+
 def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert mixing.mix(empty).collect() == [] and mixing.mixed(empty).collect() == [] and near_dedup.components(empty).collect() == []
