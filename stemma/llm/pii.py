@@ -1,14 +1,14 @@
 """Personal data by patterns and information-theoretic sanitisation. DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The method then asks which other
-terms give these entities away: for a term t in the context of an entity e, its disclosure is the pointwise mutual
+terms give these entities away: for a term t in a document with an entity e, its disclosure is the pointwise mutual
 information log(N c(t, e) / (n(t) n(e))) over e's own information log(N / n(e)), from document counts over the whole
-corpus. At 1 the term occurs with e alone. Terms met with e in two or more different contexts, and at or over
-GENERALISE, become spans of kind `term` in every document that holds e: from REMOVE on they are removed, below
+corpus. At 1 the term occurs with e alone. A term is any word outside the entities, without what is no letter, mark or
+digit at its ends, wherever it stands. Terms met with e in two or more different texts, and at or over GENERALISE, become spans of kind `term` in every document that holds e: from REMOVE on they are removed, below
 generalised to their first letter.
 
-Null texts count as empty. Repeated rows keep their own spans (they count as documents, but one repeated context is
-not two contexts). An empty table gives no rows. Positions are code points, ends exclusive.
+Null texts count as empty. Repeated rows keep their own spans (they count as documents, but one repeated text is
+not two texts). An empty table gives no rows. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ PATTERNS = {
 }
 #: A text without a match of this has none of the kind.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-CONTEXT_CHARS, CONTEXT_WORDS = 100, 5
+#: What is cut off the ends of a word.
+EDGES = r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$"
 GENERALISE, REMOVE = 0.8, 0.9
 
 
@@ -89,16 +90,21 @@ def base_spans(text: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")))
-    return F.filter(words, lambda w: w.rlike(r"^\p{L}{3,}$"))
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.lower(F.regexp_replace(w, EDGES, "")))
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Terms around a span, entities excluded; words cut by the window's far edge are left out."""
-    before = F.regexp_replace(F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - CONTEXT_CHARS), F.least(span["start"], F.lit(CONTEXT_CHARS))), r"^[^\x20\x09-\x0D]+", "")
-    after = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS)), r"[^\x20\x09-\x0D]+$", "")
-    left = F.reverse(F.slice(F.reverse(_terms(before)), 1, CONTEXT_WORDS))
-    return F.concat(left, F.slice(_terms(after), 1, CONTEXT_WORDS))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a blank for each character of the spans."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        a = F.greatest(acc["at"], s["start"])
+        added = F.concat(acc["out"], F.substring(text, acc["at"] + 1, a - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - a, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), added.alias("out"))
+
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(places, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def _entity(span: Column) -> Column:
@@ -113,28 +119,28 @@ def may_hold() -> Column:
 
 
 def find_base(hits: DataFrame) -> DataFrame:
-    """doc_id, spans with entity and context, for each row of hits(doc_id, text)."""
-    full = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _entity(s).alias("entity"), _context(F.col("text"), s).alias("context"))
-    return hits.select("doc_id", F.transform(base_spans(F.col("text")), full).alias("spans"))
+    """doc_id, spans with entity, and the text without them (rest), for each row of hits(doc_id, text)."""
+    full = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _entity(s).alias("entity"))
+    found = hits.select("doc_id", "text", F.transform(base_spans(F.col("text")), full).alias("spans"))
+    return found.select("doc_id", "spans", _blanked(F.col("text"), F.col("spans")).alias("rest"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of all terms at or over GENERALISE."""
-    met = base.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.entity", "s.context")
-    pairs = met.select("doc_id", "entity", F.xxhash64("context").alias("where"), F.explode(F.array_distinct("context")).alias("term"))
-    # two different contexts: the least and the greatest digest differ, which needs no set of them
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("met"), F.min("where").alias("a"), F.max("where").alias("b")).where("a <> b")
-    both = saved(both.select("entity", "term"), "terms")
-    if both.isEmpty():
-        return both.withColumn("disclosure", F.lit(0.0))
     n_docs = docs.count()
-    joint = pairs.join(both, ["entity", "term"]).select("doc_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    n_entity = met.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n_term = docs.select(F.explode(F.array_distinct(_terms(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
-    rated = joint.join(n_entity, "entity").join(n_term, "term")
+    met = base.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"), F.xxhash64("rest").alias("where"), "rest")
+    # two different texts: the least and the greatest digest differ, which needs no set of them
+    twice = lambda df, n: df.agg(F.count("*").alias(n), F.min("where").alias("a"), F.max("where").alias("b")).where("a <> b").drop("a", "b")
+    entities = saved(twice(met.groupBy("entity"), "n_entity").where(F.col("n_entity") < n_docs), "entities")
+    pairs = met.join(entities.select("entity"), "entity").select("entity", "where", F.explode(_terms(F.col("rest"))).alias("term"))
+    both = saved(twice(pairs.groupBy("entity", "term"), "n_both"), "terms")
+    if both.isEmpty():
+        return both.select("entity", "term", F.lit(0.0).alias("disclosure"))
+    texts = docs.where(~may_hold()).select(F.coalesce("text", F.lit("")).alias("text")).unionByName(base.select(F.col("rest").alias("text")))
+    n_term = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
+    rated = both.join(entities, "entity").join(n_term, "term")
     gain = F.log2(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
-    return rated.where(F.col("n_entity") < n_docs).select("entity", "term", gain.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return rated.select("entity", "term", gain.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def _given_away(docs: DataFrame, base: DataFrame) -> DataFrame | None:
@@ -152,8 +158,8 @@ def _term_spans(text: Column, terms: Column) -> Column:
     letters = located(text, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++")
 
     def inner(w: Column) -> Column:
-        core = F.regexp_replace(w["value"], r"^[^\p{L}]+|[^\p{L}]+$", "")
-        a = w["start"] + F.length(F.regexp_extract(w["value"], r"^[^\p{L}]*", 0))
+        core = F.regexp_replace(w["value"], EDGES, "")
+        a = w["start"] + F.length(F.regexp_extract(w["value"], r"^[^\p{L}\p{M}\p{N}]*", 0))
         return F.struct(F.lit("term").alias("kind"), a.alias("start"), (a + F.length(core)).alias("end"), F.element_at(terms, F.lower(core)).alias("disclosure"))
 
     return F.filter(F.transform(letters, inner), lambda s: s["disclosure"].isNotNull())
@@ -174,7 +180,7 @@ def report(docs: DataFrame) -> DataFrame:
     if away is None:
         out = out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.col("listed").alias("spans"), F.lit(0).cast("long").alias("n_term"))
     else:
-        more = hits.join(away, "doc_id").select("doc_id", _term_spans(F.col("text"), F.col("terms")).alias("t"))
+        more = base.join(away, "doc_id").select("doc_id", _term_spans(F.col("rest"), F.col("terms")).alias("t"))
         more = more.groupBy("doc_id").agg(F.max_by("t", F.size("t")).alias("t"))
         both = F.concat_ws(",", F.when(F.col("listed") != "", F.col("listed")), F.when(F.size("t") > 0, _listed(F.col("t"))))
         n_term = F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0)).cast("long")
@@ -190,13 +196,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     base = saved(find_base(hits.select("doc_id", "text")), "pii")
     away = _given_away(docs, base)
     text, cut = F.col("text"), "array<struct<start:int,end:int,by:string>>"
-    own = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
-    rows = hits
+    named = lambda b: F.transform(b, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
+    rows, own = hits, named(base_spans(text))
     if away is not None:
-        rows = hits.join(away.withColumnRenamed("terms", "_terms"), "doc_id", "left")
+        rows = hits.join(away.withColumnRenamed("terms", "_terms"), "doc_id", "left").withColumn("_base", base_spans(text))
         by = lambda s: F.when(s["disclosure"] >= REMOVE, F.lit("[TERM]")).otherwise(F.concat(F.substring(text, s["start"] + 1, F.lit(1)), F.lit(".")))
-        terms = F.transform(_term_spans(text, F.col("_terms")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
-        own = F.concat(own, F.when(F.col("_terms").isNotNull(), terms).otherwise(F.array().cast(cut)))
+        terms = F.transform(_term_spans(_blanked(text, F.col("_base")), F.col("_terms")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
+        own = F.concat(named(F.col("_base")), F.when(F.col("_terms").isNotNull(), terms).otherwise(F.array().cast(cut)))
 
     def rebuilt(spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

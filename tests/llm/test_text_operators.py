@@ -187,6 +187,20 @@ def test_terms_that_give_an_entity_away(make):
     assert clean[0]["text"] == texts[0] and clean[3]["n_chars"] == len(clean[3]["text"]) and pii.sanitise(docs).columns == docs.columns
 
 
+def test_terms_far_from_their_entity_and_of_any_shape(make):
+    texts = [prose(i, 40) for i in range(80)]
+    names = ["Quillfeather", "O'Brien-Zyx", "Qw", "Zoe\u0308", "K-4711"]
+    for i in (3, 8):
+        texts[i] = " ".join(f"{n}," for n in names) + " " + prose(60 + i, 60) + " jo@example.org"
+    docs = make(texts)
+    got, clean = rows(pii.report(docs)), rows(pii.sanitise(docs))
+    for i in (3, 8):
+        at = [texts[i].index(n) for n in names]
+        assert {f"term:{a}:{a + len(n)}" for a, n in zip(at, names)} <= set(got[i]["spans"].split(","))
+        assert clean[i]["text"].startswith("[TERM], " * len(names)) and clean[i]["text"].endswith("[EMAIL]")
+    assert not any(r["n_term"] for i, r in got.items() if i not in (3, 8))
+
+
 def test_empty_tables(empty):
     assert quality_rules.judge(empty).collect() == [] and bpe.digests(empty).collect() == [] and pii.report(empty).collect() == []
     assert pii.sanitise(empty).collect() == [] and fingerprints.fingerprints(empty).collect() == []
