@@ -78,7 +78,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """(node, component) for all nodes of `edges`, by alternating large-star and small-star steps.
 
     Each step is a grouped minimum (combined before its shuffle) and a join that Spark may split where a node is
-    hot; no node's neighbours are ever gathered. Component is the smallest node. Null ends and loops are left out.
+    hot; no node's neighbours are ever gathered. Component is the smallest node. Null ends and loops are left out. Steps are
+    taken until nothing changes; if `rounds` of them do not do, that is an error.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     e = saved(e, "edges")
@@ -96,6 +97,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     pairs = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

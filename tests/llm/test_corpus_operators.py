@@ -154,6 +154,12 @@ def test_connected_components(spark):
     assert got == {i: comp[i] for i in {x for e in links if e[0] != e[1] for x in e}}
 
 
+def test_unfinished_components_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        connected_components(links, rounds=2)
+
+
 def test_mixing(make, spark):
     texts = [prose(i, 1 + (i * 37) % 300) for i in range(400)] + odd_texts()
     docs = make(texts)
