@@ -40,6 +40,23 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def row_keys() -> tuple[Column, Column]:
+    """Two numbers that are equal for rows(doc_id, text) that agree in both, and for no others."""
+    doc = F.col("doc_id").cast("long")
+    return F.coalesce(doc, F.lit(0).cast("long")), F.xxhash64(doc.isNull(), F.col("text"))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -49,12 +66,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts in one array, and n + 1 offsets. Null counts as empty."""
+    """Bytes of all texts (UTF-8) or binaries in one array, and n + 1 offsets. Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
     _, off, data = texts.buffers()
     if not len(texts):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)

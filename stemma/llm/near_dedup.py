@@ -5,19 +5,19 @@ of the set's exponentially distributed hashes, kept as a truncated exponent of B
 for two sets with about their Jaccard similarity. Bands of ROWS registers find candidates; a likelihood estimate over
 all registers and both cardinalities drops the hopeless ones; the rest is confirmed on full sets.
 
-Equal sets are first folded into one representative. In each band's bucket all members are compared with a leader, the
-one that meets most others, so no group of copies is expanded into its pairs. Members that reach the estimate's floor
-are its family; all links between members of one family are found from their differences from the leader
-(`_family_links`). The floor is so low that by the triangle inequality of the Jaccard distance a member under it has no
-link to a member linked with the leader. So leaders and what is linked with one retire, and the others of the bucket go
-on to further rounds, each with four times as many leaders, until all of them are in one leader's family or component.
+Equal sets are first folded into one representative. In each band's bucket all members are compared with one leader, the
+one that meets most others, so no group of copies is expanded into its pairs; the links found make components. Sets of
+a bucket that still lie in different components are then compared exactly: their elements are put in one order, rare
+ones first, and two sets that are similar enough must meet in an element that stands early in both, with enough behind
+it in either (`_candidates`). Pairs within one component are never made.
 
-What can be lost: a pair at similarity 0.85 shares none of 32 bands of 4 with probability 6e-11; at 0.8 with 5e-8. An
-estimate is too low by SLACK or LEADER_SLACK for about one pair in 1e9.
+What can be lost: a pair at similarity 0.85 shares none of 32 bands of 4 with probability 6e-11, at 0.8 with 5e-8, and
+an estimate is too low by SLACK for about one pair in 1e9. Nothing else is: what follows the bands is exact.
 
 Null and empty texts have an empty set and are linked with nothing. Texts of fewer words than a shingle have their
-whole sequence as one. Repeated rows are copies of each other; rows that share a doc_id are one node of the graph.
-A null doc_id is linked only through a copy of its text and is kept otherwise. An empty table gives no rows.
+whole sequence as one. Repeated rows are copies of each other; rows that share a doc_id but not their text are told
+apart. A row without doc_id is linked as any other, but gives no component its id: a component without any doc_id has
+a null id, and its rows are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stemma.llm.common import byte_view, connected_components, documents, release, saved, slices
+from stemma.llm.common import WORD, byte_view, connected_components, documents, row_keys, saved, slices, unused
 from stemma.llm.words import mix, span_hashes, word_spans
 
 BANDS, ROWS = 32, 4
@@ -37,10 +37,6 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.02, 20.0, 2000
 #: Candidates whose estimate is below the threshold by more than this are dropped (six standard errors).
 SLACK = 0.2
-#: As SLACK, for families: the standard error is greater at 2 * threshold - 1, where they end.
-LEADER_SLACK = 0.25
-#: Leaders of a bucket in the second round for each one in the first, and so on.
-LEADERS = 4
 #: Up to so many ids of wanted sets are sent to all executors.
 SENT_IDS = 50_000
 
@@ -113,7 +109,7 @@ def _band_hashes(k: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set and its sketch for each row of docs; empty sets have no sketch."""
+    """doc_id, its row's keys, n_shingles, two digests of the set and its sketch for each row of docs; empty sets have no sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -122,13 +118,15 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 n = [len(s) for s in sets]
                 full = [s for s in sets if len(s)]
                 k = iter(sketches(full)) if full else iter(())
-                digest = lambda c: [int(mix(s + np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                digest = lambda c: pa.array([int(mix(s + np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest(11), pa.int64()), pa.array(digest(1 << 40), pa.int64()), pa.array([next(k).tobytes() if c else None for c in n], pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sketch"],
+                    [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64()), digest(11), digest(1 << 40), pa.array([next(k).tobytes() if c else None for c in n], pa.binary())],
+                    names=["doc_id", "k1", "k2", "n_shingles", "d1", "d2", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
+    k1, k2 = row_keys()
+    rows = docs.select(F.col("doc_id").cast("long"), k1.alias("k1"), k2.alias("k2"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -159,185 +157,127 @@ def _hopeful(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "k_a", "n_b", "k_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, n_a, n_b, d) on full sets: linked if 100 * intersection >= percent * union; d is the symmetric difference."""
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("items").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, n_a, n_b, difference = [], [], [], []
-            for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([p, q]))
-                twice = both[1:] == both[:-1]
-                common = int(twice.sum())
+            linked = []
+            for x, y in zip(batch.column("s_a"), batch.column("s_b")):
+                both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)]))
+                common = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * common >= percent * (len(both) - common))
-                n_a.append(len(p)), n_b.append(len(q))
-                same = np.concatenate([[False], twice]) | np.concatenate([twice, [False]])
-                difference.append(both[~same].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(difference, pa.binary())],
-                names=["a", "b", "linked", "n_a", "n_b", "d"],
-            )
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    schema = "a bigint, b bigint, linked boolean, n_a bigint, n_b bigint, d binary"
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(run, schema)
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _elements(families: DataFrame) -> DataFrame:
-    """(a, b, h): one row for each element of a member's difference from its family's leader."""
+def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(rep, items) with the full set of each wanted representative (rep, k1, k2), from the row that its keys name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = [np.frombuffer(x, np.int64) for x in batch.column("d").to_pylist()]
-            n = np.array([len(x) for x in d], np.int64)
-            if n.sum():
-                at = pa.array(np.repeat(np.arange(len(d)), n))
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(np.concatenate(d))], names=["a", "b", "h"])
+        for whole in batches:
+            for batch in slices(whole):
+                items = [s.tobytes() for s in shingle_sets(*byte_view(batch.column("text")), width)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(items, pa.binary())], names=["rep", "items"])
 
-    return families.select("a", "b", "d").mapInArrow(run, "a bigint, b bigint, h bigint")
+    reps = F.broadcast(reps) if reps.limit(SENT_IDS + 1).count() <= SENT_IDS else reps.hint("merge")
+    k1, k2 = row_keys()
+    found = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(reps, ["k1", "k2"]).select("rep", "text")
+    return found.mapInArrow(run, "rep bigint, items binary").groupBy("rep").agg(F.first("items").alias("items"))
 
 
-def _either_way(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """pairs with what `tested` says of them as (least, greatest); null where it says nothing."""
-    t = tested.withColumnRenamed("a", "_x").withColumnRenamed("b", "_y")
-    return pairs.withColumn("_x", F.least("a", "b")).withColumn("_y", F.greatest("a", "b")).join(t, ["_x", "_y"], "left")
+def _elements(sets: DataFrame) -> DataFrame:
+    """(rep, h): one row for each element of each set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in slices(batch, "items", 4 << 20):
+                h, offsets = byte_view(one.column("items"))
+                at = pa.array(np.repeat(np.arange(one.num_rows), np.diff(offsets) // 8))
+                yield pa.RecordBatch.from_arrays([one.column("rep").take(at), pa.array(np.frombuffer(h.tobytes(), np.int64))], names=["rep", "h"])
 
-def _family_links(families: DataFrame, tested: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b), and pairs (a, b) to be tested: with them, all links between members of one family (a: leader, b).
+    return sets.select("rep", "items").mapInArrow(run, "rep bigint, h bigint")
 
-    A family's centre holds what most of its members hold. With D(x) the difference of x and the centre, x and y
-    differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| elements, and are linked if (1 - p) (|x| + |y|) is at least (1 + p)
-    times that. So x has a slack (1 - p) |x| - (1 + p) |D(x)|; two members whose slacks sum to zero or more are linked
-    whatever they share, and if any member's slack does for x, the largest does. Everything else needs shared elements
-    of the differences, for x at least as many as it would need beside the largest slack. Of elements that lie in
-    different components the rarest are joined, one more than x can do without: no link has all its shared ones behind.
-    """
-    comp = lambda f, x: f.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    rows = _either_way(families, tested).where("linked is not null")
-    size = lambda x: F.when(F.col(x) == F.col("_x"), F.col("n_a")).otherwise(F.col("n_b"))
-    rows = rows.select("a", "b", "d", size("a").alias("size_a"), size("b").alias("size_b"))
-    rows = rows.join(comp(found, "a"), "a", "left").join(comp(found, "b"), "b", "left").withColumn("out", F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-    some = rows.groupBy("a").agg((F.count("*") + 1).alias("n"), F.max("out").alias("any_out"), F.max("size_a").alias("size")).where("any_out and n > 2")
-    some = saved(some.select("a", "n", "size"), "families")
-    inside = rows.join(some.select("a"), "a", "left_semi")
-    each = saved(_elements(inside), "differences")
-    members = saved(inside.select("a", "b", F.col("size_b").alias("size")).unionByName(some.select("a", F.col("a").alias("b"), "size")), "members")
-    usual = each.groupBy("a", "h").agg(F.count("*").alias("holders")).join(some.select("a", "n"), "a").where("2 * holders > n").select("a", "h")
-    usual = saved(usual, "usual")
-    lacking = members.select("a", "b").join(usual, "a").join(each, ["a", "b", "h"], "left_anti")
-    centred = saved(each.join(usual, ["a", "h"], "left_anti").unionByName(lacking.select("a", "b", "h")), "centred")
-    far = centred.groupBy("a", "b").agg(F.count("*").alias("far"))
-    placed = members.join(far, ["a", "b"], "left").withColumn("far", F.coalesce("far", F.lit(0)))
-    placed = saved(placed.withColumn("slack", (100 - percent) * F.col("size") - (100 + percent) * F.col("far")), "slacks")
-    best = placed.groupBy("a").agg(F.max(F.struct("slack", F.col("b").alias("top"))).alias("m")).select("a", "m.top", F.col("m.slack").alias("most"))
-    placed = placed.join(best, "a")
-    sure = placed.where("b <> top and slack + most >= 0").select(F.col("top").alias("a"), "b")
-    links = saved(tested.where("linked").select("a", "b").unionByName(sure), "links")
-    found = connected_components(links)
-    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("most")) / (2 * (100 + percent))))
-    now = placed.join(comp(found, "b"), "b", "left").join(comp(found, "top"), "top", "left").select("a", "b", need.alias("need"), F.coalesce("c_b", "b").alias("c"), (F.coalesce("c_b", "b") != F.coalesce("c_top", "top")).alias("out"))
-    held = centred.join(now, ["a", "b"])
-    shared = held.groupBy("a", "h").agg(F.count("*").alias("holders"), F.max("out").alias("any_out"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("any_out and c1 <> c2").select("a", "h", "holders")
-    held = saved(held.join(shared, ["a", "h"]), "held")
-    rare = Window.partitionBy("a", "b").orderBy("holders", "h")
-    spare = held.groupBy("a", "b").agg((F.count("*") - F.max("need") + 1).alias("spare"))
-    held = held.withColumn("at", F.row_number().over(rare)).join(spare, ["a", "b"]).where("at <= spare").select("a", "b", "h", "c", "out")
-    held = saved(held, "rarest")
-    other = held.select("a", "h", F.col("b").alias("b_m"), F.col("c").alias("c_m"))
-    met = held.where("out").join(other, ["a", "h"]).where("c <> c_m").select(F.least("b", "b_m").alias("a"), F.greatest("b", "b_m").alias("b")).distinct()
-    return sure.distinct(), met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
+def _candidates(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets (rep, n, c) in different components c that hold all links between components.
 
-def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """(rep, items) with the full set of each wanted representative."""
+    Elements are ordered by how many of the sets hold them, then by hash. For two sets x and y, the first element they
+    share has all shared ones at or behind it in both, so their intersection is at most the lesser of n - at, at
+    being its place. A link needs percent * (n_x + n_y) / (100 + percent), and of any partner at least percent / 100 of n.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                items = [s.tobytes() for s in shingle_sets(*byte_view(batch.column("text")), width)]
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(items, pa.binary())], names=["rep", "items"])
-
-    ids = reps.select("rep")
-    ids = F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids.hint("merge")
-    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep")
-    return wanted.mapInArrow(run, "rep bigint, items binary")
+    For each element, sets of its commonest component stand apart: a pair needs one set from outside it. What they have
+    in common is their (n, at) alone, so it is first decided which (n, at) can meet, and only those rows are joined.
+    """
+    elements = _elements(sets.join(open_.select("rep"), "rep"))
+    held = elements.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    order = Window.partitionBy("rep").orderBy("f", "h")
+    ranked = elements.join(held, "h").withColumn("at", F.row_number().over(order)).withColumn("common", F.count("*").over(Window.partitionBy("rep")))
+    # elements that no other set holds come first and need no rows
+    ranked = ranked.join(open_, "rep").withColumn("at", (F.col("n") - F.col("common") + F.col("at") - 1).cast("long"))
+    early = saved(ranked.where(100 * (F.col("n") - F.col("at")) >= percent * F.col("n")).select("h", "rep", "c", "n", "at"), "early")
+    usual = early.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    rows = saved(early.join(usual.select("h", F.col("most.c").alias("main")), "h").withColumn("other", F.col("c") != F.col("main")).drop("main"), "meeting")
+    cells = saved(rows.groupBy("h", "n", "at").agg(F.max("other").alias("other")), "cells")
+    enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("n_y") - F.col("at_y")) >= percent * (F.col("n") + F.col("n_y"))
+    named = lambda df, *names: df.select("h", *[F.col(x).alias(f"{x}_y") for x in names])
+    cells = cells.where("other").alias("x").join(named(cells, "n", "at").alias("y"), (F.col("x.h") == F.col("y.h")) & enough).select("x.h", "n", "at", "n_y", "at_y")
+    met = rows.where("other").join(cells, ["h", "n", "at"]).alias("x").join(named(rows, "n", "at", "rep", "c").alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("h", "n_y", "at_y")] + [F.col("c") != F.col("c_y")])
+    return met.select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, row keys, n_shingles and top for each row of docs; top is the component's first row by id (unnamed, k1, k2)."""
+    every = saved(sketched(docs, width), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "k1", "k2")
+    folded = every.where("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min(row).alias("row"), F.first("sketch").alias("sketch"))
+    reps = saved(folded.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    bands = banded(reps)
+    sizes = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = saved(bands.join(sizes, "band").select("band", "rep", "members"), "buckets")
+    weight = buckets.groupBy("rep").agg(F.sum("members").alias("weight"))
+    leaders = buckets.join(weight, "rep").groupBy("band").agg(F.max(F.struct("weight", -F.col("rep"))).alias("top")).select("band", (-F.col("top.col2")).alias("leader"))
+    led = buckets.join(leaders, "band").where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
+    floor = percent / 100 - SLACK
+    pairs = saved(_hopeful(led.distinct(), reps, floor), "hopeful")
+    wanted = reps.join(buckets.select("rep").distinct(), "rep").select("rep", "row.k1", "row.k2")
+    sets = saved(_sets(docs, saved(wanted, "wanted"), width), "items")
+    links = saved(_links(pairs, sets, percent), "links")
+    found = connected_components(links)
+    named = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+    apart = named.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
+    open_ = named.join(apart.select("band"), "band").groupBy("rep").agg(F.first("c").alias("c"))
+    open_ = saved(open_.join(reps.select("rep", "n"), "rep"), "open")
+    more = _candidates(open_, sets, percent) if not open_.isEmpty() else pairs.limit(0)
+    more = more.join(pairs, ["a", "b"], "left_anti")
+    more = saved(_links(saved(_hopeful(more, reps, floor), "hopeful"), sets, percent), "links")
+    if not more.isEmpty():
+        found = connected_components(links.unionByName(more))
+    near = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    first = near.where("component is not null").groupBy("component").agg(F.min("row").alias("first"))
+    tops = near.join(first, "component", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("first", "row").alias("top"))
+    return every.join(tops, ["d1", "d2", "n_shingles"], "left").select("doc_id", "k1", "k2", "n_shingles", "top")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    every = saved(sketched(docs, width), "sketches")
-    reps = every.where("n_shingles > 0").groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
-    reps = saved(reps, "sets")
-    bands = banded(reps)
-    sizes = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    active = saved(bands.join(sizes, "band").select("band", "rep", "members"), "buckets")
-    release(spark)
-    nearness = percent / 100
-    families = tested = items = found = None
-    k = 0
-    while not active.isEmpty():
-        # the member that meets most others leads a bucket; later, of each of some parts
-        weight = active.groupBy("rep").agg(F.sum("members").alias("weight"))
-        part = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(LEADERS ** min(k, 15)))
-        weighed = active.join(weight, "rep").groupBy("band", part.alias("part"))
-        leaders = saved(weighed.agg(F.max(F.struct("weight", -F.col("rep"))).alias("top")).select("band", (-F.col("top.col2")).alias("leader")), "leaders")
-        led = saved(active.join(leaders, "band").where("rep <> leader").select("band", F.col("leader").alias("a"), F.col("rep").alias("b"), "members"), "led")
-        star = led.select("a", "b").distinct()
-        pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = saved(_hopeful(pairs, reps, 2 * nearness - 1 - LEADER_SLACK), "hopeful")
-        release(spark)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        if items is not None:
-            needed = needed.join(items.select("rep"), "rep", "left_anti")
-        more = saved(_sets(docs, saved(needed, "needed"), width), "items")
-        items = more if items is None else items.unionByName(more)
-        release(spark)
-        more = saved(_tested(pairs, items, percent), "tested")
-        tested = more if tested is None else tested.unionByName(more)
-        families = star if families is None else families.unionByName(star)
-        release(spark)
-        if found is None:
-            found = connected_components(tested.where("linked"))
-        # who is neither a leader nor linked with one goes on, unless one leader's family or one component has all of them
-        met = _either_way(led.where("members > 2"), tested.select("a", "b", "linked")).select("band", "a", "b", "linked")
-        met = saved(met.join(leaders.select("band", F.col("leader").alias("b")), ["band", "b"], "left_anti"), "met")
-        rest = met.groupBy("band", "b").agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked")).where("not linked").select("band", "b")
-        rest = rest.join(found.select(F.col("node").alias("b"), "component"), "b", "left").select("band", "b", F.coalesce("component", "b").alias("c"))
-        rest = saved(rest, "rest")
-        whole = met.join(rest, ["band", "b"]).groupBy("band", "a").agg(F.count("*").alias("members"), F.count("linked").alias("inside"), F.min("c").alias("c1"), F.max("c").alias("c2"))
-        opened = whole.groupBy("band").agg(F.max("members").alias("members"), F.max(F.col("inside") == F.col("members")).alias("covered"), F.min("c1").alias("c1"), F.max("c2").alias("c2"))
-        active = saved(rest.join(opened.where("not covered and c1 <> c2").select("band", "members"), "band").select("band", F.col("b").alias("rep"), "members"), "buckets")
-        release(spark)
-        k += 1
-    if tested is not None:
-        if k > 1:
-            found = connected_components(tested.where("linked"))
-        sure, unsure = _family_links(saved(families.distinct(), "stars"), tested, found, percent)
-        release(spark)
-        unsure = saved(_hopeful(unsure, reps, nearness - SLACK), "hopeful")
-        extra = saved(sure.unionByName(_tested(unsure, items, percent).where("linked").select("a", "b")), "links")
-        release(spark)
-        if not extra.isEmpty():
-            found = connected_components(tested.where("linked").select("a", "b").unionByName(extra))
-    else:
-        found = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-    member = every.join(reps.select("d1", "d2", F.col("n").alias("n_shingles"), "rep"), ["d1", "d2", "n_shingles"], "left")
-    out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    top = F.col("top")
+    component = F.when(top.isNull(), F.col("doc_id")).when(~top["unnamed"], top["k1"])
+    out = _grouped(docs, width, percent).select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id stays; of rows that share a doc_id one stays (null: all)."""
-    keep = components(docs, width, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_keep"]), "left_semi")
-    same = Window.partitionBy("doc_id").orderBy("doc_id")
-    return rows.withColumn("_copy", F.row_number().over(same)).where("doc_id is null or _copy = 1").select(*docs.columns)
+    """The rows of docs, with all their columns, that stay: one of each group, the one with the least doc_id; rows without a word all stay."""
+    top = F.col("top")
+    keep = _grouped(docs, width, percent).where((top["k1"] == F.col("k1")) & (top["k2"] == F.col("k2"))).select("k1", "k2").distinct()
+    a, b = unused(docs, "_k1", "_k2")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    k1, k2 = row_keys()
+    rows = docs.where(worded).withColumns({a: k1, b: k2}).join(keep.select(F.col("k1").alias(a), F.col("k2").alias(b)), [a, b], "left_semi")
+    return rows.dropDuplicates([a, b]).select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
