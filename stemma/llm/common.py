@@ -18,10 +18,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only where the session names none and is a single process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="stemma-"))
     return _own_dir[0]
@@ -126,21 +128,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def range_block(df: DataFrame, column: str, blocks: int) -> Column:
-    """Number of the range, 0 to blocks - 1 in ascending order, that a row's (whole number) column falls in; null: 0.
+def range_block(df: DataFrame, column: str, tie: Column, blocks: int) -> tuple[Column, int]:
+    """(number of the range that a row falls in, how many there are): ascending by a whole number, null first, then by tie.
 
     The limits are approximate quantiles, one number a range. A row is placed by two steps of about sqrt(blocks)
-    comparisons, without the sampling run over whole rows that range partitioning makes.
+    comparisons, without the sampling run over whole rows that range partitioning makes. A value, or null, that has as
+    many rows as several ranges gets so many, among which its rows are dealt by tie, a 64-bit hash, in ascending order.
     """
     if blocks < 2:
-        return F.lit(0)
-    limits = df.select(F.percentile_approx(column, [k / blocks for k in range(1, blocks)], 10 * blocks)).first()[0]
-    limits = sorted(set(limits or []))
+        return F.lit(0), 1
+    limits, nulls, n = df.select(F.percentile_approx(column, [k / blocks for k in range(1, blocks)], 10 * blocks), F.sum(F.col(column).isNull().cast("long")), F.count("*")).first()
+    limits, ahead = sorted(limits or []), round(blocks * (nulls or 0) / max(1, n))
+    part = lambda k: F.least(k - 1, F.floor((F.shiftright(tie, 1).cast("double") / 2.0**63 + 0.5) * k)).cast("int")
+    unnamed = part(F.lit(ahead)) if ahead > 1 else F.lit(0)
     if not limits:
-        return F.lit(0)
+        return unnamed, max(1, ahead)
     width = max(1, int(len(limits) ** 0.5))
     coarse, fine = (F.array(*[F.lit(x) for x in v]).cast("array<bigint>") for v in (limits[::width], limits))
-    passed = F.size(F.filter(coarse, lambda x: x <= F.col(column)))
-    within = F.slice(fine, (F.greatest(passed, F.lit(1)) - 1) * width + 1, width)
-    placed = (passed - 1) * width + F.size(F.filter(within, lambda x: x <= F.col(column)))
-    return F.when(F.col(column).isNull() | (passed == 0), 0).otherwise(placed).cast("int")
+
+    def passed(under) -> Column:
+        steps = F.size(F.filter(coarse, under))
+        within = F.slice(fine, (F.greatest(steps, F.lit(1)) - 1) * width + 1, width)
+        return F.when(steps == 0, 0).otherwise((steps - 1) * width + F.size(F.filter(within, under)))
+
+    placed = passed(lambda x: x <= F.col(column))
+    if len(set(limits)) < len(limits):
+        alike = placed - passed(lambda x: x < F.col(column))
+        placed = F.when(alike > 1, placed - alike + 1 + part(alike)).otherwise(placed)
+    return F.when(F.col(column).isNull(), unnamed).otherwise(placed + ahead).cast("int"), len(limits) + 1 + ahead

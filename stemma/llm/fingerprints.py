@@ -6,7 +6,7 @@ their lengths, as text: 8 hexadecimal digits of digest and 2 of length for each
 chunks around it.
 
 Null texts count as empty; an empty text has an empty fingerprint, alike (1) to an empty one only. Repeated doc_ids
-follow each other in the order of their texts; null doc_ids come first. An empty table gives no rows.
+follow each other in the order of a digest of their texts; null doc_ids come first. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -110,19 +110,19 @@ def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     each partition; the first documents of ranges are sent along to the range before.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = range_block(docs, "doc_id", blocks)
-    placed = docs.select(block.alias("block"), "doc_id", "text", F.lit(0).alias("tail"))
-    order = F.struct(F.col("doc_id").isNotNull(), "doc_id")
-    firsts = docs.select(block.alias("block"), "doc_id").groupBy("block").agg(F.min(order)["doc_id"].alias("doc_id")).orderBy("block").collect()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    block, blocks = range_block(docs, "doc_id", F.col("tie"), blocks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = docs.select(block.alias("block"), "doc_id", "text", "tie", F.lit(0).alias("tail"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")).alias("first")
+    firsts = placed.select("block", "doc_id", "tie").groupBy("block").agg(first).select("block", "first.doc_id", "first.tie").orderBy("block").collect()
     if not firsts:
         return placed.select("doc_id", "text", "tail").mapInArrow(_stream, RESULT)
-    before = [(firsts[k - 1]["block"], firsts[k]["doc_id"]) for k in range(len(firsts))]
-    named = spark.createDataFrame(before, "block int, doc_id bigint")  # a row for each block
-    heads = docs.join(F.broadcast(named), docs["doc_id"].eqNullSafe(named["doc_id"])).groupBy("block", named["doc_id"]).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = placed.unionByName(heads.select("block", "doc_id", "text", F.lit(1).alias("tail")))
-    dealt = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "tail", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    before = [(firsts[k - 1]["block"], firsts[k]["doc_id"], firsts[k]["tie"]) for k in range(len(firsts))]
+    named = spark.createDataFrame(before, "block int, doc_id bigint, tie bigint")  # a row for each block
+    alike = docs["doc_id"].eqNullSafe(named["doc_id"]) & (docs["tie"] == named["tie"])
+    heads = docs.join(F.broadcast(named), alike).groupBy("block", named["doc_id"], named["tie"]).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = placed.unionByName(heads.select("block", "doc_id", "text", "tie", F.lit(1).alias("tail")))
+    dealt = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "tail", F.col("doc_id").asc_nulls_first(), "tie")
     return dealt.select("doc_id", "text", "tail").mapInArrow(_stream, RESULT)
 
 

@@ -6,14 +6,14 @@ written anew. A segment holds a run of documents in ascending doc_id order:
     part, seq       its place: range partition, and number within it
     first           ids of the partition before this segment
     n_docs, n_ids   documents and ids in it
-    doc_ids         n_docs little-endian 64-bit document ids
     ids             n_ids little-endian ids, `width` bytes each
-    low_bits, low   Elias-Fano: width and packed low bits of each document's end
-    high            unary coded high bits
-    hints           for each 64th set bit of `high` its position (32 bits), for select
+    ends            Elias-Fano sequence of the documents' ends: width of the low bits, packed low bits, unary coded high
+                    bits, and for each 64th set bit of these its position (32 bits), for select
+    unnamed         how many documents, the first ones, have no doc_id
+    base, names     least doc_id, and an Elias-Fano sequence of what the others exceed it by
 
-Null and empty texts have the end id alone. Rows with equal doc_id keep their own entries, ordered by their ids; null
-doc_ids come first and are read back as null. An empty table gives no segments.
+Null and empty texts have the end id alone. Rows with equal doc_id keep their own entries, ordered by a digest of
+their texts; null doc_ids come first and are read back as null. An empty table gives no segments.
 """
 
 from __future__ import annotations
@@ -33,27 +33,33 @@ SEGMENT_IDS = 1 << 21
 #: Pieces of words whose ids a worker keeps.
 CACHED_PIECES = 1_000_000
 HINT = 64
-NO_ID = -(1 << 63)
-SEGMENT = "part int, seq int, first bigint, n_docs int, n_ids bigint, width int, doc_ids binary, ids binary, low_bits int, low binary, high binary, hints binary"
+EF = "struct<low_bits:int,low:binary,high:binary,hints:binary>"
+SEGMENT = f"part int, seq int, first bigint, n_docs int, n_ids bigint, width int, ids binary, ends {EF}, unnamed int, base bigint, names {EF}"
+_EF = pa.struct([("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("hints", pa.binary())])
+_SEGMENT = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("ends", _EF), ("unnamed", pa.int32()), ("base", pa.int64()), ("names", _EF)])
 
 
 class EliasFano:
     """A non-decreasing sequence in about 2 + log2(largest / n) bits an entry."""
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, hints: bytes):
-        self.n, self.low_bits, self.low, self.high, self.hints = n, low_bits, low, high, hints
+    def __init__(self, low_bits: int, low: bytes, high: bytes, hints: bytes):
+        self.low_bits, self.low, self.high, self.hints = low_bits, low, high, hints
+        self.places = np.frombuffer(hints, "<u4").tolist()
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        v = np.asarray(values, np.int64)
+        v = np.asarray(values).astype(np.uint64)
         n = len(v)
-        low_bits = max(0, int(np.log2(max(1, int(v[-1]) // n)))) if n else 0
-        low = (v[:, None] >> np.arange(low_bits)) & 1
-        ones = (v >> low_bits) + np.arange(n)
+        low_bits = max(0, (max(1, int(v[-1])) // n).bit_length() - 1) if n else 0
+        low = (v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
+        ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
         pack = lambda b: np.packbits(b.astype(np.uint8).ravel(), bitorder="little").tobytes()
-        return cls(n, low_bits, pack(low), pack(bits), ones[::HINT].astype("<u4").tobytes())
+        return cls(low_bits, pack(low), pack(bits), ones[::HINT].astype("<u4").tobytes())
+
+    def fields(self) -> dict:
+        return {"low_bits": self.low_bits, "low": self.low, "high": self.high, "hints": self.hints}
 
     def _low(self, i: int) -> int:
         a = i * self.low_bits
@@ -62,7 +68,7 @@ class EliasFano:
 
     def select(self, i: int) -> int:
         """The i-th value: from the nearest hint, skip whole bytes by their number of set bits."""
-        at = int(np.frombuffer(self.hints, "<u4")[i // HINT])
+        at = self.places[i // HINT]
         left = i % HINT
         byte = at // 8
         word = self.high[byte] >> (at % 8) << (at % 8)
@@ -74,17 +80,9 @@ class EliasFano:
         at = byte * 8 + (word & -word).bit_length() - 1
         return (at - i) << self.low_bits | self._low(i)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        values = (ones - np.arange(self.n)) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits]
-            values |= bits.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits))
-        return values
-
 
 def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """(block, doc_id, ids) with the end id appended."""
+    """(block, doc_id, tie, ids) with the end id appended."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +91,9 @@ def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -
         for whole in batches:
             for batch in slices(whole, limit=4 << 20):
                 ids = [x + end for x in enc.plain(*byte_view(batch.column("text")))]
-                yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["block", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "doc_id", "tie")), pa.array(ids, pa.binary())], names=["block", "doc_id", "tie", "ids"])
 
-    return docs.select("block", "doc_id", "text").mapInArrow(run, "block int, doc_id bigint, ids binary")
+    return docs.select("block", "doc_id", "tie", "text").mapInArrow(run, "block int, doc_id bigint, tie bigint, ids binary")
 
 
 def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> DataFrame:
@@ -106,30 +104,33 @@ def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         from pyspark import TaskContext
 
         part, width = TaskContext.get().partitionId(), encoder(path, CACHED_PIECES).kind.itemsize
-        names, blobs, held, first, seq = [], [], 0, 0, 0
+        names, blobs, held, first, seq, unnamed = [], [], 0, 0, 0, 0
 
         def segment():
             ends = np.cumsum([len(x) // width for x in blobs])
-            ef = EliasFano.of(ends)
-            row = (part, seq, first, len(blobs), int(ends[-1]), width, np.array(names, "<i8").tobytes(), b"".join(blobs), ef.low_bits, ef.low, ef.high, ef.hints)
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in SEGMENT.split(", ")])
+            named = np.array(names[unnamed:], np.int64)
+            base = int(named[0]) if len(named) else 0
+            row = {"part": part, "seq": seq, "first": first, "n_docs": len(blobs), "n_ids": int(ends[-1]), "width": width, "ids": b"".join(blobs), "ends": EliasFano.of(ends).fields()}
+            row |= {"unnamed": unnamed, "base": base, "names": EliasFano.of(named.astype(np.uint64) - np.int64(base).astype(np.uint64)).fields()}
+            return pa.RecordBatch.from_pylist([row], schema=_SEGMENT)
 
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                names.append(NO_ID if doc is None else doc)
+                names.append(doc)
+                unnamed += doc is None
                 blobs.append(ids)
                 held += len(ids) // width
                 if held >= segment_ids:
                     yield segment()
-                    names, blobs, held, first, seq = [], [], 0, first + held, seq + 1
+                    names, blobs, held, first, seq, unnamed = [], [], 0, first + held, seq + 1, 0
         if blobs:
             yield segment()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = token_rows(docs.withColumn("block", range_block(docs, "doc_id", n)), tokenizer, end_id)
-    ordered = rows.repartitionById(n, F.col("block")).sortWithinPartitions("block", "doc_id", "ids").select("doc_id", "ids")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    block, n = range_block(docs, "doc_id", F.col("tie"), n)
+    rows = token_rows(docs.withColumn("block", block), tokenizer, end_id)
+    ordered = rows.repartitionById(n, F.col("block")).sortWithinPartitions("block", "doc_id", "tie").select("doc_id", "ids")
     return saved(ordered.mapInArrow(run, SEGMENT), "segments")
 
 
@@ -140,22 +141,24 @@ def read_segments(segments: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    base = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.to_pylist():
-                ends = EliasFano(s["n_docs"], s["low_bits"], s["low"], s["high"], s["hints"]).all()
-                starts = np.concatenate([[0], ends[:-1]])
+                at, names = EliasFano(**s["ends"]), EliasFano(**s["names"])
+                ends = [at.select(i) for i in range(s["n_docs"])]
+                starts = [0, *ends[:-1]]
                 ids = np.frombuffer(s["ids"], f"<u{s['width']}")
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                docs = np.frombuffer(s["doc_ids"], "<i8")
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends)]
+                docs = [None] * s["unnamed"] + [s["base"] + names.select(i) for i in range(s["n_docs"] - s["unnamed"])]
+                start = np.array(starts) + (s["first"] + s["before"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, mask=docs == NO_ID), pa.array(starts + s["first"] + s["base"]), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                    [pa.array(docs, pa.int64()), pa.array(start), pa.array(np.diff(starts, append=ends[-1])), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    columns = ["part", "first", "n_docs", "width", "doc_ids", "ids", "low_bits", "low", "high", "hints"]
+    columns = ["part", "first", "n_docs", "width", "ids", "ends", "unnamed", "base", "names"]
     return segments.select(*columns).join(F.broadcast(base), "part").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
