@@ -15,8 +15,10 @@ bytes alone (winnowing); all strings with one anchor start in one range. So only
    digest, so no task holds a gram's suffixes.
 
 Marked starts of each document then give its removed bytes. Null texts count as empty. Texts shorter than LENGTH are
-kept whole. doc_ids are taken as unique: rows that repeat one whole are the same document, and null is one document,
-the first. An empty table gives no rows.
+kept whole. Rows without doc_id come first; rows that share a doc_id, or have none, are documents of their own in the
+order of a digest of their texts. Rows that repeat one whole are the same document. An empty table gives no rows.
+Long texts are worked on in pieces of PIECE bytes, and partitions follow the number of bytes, so no task's memory grows
+with a text or with the table.
 """
 
 from __future__ import annotations
@@ -29,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm.common import byte_view, documents, release, saved, slices
+from stemma.llm.common import byte_view, documents, release, row_keys, saved, slices
 
 LENGTH, GRAM = 100, 32
 GROUP = 2048
 RUN_ANCHORS = 400_000
+#: Bytes of a text that are looked at together; suffixes sorted together; bytes of text for each partition of an exchange.
+PIECE, RUN_SUFFIXES, PART_BYTES = 1 << 20, 100_000, 1 << 24
 G, G_MANY, C, M, FIRST, SUFFIXES, STRING = range(7)
 #: key and e: two digests; p: start << 32 | number of starts (marks), or start << 32 | offset of the anchor << 16 | starts.
 ROW = "kind tinyint, key bigint, e bigint, doc bigint, p bigint"
-NO_ID = -(1 << 63)
 
 _rng = np.random.Generator(np.random.PCG64(5))
 _TABLES = _rng.integers(0, 1 << 63, (3, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,13 +153,17 @@ def _folded(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, held = [], 0
     for whole in batches:
-        for batch in slices(whole):
-            g, e, doc, start, off, n = anchors(*byte_view(batch.column("text")))
-            parts.append((g, e, batch.column("doc").to_numpy()[doc], start, off, n))
-            held += len(g)
-            if held >= RUN_ANCHORS:
-                yield from _folded(parts)
-                parts, held = [], 0
+        for batch in slices(whole, limit=PIECE):
+            data, offsets = byte_view(batch.column("text"))
+            # a piece has all bytes of the strings that start in it
+            pieces = [(0, data, offsets)] if batch.num_rows > 1 else [(a, x := data[a : a + PIECE + LENGTH - 1], np.array([0, len(x)])) for a in range(0, len(data), PIECE)]
+            for a, data, offsets in pieces:
+                g, e, doc, start, off, n = anchors(data, offsets)
+                parts.append((g, e, batch.column("doc").to_numpy()[doc], start + a, off, n))
+                held += len(g)
+                if held >= RUN_ANCHORS:
+                    yield from _folded(parts)
+                    parts, held = [], 0
     if held:
         yield from _folded(parts)
 
@@ -318,38 +325,48 @@ def repeats(group: list[tuple[int, Suffix]]) -> Iterator[tuple[int, int, int]]:
 def _suffix_rows(parts: int):
     """Sorted front-coded runs of each slice, by partition; strings of hot grams by digest."""
 
+    def sorted_runs(runs: dict[int, list[Suffix]]) -> Iterator[pa.RecordBatch]:
+        for part, r in runs.items():
+            r.sort()
+            yield _exchange([SUFFIXES], [part], [front_coded(r)], [0], [0], [0], [0])
+
+    def hot_strings(data: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, doc, start = np.repeat(at, n) + step, np.repeat(doc, n), np.repeat(start, n) + step
+        d1, d2 = (Digests(w, data).of(at, at + LENGTH).view(np.int64) for w in (1, 2))
+        o = np.lexsort([start, doc, d2, d1])
+        d1, d2, doc, start = (c[o] for c in (d1, d2, doc, start))
+        new = _groups(d1, d2)
+        later = _later(new, doc, start)
+        m = int(later.sum())
+        yield _exchange([M] * m, [0] * m, [None] * m, [0] * m, [0] * m, doc[later], start[later] << 32 | 1)
+        m = int(new.sum())
+        yield _exchange([STRING] * m, [0] * m, [None] * m, d1[new], d2[new], doc[new], start[new] << 32 | 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=PIECE):
                 data, offsets = byte_view(batch.column("text"))
-                raw = data.tobytes()
-                runs: dict[int, list[Suffix]] = {}
-                hot_a, hot_n, hot_doc, hot_start = [], [], [], []
-                for doc, base, found in zip(batch.column("doc").to_pylist(), offsets.tolist(), batch.column("found").to_pylist()):
-                    for x in found:
-                        p = x["p"]
-                        start, off, n = p >> 32, p >> 16 & 0xFFFF, p & 0xFFFF
-                        a = base + start
-                        if x["hot"]:
-                            hot_a.append(a), hot_n.append(n), hot_doc.append(doc), hot_start.append(start)
-                        else:
-                            runs.setdefault(x["gram"] % parts, []).append((raw[a + off : a + n - 1 + LENGTH], raw[a : a + off], doc, p))
-                for part, r in runs.items():
-                    r.sort()
-                    yield _exchange([SUFFIXES], [part], [front_coded(r)], [0], [0], [0], [0])
-                if hot_a:
-                    n = np.array(hot_n)
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    a, doc, start = np.repeat(np.array(hot_a), n) + step, np.repeat(np.array(hot_doc), n), np.repeat(np.array(hot_start), n) + step
-                    d1, d2 = (Digests(w, data).of(a, a + LENGTH).view(np.int64) for w in (1, 2))
-                    o = np.lexsort([start, doc, d2, d1])
-                    d1, d2, doc, start = (c[o] for c in (d1, d2, doc, start))
-                    new = _groups(d1, d2)
-                    later = _later(new, doc, start)
-                    m = int(later.sum())
-                    yield _exchange([M] * m, [0] * m, [None] * m, [0] * m, [0] * m, doc[later], start[later] << 32 | 1)
-                    m = int(new.sum())
-                    yield _exchange([STRING] * m, [0] * m, [None] * m, d1[new], d2[new], doc[new], start[new] << 32 | 1)
+                found = batch.column("found")
+                count, flat = found.value_lengths().to_numpy(), found.flatten()
+                p, gram, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                doc = np.repeat(batch.column("doc").to_numpy(), count)
+                start, off, n = p >> 32, p >> 16 & 0xFFFF, p & 0xFFFF
+                a = np.repeat(offsets[:-1], count) + start
+                o = np.argsort(a, kind="stable")
+                for at in range(0, len(o), RUN_SUFFIXES):
+                    runs: dict[int, list[Suffix]] = {}
+                    own = o[at : at + RUN_SUFFIXES]
+                    own = own[~hot[own]]
+                    for x, b, m, d, q, part in zip(a[own].tolist(), off[own].tolist(), n[own].tolist(), doc[own].tolist(), p[own].tolist(), (gram[own] % parts).tolist()):
+                        whole_string = data[x : x + m - 1 + LENGTH].tobytes()
+                        runs.setdefault(part, []).append((whole_string[b:], whole_string[:b], d, q))
+                    yield from sorted_runs(runs)
+                o = o[hot[o]]
+                for piece in np.split(o, np.flatnonzero(np.diff(a[o] // PIECE)) + 1):
+                    if len(piece):
+                        low = int(a[piece[0]])
+                        yield from hot_strings(data[low : int(a[piece[-1]]) + 256 + LENGTH], a[piece] - low, n[piece], doc[piece], start[piece])
 
     return run
 
@@ -388,42 +405,42 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole):
             data, offsets = byte_view(batch.column("text"))
             rows = []
-            for base, end, marks in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("marks").to_pylist()):
+            for base, end, marks in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("marks")):
+                gone = []
+                if marks.is_valid:
+                    m = np.sort(marks.values.to_numpy(zero_copy_only=False))
+                    a, b = m >> 32, np.maximum.accumulate((m >> 32) + (m & 0xFFFFFFFF) - 1 + LENGTH)
+                    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+                    gone = list(zip(a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist()))
                 raw = data[base:end]
-                if not marks:
-                    rows.append((len(raw), 0, 0, hashlib.sha256(raw.tobytes()).hexdigest(), raw.tobytes()))
-                    continue
-                m = np.array(marks, np.int64)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, m >> 32, 1)
-                np.add.at(edge, (m >> 32) + (m & 0xFFFFFFFF) - 1 + LENGTH, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                kept = raw[~gone].tobytes()
-                rows.append((len(raw), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), hashlib.sha256(kept).hexdigest(), kept))
+                kept = b"".join([raw[x:y].tobytes() for x, y in zip([0, *[y for _, y in gone]], [*[x for x, _ in gone], end - base])])
+                rows.append((end - base, end - base - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             n, r, s, h, k = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string()), pa.array(k, pa.binary())],
-                names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string()), pa.array(k, pa.binary())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
 
 def repeated_marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc, p) for all strings of docs(doc, text) that occur earlier: p is start << 32 | number of starts."""
     spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // PART_BYTES)
     rows = docs.select("doc", "text").mapInArrow(_anchor_rows, ROW)
-    first = saved(rows.repartition("key").mapInArrow(_by_gram, ROW), "grams")
+    first = saved(rows.repartition(dealt, "key").mapInArrow(_by_gram, ROW), "grams")
     release(spark)
-    second = saved(first.where(f"kind = {C}").repartition("key").mapInArrow(_fold, ROW), "suffixes")
+    second = saved(first.where(f"kind = {C}").repartition(dealt, "key").mapInArrow(_fold, ROW), "suffixes")
     release(spark)
     ends = second.where(f"kind = {FIRST}").select(F.col("e").alias("gram"), "doc", "p")
     hot = ends.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group).select("gram", F.lit(True).alias("hot"))
-    wanted = ends.join(hot, "gram", "left").groupBy("doc").agg(F.collect_list(F.struct("p", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
-    parts = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = ends.join(hot, "gram", "left").groupBy("doc").agg(F.collect_set(F.struct("p", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
+    parts = 4 * dealt
     sent = docs.join(wanted, "doc").select("doc", "text", "found").mapInArrow(_suffix_rows(parts), EXCHANGE)
     sent = saved(sent, "runs")
     release(spark)
-    merge = sent.where(f"kind = {SUFFIXES}").select("part", "blob").repartition("part").mapInArrow(_merge, ROW)
-    strings = sent.where(f"kind = {STRING}").select("kind", "key", "e", "doc", "p").repartition("key").mapInArrow(_fold, ROW)
+    merge = sent.where(f"kind = {SUFFIXES}").select("part", "blob").repartition(dealt, "part").mapInArrow(_merge, ROW)
+    strings = sent.where(f"kind = {STRING}").select("kind", "key", "e", "doc", "p").repartition(dealt, "key").mapInArrow(_fold, ROW)
     tables = [first, second, saved(merge, "merged"), sent, strings]
     out = None
     for t in tables:
@@ -432,13 +449,27 @@ def repeated_marks(docs: DataFrame, group: int = GROUP) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc, doc_id, text for each row of docs: doc is the doc_id, or, if doc_ids do not tell texts apart, a number in their order."""
+    k1, k2 = row_keys()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"k1": k1, "k2": k2})
+    per_id = keyed.groupBy("doc_id").agg(F.min("k2").alias("a"), F.max("k2").alias("b"))
+    if per_id.where("a <> b or doc_id is null").isEmpty():
+        return keyed.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("k2")]
+    ranged = keyed.select("doc_id", "k1", "k2").distinct().repartitionByRange(n, *order).sortWithinPartitions(*order)
+    numbers = saved(ranged.select("k1", "k2", F.monotonically_increasing_id().alias("doc")), "numbers")
+    return saved(keyed.join(numbers, ["k1", "k2"]).select("doc", "doc_id", "text"), "numbered")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) for each row of docs(doc_id, text)."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    marks = saved(repeated_marks(keyed).groupBy("doc").agg(F.collect_list("p").alias("marks")), "marks")
+    keyed = numbered(docs)
+    marks = saved(repeated_marks(keyed).groupBy("doc").agg(F.collect_set("p").alias("marks")), "marks")
     release(docs.sparkSession)
-    out = keyed.join(marks, "doc", "left").select("doc", "text", "marks").mapInArrow(_cleaned, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    out = keyed.join(marks, "doc", "left").select("doc_id", "text", "marks")
+    return out.mapInArrow(_cleaned, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
