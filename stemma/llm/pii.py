@@ -4,11 +4,13 @@ Base patterns find e-mail addresses, IP addresses, card numbers and phone number
 terms give these entities away: for a term t in a document with an entity e, its disclosure is the pointwise mutual
 information log(N c(t, e) / (n(t) n(e))) over e's own information log(N / n(e)), from document counts over the whole
 corpus. At 1 the term occurs with e alone. A term is any word outside the entities, without what is no letter, mark or
-digit at its ends, wherever it stands. Terms met with e in two or more different texts, and at or over GENERALISE, become spans of kind `term` in every document that holds e: from REMOVE on they are removed, below
-generalised to their first letter.
+digit at its ends, wherever it stands. Terms met with e in two or more different texts, and at or over GENERALISE,
+become spans of kind `term` in every document that holds e: from REMOVE on they are removed, below generalised to
+their first letter.
 
-Null texts count as empty. Repeated rows keep their own spans (they count as documents, but one repeated text is
-not two texts). An empty table gives no rows. Positions are code points, ends exclusive.
+Null texts count as empty. Rows are told apart by doc_id and text, so rows without doc_id, or of one doc_id, have each
+their own spans; rows that repeat one whole have the same, count as documents, and are not two texts. An empty table
+gives no rows. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm.common import WORD, documents, let, saved
+from stemma.llm.common import documents, let, row_keys, saved, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kind -> pattern. They match what the plain patterns match, but look at each run of characters once: a match may
@@ -30,8 +32,12 @@ PATTERNS = {
 #: A text without a match of this has none of the kind.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: What is cut off the ends of a word.
-EDGES = r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$"
+EDGES = r"^[^\p{L}\p{M}\p{N}]++|(?<=[\p{L}\p{M}\p{N}])[^\p{L}\p{M}\p{N}]++$"
+#: What stands between two words, edges included, from where a word ends.
+BETWEEN = r"(?<=[\p{L}\p{M}\p{N}])[^\p{L}\p{M}\p{N}]*[\x20\x09-\x0D][^\p{L}\p{M}\p{N}]*+"
 GENERALISE, REMOVE = 0.8, 0.9
+#: Up to so many terms are sent to all executors.
+SENT_TERMS = 200_000
 
 
 def _digits(c: Column) -> Column:
@@ -59,9 +65,9 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches: what stands between matches gives their places."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+def located(text: Column, pattern: str, made, kind: str) -> Column:
+    """array<kind> of made(start, match) for all matches where it is not null: what stands between matches gives their places."""
+    empty = F.array().cast(f"array<{kind}>")
 
     def place(m: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), 1, F.size(m))
@@ -69,8 +75,8 @@ def located(text: Column, pattern: str) -> Column:
 
         def step(acc: Column, x: Column) -> Column:
             a = acc["at"] + F.length(x["gap"])
-            b = a + F.length(x["value"])
-            return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value")))).alias("out"))
+            out = let(made(a, x["value"]), lambda s: F.when(s.isNotNull(), F.concat(acc["out"], F.array(s))).otherwise(acc["out"]))
+            return F.struct((a + F.length(x["value"])).alias("at"), out.alias("out"))
 
         return F.aggregate(F.arrays_zip(gaps.alias("gap"), m.alias("value")), start, step, lambda acc: acc["out"])
 
@@ -79,19 +85,19 @@ def located(text: Column, pattern: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end, value>> by kind as listed, then start."""
+    span = "struct<kind:string,start:int,end:int,value:string>"
 
     def of_kind(kind: str) -> Column:
-        named = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
-        spans = F.transform(F.filter(located(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"])), named)
-        return F.when(text.contains(HINTS[kind]) & text.rlike(PATTERNS[kind]), spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
+        made = lambda a, v: F.when(_valid(kind, v), F.struct(F.lit(kind).alias("kind"), a.alias("start"), (a + F.length(v)).alias("end"), v.alias("value")))
+        return F.when(text.contains(HINTS[kind]) & text.rlike(PATTERNS[kind]), located(text, PATTERNS[kind], made, span)).otherwise(F.array().cast(f"array<{span}>"))
 
     parts = [of_kind(kind) for kind in KINDS]
     return F.concat(*parts)
 
 
 def _terms(text: Column) -> Column:
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.lower(F.regexp_replace(w, EDGES, "")))
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    words = F.split(F.regexp_replace(text, EDGES, ""), BETWEEN)
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), F.lower))
 
 
 def _blanked(text: Column, spans: Column) -> Column:
@@ -118,51 +124,67 @@ def may_hold() -> Column:
     return found[0] | found[1] | found[2] | found[3]
 
 
-def find_base(hits: DataFrame) -> DataFrame:
-    """doc_id, spans with entity, and the text without them (rest), for each row of hits(doc_id, text)."""
+def find_base(docs: DataFrame) -> DataFrame:
+    """k1, k2, doc_id, copies, spans with entity, and the text without them (rest), for each different row that matches a pattern."""
+    k1, k2 = row_keys()
+    hits = docs.where(may_hold()).select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text")
+    hits = saved(hits.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "pii-texts")
     full = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _entity(s).alias("entity"))
-    found = hits.select("doc_id", "text", F.transform(base_spans(F.col("text")), full).alias("spans"))
-    return found.select("doc_id", "spans", _blanked(F.col("text"), F.col("spans")).alias("rest"))
+    found = hits.select("k1", "k2", "doc_id", "copies", "text", F.transform(base_spans(F.col("text")), full).alias("spans"))
+    return saved(found.select("k1", "k2", "doc_id", "copies", "spans", _blanked(F.col("text"), F.col("spans")).alias("rest")), "pii")
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of all terms at or over GENERALISE."""
+def _several(df: DataFrame, name: str) -> DataFrame:
+    """Grouped rows (copies, where): the number of documents, where they are two different texts at least."""
+    # the least and the greatest digest differ, which needs no set of them
+    return df.agg(F.sum("copies").alias(name), F.min("where").alias("a"), F.max("where").alias("b")).where("a <> b").drop("a", "b")
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, disclosure) of all terms at or over GENERALISE, and (k1, k2, entity, term) of where such pairs may be met.
+
+    A disclosure d of GENERALISE takes n(t) <= c(t, e) (N / n(e)) ** (1 - d), which is at most n(e) ** d * N ** (1 - d).
+    So terms of more documents with entities than the most frequent entity allows, and those of one text, are no
+    candidates; only candidates are paired with entities, and only paired terms are counted over all documents.
+    """
     n_docs = docs.count()
-    met = base.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"), F.xxhash64("rest").alias("where"), "rest")
-    # two different texts: the least and the greatest digest differ, which needs no set of them
-    twice = lambda df, n: df.agg(F.count("*").alias(n), F.min("where").alias("a"), F.max("where").alias("b")).where("a <> b").drop("a", "b")
-    entities = saved(twice(met.groupBy("entity"), "n_entity").where(F.col("n_entity") < n_docs), "entities")
-    pairs = met.join(entities.select("entity"), "entity").select("entity", "where", F.explode(_terms(F.col("rest"))).alias("term"))
-    both = saved(twice(pairs.groupBy("entity", "term"), "n_both"), "terms")
-    if both.isEmpty():
-        return both.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    texts = docs.where(~may_hold()).select(F.coalesce("text", F.lit("")).alias("text")).unionByName(base.select(F.col("rest").alias("text")))
-    n_term = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
-    rated = both.join(entities, "entity").join(n_term, "term")
+    digest = F.xxhash64("rest").alias("where")
+    held = base.select("k1", "k2", "copies", digest, F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
+    entities = saved(_several(held.groupBy("entity"), "n_entity").where(F.col("n_entity") < n_docs), "entities")
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
+    own = saved(base.select("k1", "k2", "copies", digest, F.explode(_terms(F.col("rest"))).alias("term")), "own-terms")
+    rare = _several(own.groupBy("term"), "n_held").where(F.col("n_held") <= 1.0001 * most**GENERALISE * n_docs ** (1 - GENERALISE)).select("term")
+    pairs = own.join(rare, "term").join(held.join(entities, "entity").select("k1", "k2", "entity"), ["k1", "k2"])
+    pairs = saved(pairs, "pairs")
+    both = saved(_several(pairs.groupBy("entity", "term"), "n_both").join(entities, "entity"), "terms")
+    wanted = saved(both.select("term").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.limit(SENT_TERMS + 1).count() <= SENT_TERMS else wanted
+    others = docs.where(~may_hold()).select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"), F.lit(1).cast("long").alias("copies"))
+    n_term = others.unionByName(own.select("term", "copies")).join(wanted, "term").groupBy("term").agg(F.sum("copies").alias("n_term"))
     gain = F.log2(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
-    return rated.select("entity", "term", gain.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    rated = both.join(n_term, "term").select("entity", "term", gain.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return saved(rated, "disclosing"), pairs.select("k1", "k2", "entity", "term")
 
 
 def _given_away(docs: DataFrame, base: DataFrame) -> DataFrame | None:
-    """(doc_id, terms) of the documents that hold an entity with disclosing terms; terms map to their disclosure."""
-    terms = saved(disclosing_terms(docs, base), "disclosing")
-    if terms.isEmpty():
+    """(k1, k2, terms) of the rows that hold an entity and terms that give it away; terms map to their disclosure."""
+    rated, pairs = disclosing_terms(docs, base)
+    if rated.isEmpty():
         return None
-    held = base.select("doc_id", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).distinct()
-    per_doc = held.join(terms, "entity").groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
-    return saved(per_doc.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms")), "given-away")
+    per_row = pairs.join(rated, ["entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("disclosure").alias("disclosure"))
+    return saved(per_row.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms")), "given-away")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
     """Places of the given terms in a text, punctuation around them left out."""
-    letters = located(text, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++")
 
-    def inner(w: Column) -> Column:
-        core = F.regexp_replace(w["value"], EDGES, "")
-        a = w["start"] + F.length(F.regexp_extract(w["value"], r"^[^\p{L}\p{M}\p{N}]*", 0))
-        return F.struct(F.lit("term").alias("kind"), a.alias("start"), (a + F.length(core)).alias("end"), F.element_at(terms, F.lower(core)).alias("disclosure"))
+    def made(at: Column, word: Column) -> Column:
+        core = F.regexp_replace(word, EDGES, "")
+        a = at + F.length(F.regexp_extract(word, r"^[^\p{L}\p{M}\p{N}]*", 0))
+        d = F.element_at(terms, F.lower(core))
+        return F.when(d.isNotNull(), F.struct(F.lit("term").alias("kind"), a.alias("start"), (a + F.length(core)).alias("end"), d.alias("disclosure")))
 
-    return F.filter(F.transform(letters, inner), lambda s: s["disclosure"].isNotNull())
+    return located(text, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++", made, "struct<kind:string,start:int,end:int,disclosure:double>")
 
 
 def _listed(spans: Column) -> Column:
@@ -171,20 +193,19 @@ def _listed(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, base_sha256, spans and n_term for each row of docs."""
-    hits = saved(docs.where(may_hold()).select("doc_id", "text"), "pii-texts")
-    base = saved(find_base(hits), "pii")
+    base = find_base(docs)
     away = _given_away(docs, base)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     listed = _listed(F.col("spans"))
-    out = base.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed, 256).alias("base_sha256"), listed.alias("listed"))
+    out = base.select("k1", "k2", "doc_id", "copies", "rest", *[count(k) for k in KINDS], F.sha2(listed, 256).alias("base_sha256"), listed.alias("listed"))
     if away is None:
-        out = out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.col("listed").alias("spans"), F.lit(0).cast("long").alias("n_term"))
+        out = out.select("doc_id", "copies", *[f"n_{k}" for k in KINDS], "base_sha256", F.col("listed").alias("spans"), F.lit(0).cast("long").alias("n_term"))
     else:
-        more = base.join(away, "doc_id").select("doc_id", _term_spans(F.col("rest"), F.col("terms")).alias("t"))
-        more = more.groupBy("doc_id").agg(F.max_by("t", F.size("t")).alias("t"))
+        terms = F.when(F.col("terms").isNotNull(), _term_spans(F.col("rest"), F.col("terms")))
+        out = out.join(away, ["k1", "k2"], "left").withColumn("t", terms)
         both = F.concat_ws(",", F.when(F.col("listed") != "", F.col("listed")), F.when(F.size("t") > 0, _listed(F.col("t"))))
-        n_term = F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0)).cast("long")
-        out = out.join(more, "doc_id", "left").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", both.alias("spans"), n_term.alias("n_term"))
+        out = out.select("doc_id", "copies", *[f"n_{k}" for k in KINDS], "base_sha256", both.alias("spans"), F.coalesce(F.array_size("t"), F.lit(0)).cast("long").alias("n_term"))
+    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
     zero = F.lit(0).cast("long")
     rest = docs.where(~may_hold()).select("doc_id", *[zero.alias(f"n_{k}") for k in KINDS], F.sha2(F.lit("").cast("binary"), 256).alias("base_sha256"), F.lit("").alias("spans"), zero.alias("n_term"))
     return out.unionByName(rest)
@@ -192,17 +213,17 @@ def report(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with base spans replaced by their kind ([EMAIL], ...) and disclosing terms removed or generalised; n_chars follows."""
-    hits = saved(docs.where(may_hold()), "pii-texts")
-    base = saved(find_base(hits.select("doc_id", "text")), "pii")
-    away = _given_away(docs, base)
+    away = _given_away(docs, find_base(docs))
     text, cut = F.col("text"), "array<struct<start:int,end:int,by:string>>"
     named = lambda b: F.transform(b, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
-    rows, own = hits, named(base_spans(text))
+    rows, own = docs.where(may_hold()), named(base_spans(text))
     if away is not None:
-        rows = hits.join(away.withColumnRenamed("terms", "_terms"), "doc_id", "left").withColumn("_base", base_spans(text))
+        c_k1, c_k2, c_terms, c_base = unused(docs, "_k1", "_k2", "_terms", "_base")
+        k1, k2 = row_keys()
+        rows = rows.withColumns({c_k1: k1, c_k2: k2}).join(away.select(F.col("k1").alias(c_k1), F.col("k2").alias(c_k2), F.col("terms").alias(c_terms)), [c_k1, c_k2], "left").withColumn(c_base, base_spans(text))
         by = lambda s: F.when(s["disclosure"] >= REMOVE, F.lit("[TERM]")).otherwise(F.concat(F.substring(text, s["start"] + 1, F.lit(1)), F.lit(".")))
-        terms = F.transform(_term_spans(_blanked(text, F.col("_base")), F.col("_terms")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
-        own = F.concat(named(F.col("_base")), F.when(F.col("_terms").isNotNull(), terms).otherwise(F.array().cast(cut)))
+        terms = F.transform(_term_spans(_blanked(text, F.col(c_base)), F.col(c_terms)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
+        own = F.concat(named(F.col(c_base)), F.when(F.col(c_terms).isNotNull(), terms).otherwise(F.array().cast(cut)))
 
     def rebuilt(spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
