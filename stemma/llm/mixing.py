@@ -1,13 +1,14 @@
 """Mixing sources to target weights by cube-method balanced sampling.
 
 A source's documents are all due target / size copies on average. The whole part is given to each; the fraction is an
-inclusion probability. The flight phase moves three documents' probabilities at a time along the null space of two
-constraints (the source's token total and document total), until one of them is 0 or 1. It runs in blocks of bounded
-size, each of which leaves at most two documents undecided; these meet in fewer blocks at the next level, until one
-block a source is left, whose landing tries all outcomes of its last dozen documents for the nearest token total.
+inclusion probability. The flight phase moves the probabilities of a block along the null space of two constraints (the
+source's token total and document total), in the direction that moves the longest open document most, until one of them
+is 0 or 1. It runs in blocks of bounded size, each of which leaves at most two documents undecided; these meet in fewer
+blocks at the next level, until one block a source is left. Its last two documents land by probabilities that keep both
+expectations and miss the document total by less than one. So every document keeps its inclusion probability.
 
 Null texts have size 0. A null source is a source of its own, the last in order. Repeated rows are drawn one by one.
-Draws depend on doc_id, source and size only, so reruns agree. Empty tables give empty results.
+Draws depend on doc_id, text and source only, so reruns agree. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,21 +18,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stemma.llm.common import WORD, documents, saved
+from stemma.llm.common import WORD, documents, row_keys, saved, unused
 
 #: Rows in a block of the flight phase.
 BLOCK = 1024
-#: Documents, of all lengths, that the last block of a source keeps for the landing.
-LANDING = 10
+#: Repeats of one row that are counted out at a time.
+REPEATS = 100_000
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, n_rows, source_size, target) from rows of (source, size): weights repeat over the ordered sources.
+    """(source, n_rows, source_size, target) from (source, size, rows), rows being how many are alike: weights repeat over the ordered sources.
 
     Water level L solves sum(min(cap * size, L * weight)) = share * all sizes: what resharing the excess ends in.
     Its windows run over one row for each source.
     """
-    s = sized.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size"))
+    s = sized.groupBy("source").agg(F.sum("rows").alias("n_rows"), F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     ranked = s.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     ranked = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int")))
     everything = Window.partitionBy().orderBy("full", "k")
@@ -45,69 +46,66 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
 def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
     """Move probabilities to 0 or 1, keeping sum(p) and sum(size * p); at most two stay open, none if land."""
     p, eps = p.astype(float).copy(), 1e-9
-    open_ = [i for i in range(len(p)) if eps < p[i] < 1 - eps]
     p[p <= eps], p[p >= 1 - eps] = 0.0, 1.0
-    draws, used = rng.random(3 * len(open_) + 8), 0
-    window: list[int] = []
-    held = [open_[i] for i in sorted({round(k * (len(open_) - 1) / (LANDING - 1)) for k in range(LANDING)})] if land and open_ else []
-    open_ = [i for i in open_ if i not in held]
-    at, end = 0, len(open_)
-
-    def move(group: list[int], u: list[float]) -> None:
-        nonlocal used
-        up = min(((1 - p[i]) / x if x > 0 else p[i] / -x) for i, x in zip(group, u) if x)
-        down = min((p[i] / x if x > 0 else (1 - p[i]) / -x) for i, x in zip(group, u) if x)
-        t = up if draws[used] * (up + down) < down else -down
-        used += 1
-        for i, x in zip(group, u):
-            q = p[i] + t * x
-            p[i] = 0.0 if q <= eps else 1.0 if q >= 1 - eps else q
-
-    while True:
-        while len(window) < 3 and at < end:
-            window.append(open_[at])
-            at += 1
-        if len(window) < 3:
+    free = np.flatnonzero((p > 0) & (p < 1))
+    free = free[np.argsort(-size[free], kind="stable")]
+    while m := len(free):
+        z = size[free] - size[free].mean()
+        # what is left of each unit vector in the null space of (1, size); the first one's is taken unless nothing is left
+        scale = z @ z
+        left = 1 - 1 / m - (z * z / scale if scale else 0)
+        k = 0 if left[0] > 1e-6 else int(left.argmax())
+        if left[k] <= 1e-9:
             break
-        a, b, c = (float(size[i]) for i in window)
-        u = [b - c, c - a, a - b]
-        move(window, u if any(u) else [1.0, -1.0, 0.0])
-        window = [i for i in window if 0 < p[i] < 1]
-    if land and (last := window + held):
-        # all outcomes of the few open documents: the token total to a thousandth, then the document total
-        outcomes = (np.arange(1 << len(last))[:, None] >> np.arange(len(last)) & 1).astype(float)
-        miss = np.abs((outcomes - p[last]) @ size[last].astype(float))
-        near = np.round(miss / max(1e-9, 0.001 * float(size.astype(float) @ p)))
-        p[last] = outcomes[np.lexsort([miss, np.abs((outcomes - p[last]).sum(1)), near])[0]]
+        u = -1 / m - (z * (z[k] / scale) if scale else np.zeros(m))
+        u[k] += 1
+        q = p[free]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ahead, behind = np.where(u > 0, (1 - q) / u, -q / u), np.where(u > 0, q / u, -(1 - q) / u)
+        ahead, behind = np.where(np.abs(u) > 1e-12, ahead, np.inf), np.where(np.abs(u) > 1e-12, behind, np.inf)
+        up, down = int(ahead.argmin()), int(behind.argmin())
+        forward = rng.random() * (ahead[up] + behind[down]) < behind[down]
+        at, t = (up, ahead[up]) if forward else (down, -behind[down])
+        q = q + t * u
+        q[at] = float((u[at] > 0) == forward)
+        q[q <= eps], q[q >= 1 - eps] = 0.0, 1.0
+        p[free] = q
+        free = free[(q > 0) & (q < 1)]
+    if land and len(free):
+        # one draw for both: none or one of them if they sum to one at most, one or both otherwise
+        draw, ends = rng.random(), np.cumsum(p[free])
+        p[free] = [float(draw < ends[0]), float(ends[0] <= draw < ends[-1] or draw < ends[-1] - 1)][: len(free)]
     return p
 
 
 def _flight(land: bool, columns: list[str]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # the longest first, so that what stays open is short
-        rows = rows.assign(z=-rows["size"]).sort_values(["z", "h", "doc_id", "seq"], kind="stable", ignore_index=True)
+        rows = rows.assign(z=-rows["size"]).sort_values(["z", "h", "k1", "k2", "nth"], kind="stable", ignore_index=True)
         seed = [int(rows["h"].iloc[0]) & 0x7FFFFFFFFFFFFFFF, int(rows["h"].iloc[-1]) & 0x7FFFFFFFFFFFFFFF, len(rows)]
-        return rows.assign(p=fly(rows["size"].to_numpy(), rows["p"].to_numpy(), np.random.default_rng(seed), land))[columns]
+        return rows.assign(p=fly(rows["size"].to_numpy(np.float64), rows["p"].to_numpy(), np.random.default_rng(seed), land))[columns]
 
     return run
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for each row of docs(doc_id, text, source)."""
+def _drawn(docs: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    """k1, k2, doc_id, source, size, source_size, target and copies for each row of docs."""
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD)))
-    sized = saved(docs.select("doc_id", "source", size.cast("long").alias("size")), "sizes")
+    k1, k2 = row_keys()
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.cast("long").alias("size"), k1.alias("k1"), k2.alias("k2"))
+    # repeated rows are told apart by a number, which is the same in every run
+    sized = saved(every.groupBy("doc_id", "source", "size", "k1", "k2").agg(F.count("*").alias("rows")), "sizes")
     targets = saved(source_targets(sized, weights, share, cap), "targets")
+    count_out = lambda n, size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / size).cast("long") - 1))
+    each = sized.withColumn("block", count_out(F.col("rows"), REPEATS)).withColumn("nth", count_out(F.least(F.lit(REPEATS), F.col("rows") - F.col("block") * REPEATS), 1))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(
-        F.col("doc_id").cast("long"), sized["source"], "size", "n_rows", "source_size", "target", F.floor(ratio).cast("long").alias("whole"), (ratio - F.floor(ratio)).alias("p"),
-        F.xxhash64("doc_id", "size").alias("h"), F.monotonically_increasing_id().alias("seq"),
+    rows = each.withColumn("nth", F.col("block") * REPEATS + F.col("nth")).join(targets, each["source"].eqNullSafe(targets["source"])).select(
+        "k1", "k2", F.col("doc_id").isNotNull().alias("named"), each["source"], "size", "source_size", "target", F.floor(ratio).cast("long").alias("whole"), (ratio - F.floor(ratio)).alias("p"),
+        F.xxhash64("k1", "k2", "nth").alias("h"), "nth", F.ceil(F.col("n_rows") / BLOCK).alias("blocks"),
     )
-    todo = rows.withColumn("blocks", F.ceil(F.col("n_rows") / BLOCK)).drop("n_rows")
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "h", "seq", "blocks"]
-    schema = "doc_id bigint, source string, size bigint, source_size bigint, target double, whole bigint, p double, h bigint, seq bigint, blocks bigint"
+    schema = "k1 bigint, k2 bigint, named boolean, source string, size bigint, source_size bigint, target double, whole bigint, p double, h bigint, nth bigint, blocks bigint"
+    columns = [c.split()[0] for c in schema.split(", ")]
     most = targets.agg(F.max(F.ceil(F.col("n_rows") / BLOCK))).first()[0] or 1
-    done = None
-    level = 0
+    done, todo, level = None, rows, 0
     while True:
         land = most <= 1
         todo = todo.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks")))
@@ -120,15 +118,25 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
         # a block leaves two rows at most
         todo = flown.where("p > 0 and p < 1").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("blocks") * 2 / BLOCK)))
         most, level = max(1, -(-most * 2 // BLOCK)), level + 1
-    copies = (F.col("whole") + F.col("p")).cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.withColumns({"copies": (F.col("whole") + F.col("p")).cast("long"), "doc_id": F.when(F.col("named"), F.col("k1"))})
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken for each row of docs(doc_id, text, source)."""
+    return _drawn(docs, weights, share, cap).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The rows of docs, with all their columns, as often as the mix takes them. Rows that share a doc_id are taken equally often."""
-    copies = mix(docs, weights, share, cap).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["_id"]))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of docs, with all their columns, as often as the mix takes them.
+
+    Of rows that agree in doc_id, text and source, one stands for all, as often as they are taken together.
+    """
+    a, b, c, n = unused(docs, "_k1", "_k2", "_k3", "_n")
+    k1, k2 = row_keys()
+    source = lambda s: F.xxhash64(s.isNull(), s)
+    copies = _drawn(docs, weights, share, cap).groupBy(F.col("k1").alias(a), F.col("k2").alias(b), source(F.col("source")).alias(c)).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    rows = docs.withColumns({a: k1, b: k2, c: source(F.col("source").cast("string"))}).dropDuplicates([a, b, c]).join(copies, [a, b, c])
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
