@@ -2,10 +2,12 @@
 
 A text's UTF-8 bytes are embedded, and learned filters of 8 bytes run over it in steps of 4. The text is covered
 whole by overlapping chunks; each filter is max-pooled in each chunk, and the mean and the maximum over chunks
-combine into one probability. Training reads a bounded sample of labelled rows (`sample_rows`); scoring reads all.
+combine into one probability. Training reads a bounded sample of labelled rows (`sample_rows`) whose texts have at most
+`sample_bytes` bytes; scoring reads all rows and whole texts.
 
-Null and empty texts are scored as one blank chunk. Rows of labels without a quality, and repeated labels of a
-document but one, are not learned from. Equal texts have equal scores.
+Null and empty texts are scored as one blank chunk. A doc_id is learned from once: its greatest label, and of several
+texts the least. Labels without a quality or doc_id are not learned from; rows without doc_id are scored as any other
+and are not held out. Equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ from stemma.llm.common import byte_view, documents, slices
 STEP, DIM = 4, 8
 #: A chunk has CHUNK bytes and begins every STRIDE bytes.
 CHUNK, STRIDE = 512, 448
-SAMPLE_ROWS = 2500
+#: Chunks that are worked on together.
+BLOCK = 1024
+#: Most labelled rows that are learned from, and the longest text among them in bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 1 << 20
 THRESHOLD = 0.3
 
 
@@ -48,7 +53,8 @@ def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     steps = np.maximum(1, -(-lengths // STEP))
     begins = np.concatenate([[0], np.cumsum(steps + 1)])  # a blank step lies between texts
     padded = np.zeros((int(begins[-1]) + 1) * STEP, np.uint8)
-    padded[np.repeat(begins[:-1] * STEP - offsets[:-1], lengths) + np.arange(len(data))] = data
+    for to, a, b in zip((begins[:-1] * STEP).tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        padded[to : to + b - a] = data[a:b]
     width, stride = CHUNK // STEP, STRIDE // STEP
     n_chunks = np.maximum(1, -(-(steps - (width - stride)) // stride))
     first = np.concatenate([[0], np.cumsum(n_chunks)])
@@ -68,8 +74,12 @@ def _windows(net: Net, padded: np.ndarray) -> np.ndarray:
 
 def pooled(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     padded, chunks, first = laid_out(data, offsets)
-    act = np.concatenate([np.maximum(_windows(net, padded), 0), np.zeros((1, net.bias.size), np.float32)])
-    by_chunk = np.maximum.reduceat(act, chunks.ravel(), axis=0)[::2]
+    by_chunk = np.empty((len(chunks), net.bias.size), np.float32)
+    for at in range(0, len(chunks), BLOCK):  # so that memory does not follow the text
+        part = chunks[at : at + BLOCK]
+        low, high = int(part[0, 0]), int(part[:, 1].max())
+        act = np.concatenate([np.maximum(_windows(net, padded[low * STEP : (high + 1) * STEP]), 0), np.zeros((1, net.bias.size), np.float32)])
+        by_chunk[at : at + BLOCK] = np.maximum.reduceat(act, (part - low).ravel(), axis=0)[::2]
     most = np.maximum.reduceat(by_chunk, first[:-1], axis=0)
     mean = np.add.reduceat(by_chunk, first[:-1], axis=0) / np.diff(first)[:, None]
     return np.concatenate([mean, most], 1)
@@ -137,12 +147,14 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Net:
     """Train on at most sample_rows labelled rows that are not held out, picked by a hash of doc_id."""
     picked = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(2 * sample_rows).collect()
-    return train([(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows], np.float32))
+    text = F.coalesce("text", F.lit(""))
+    short = docs.select("doc_id", text.alias("text")).where(F.octet_length(text) <= sample_bytes)
+    rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    return train([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
