@@ -6,7 +6,7 @@ import pytest
 
 WORDS = "The of and theaea onti thnted erre ndwh hation; It over, edly sting ereat tionhe anre. Ing ble was for thth este".split()
 #: Extra columns whose names the operators use inside.
-EXTRA = ["size", "block", "kind", "rep", "spans", "component_id", "kept", "p", "h", "place"]
+EXTRA = ["size", "block", "kind", "rep", "spans", "component_id", "kept", "p", "h", "place", "_terms", "_base", "_id", "_copies", "_n", "_keep", "_copy", "_k1", "_k2", "_k3", "k1", "k2", "tie", "doc", "copies", "nth", "held", "held_out", "score"]
 
 
 def prose(seed: int, n: int) -> str:
@@ -24,10 +24,10 @@ def odd_texts() -> list[str | None]:
 
 @pytest.fixture(scope="session")
 def make(spark):
-    """docs from texts, with ids 0, 1, ...; the last rows repeat a row whole and have no id."""
+    """docs from texts, with the given ids or 0, 1, ..."""
 
-    def build(texts, extra=True):
-        rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
+    def build(texts, extra=True, ids=None):
+        rows = [(i, t, "en", f"s{k % 3}" if k % 5 else None, len(t or "")) for k, (i, t) in enumerate(zip(ids or range(len(texts)), texts))]
         df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
         if extra:
             from pyspark.sql import functions as F
@@ -46,3 +46,21 @@ def odd(make):
 @pytest.fixture(scope="session")
 def empty(make, odd):
     return odd.limit(0)
+
+
+def ragged_rows() -> list[tuple[int | None, str | None]]:
+    """(doc_id, text): repeated rows, rows without id (with equal and with different texts), one id with several texts."""
+    shared = prose(70, 60)
+    mail = " write to jo.doe@example.org or Quillfeather-Zyx, at once "
+    out = list(enumerate(odd_texts()))
+    out += [(100 + i, prose(800 + i, 70)) for i in range(30)]
+    out += [(40, prose(40, 80)), (40, prose(41, 300) + shared), (40, shared + prose(42, 20)), (40, prose(40, 80)), (40, None), (40, "")]
+    out += [(None, prose(43, 200) + shared), (None, prose(44, 90)), (None, prose(44, 90)), (None, prose(44, 90).replace("of", "off", 1)), (None, None), (None, "")]
+    out += [(50, prose(45, 40) + mail + prose(46, 30)), (None, prose(47, 50) + mail), (50, mail + prose(48, 60)), (50, prose(45, 40) + mail + prose(46, 30))]
+    return out + [(60, prose(49, 120)), (60, prose(49, 120)), (61, prose(49, 120)), (None, prose(49, 120)), (-(1 << 63), shared), ((1 << 63) - 1, prose(90, 30))]
+
+
+@pytest.fixture(scope="session")
+def ragged(make):
+    rows = ragged_rows()
+    return make([t for _, t in rows], ids=[i for i, _ in rows])
