@@ -110,7 +110,10 @@ def followed(target: Column) -> Column:
 
 
 def reference_spans(title: Column, targets: Column) -> Column:
-    """array<struct<start, end, target>>: first place of each target in the title, case-blind, greedily without overlap."""
+    """array<struct<start, end, target>>: first place of each target in the title, case-blind, greedily without overlap.
+
+    If none is in the title, the first target stands behind it as a whole, at its end.
+    """
     low = F.lower(title)
     placed = F.transform(targets, lambda t: F.struct((F.call_function("locate", F.lower(t), low) - 1).alias("start"), F.length(t).alias("n"), t.alias("target")))
     found = F.array_sort(F.transform(F.filter(placed, lambda m: m["start"] >= 0), lambda m: F.struct(m["start"].alias("start"), (-(m["start"] + m["n"])).alias("neg_end"), m["target"].alias("target"))))
@@ -122,4 +125,6 @@ def reference_spans(title: Column, targets: Column) -> Column:
         fits = m["start"] >= acc["last"]
         return F.struct(F.when(fits, end).otherwise(acc["last"]).alias("last"), F.when(fits, more).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(found, F.struct(F.lit(-1).alias("last"), empty.alias("out")), step, lambda acc: acc["out"])
+    end = F.length(title)
+    whole = F.when(F.size(targets) > 0, F.array(F.struct(end.alias("start"), end.alias("end"), targets[0].alias("target")))).otherwise(empty)
+    return F.when(F.size(found) == 0, whole).otherwise(F.aggregate(found, F.struct(F.lit(-1).alias("last"), empty.alias("out")), step, lambda acc: acc["out"]))

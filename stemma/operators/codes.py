@@ -19,49 +19,52 @@ def keyed(rows: DataFrame, code: str = "code") -> DataFrame:
     return rows.withColumn("code_norm", normalize_code(code)).withColumn("code_key", code_key("code_norm"))
 
 
-def page_boundaries(code_map: DataFrame) -> DataFrame:
+def page_boundaries(code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(page, code_norm, code_key): the first keyable code of each page, by code text."""
     fit = keyed(code_map).where("code_key is not null")
-    first = fit.groupBy("page").agg(F.min(F.struct("code_norm", "code_key")).alias("b"))
-    return first.select("page", "b.code_norm", "b.code_key")
+    first = fit.groupBy(*by, "page").agg(F.min(F.struct("code_norm", "code_key")).alias("b"))
+    return first.select(*by, "page", "b.code_norm", "b.code_key")
 
 
-def exact_pages(codes: DataFrame, code_map: DataFrame, top: int = TOP) -> DataFrame:
+def exact_pages(codes: DataFrame, code_map: DataFrame, top: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
     """(code_norm, rank, page, code, row_type): the first `top` map rows of each code by (page, code, row type)."""
-    wanted = keyed(codes).where("code_norm <> ''").select("code_norm").distinct()
-    hits = keyed(code_map).join(wanted, "code_norm", "left_semi")
-    order = Window.partitionBy("code_norm").orderBy("page", "code_norm", "row_type", "code")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("code_norm", "rank", "page", "code", "row_type")
+    wanted = keyed(codes).where("code_norm <> ''").select(*by, "code_norm").distinct()
+    hits = keyed(code_map).join(wanted, [*by, "code_norm"], "left_semi")
+    order = Window.partitionBy(*by, "code_norm").orderBy("page", "code_norm", "row_type", "code")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*by, "code_norm", "rank", "page", "code", "row_type")
 
 
-def boundary_intervals(code_map: DataFrame) -> DataFrame:
+def boundary_intervals(code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(low, high, page) of disjoint key ranges, cut at each major code: [low, high) has its as-of page.
 
-    The window runs over one row for each book page.
+    The window runs over one row for each page of a book.
     """
-    ends = page_boundaries(code_map).groupBy("code_key").agg(F.min("page").alias("page"))
-    order = Window.partitionBy().orderBy("code_key")
-    open_ = ends.select(F.col("code_key").alias("low"), F.lead("code_key").over(order).alias("next"), "page")
+    ends = page_boundaries(code_map, by).groupBy(*by, "code_key").agg(F.min("page").alias("page"))
+    order = Window.partitionBy(*by).orderBy("code_key")
+    open_ = ends.select(*by, F.col("code_key").alias("low"), F.lead("code_key").over(order).alias("next"), "page")
     # majors have two digits: the last range goes on to 99
     majors = F.sequence((F.col("low") / 1000).cast("int"), F.coalesce(((F.col("next") - 1) / 1000).cast("int"), F.lit(99)))
-    cut = open_.select("low", "next", "page", F.explode(majors).alias("major"))
-    return cut.select("major", F.greatest("low", F.col("major") * 1000).alias("low"), F.least(F.coalesce("next", F.lit(100_000)), (F.col("major") + 1) * 1000).alias("high"), "page")
+    cut = open_.select(*by, "low", "next", "page", F.explode(majors).alias("major"))
+    return cut.select(*by, "major", F.greatest("low", F.col("major") * 1000).alias("low"), F.least(F.coalesce("next", F.lit(100_000)), (F.col("major") + 1) * 1000).alias("high"), "page")
 
 
-def asof_pages(codes: DataFrame, code_map: DataFrame) -> DataFrame:
+def asof_pages(codes: DataFrame, code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(code_norm, page) of codes without an exact hit: the page of the greatest boundary at or before the code's key."""
-    wanted = keyed(codes).where("code_norm <> ''").select("code_norm", "code_key").distinct()
-    rest = wanted.join(keyed(code_map).select("code_norm"), "code_norm", "left_anti").where("code_key is not null")
+    wanted = keyed(codes).where("code_norm <> ''").select(*by, "code_norm", "code_key").distinct()
+    rest = wanted.join(keyed(code_map).select(*by, "code_norm"), [*by, "code_norm"], "left_anti").where("code_key is not null")
     rest = rest.withColumn("major", (F.col("code_key") / 1000).cast("int"))
-    ranges = boundary_intervals(code_map)
-    return rest.join(ranges, (rest["major"] == ranges["major"]) & (F.col("code_key") >= F.col("low")) & (F.col("code_key") < F.col("high"))).select("code_norm", "page")
+    within = rest.join(boundary_intervals(code_map, by), [*by, "major"])
+    return within.where((F.col("code_key") >= F.col("low")) & (F.col("code_key") < F.col("high"))).select(*by, "code_norm", "page")
 
 
-def book_pages(rows: DataFrame, code_map: DataFrame) -> DataFrame:
-    """Each coded row with its book page, how it was found (exact, asof, none) and the number of exact hits."""
-    coded = keyed(rows).where("code_norm <> ''")
-    exact = exact_pages(rows, code_map).groupBy("code_norm").agg(F.min("page").alias("exact_page"), F.count("*").alias("hits"))
-    asof = asof_pages(rows, code_map).withColumnRenamed("page", "asof_page")
-    out = coded.join(exact, "code_norm", "left").join(asof, "code_norm", "left")
+def book_pages(rows: DataFrame, code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each coded row with its book page, how it was found (exact, asof, none) and the number of exact hits.
+
+    With several books, rows and map have the columns `by`, and each row is looked up in its own book.
+    """
+    coded, key = keyed(rows).where("code_norm <> ''"), [*by, "code_norm"]
+    exact = exact_pages(rows, code_map, by=by).groupBy(*key).agg(F.min("page").alias("exact_page"), F.count("*").alias("hits"))
+    asof = asof_pages(rows, code_map, by).withColumnRenamed("page", "asof_page")
+    out = coded.join(exact, key, "left").join(asof, key, "left")
     found = F.when(F.col("exact_page").isNotNull(), "exact").when(F.col("asof_page").isNotNull(), "asof").otherwise("none")
     return out.withColumn("found", found).withColumn("book_page", F.coalesce("exact_page", "asof_page")).withColumn("hits", F.coalesce("hits", F.when(F.col("asof_page").isNotNull(), 1).otherwise(0)).cast("long")).drop("exact_page", "asof_page")

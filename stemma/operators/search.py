@@ -6,26 +6,28 @@ Ranges are cut out first; children and ancestors are then taken on what is left.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.functions.text import is_code_query, search_text, strip
-from stemma.operators.outline import has_children, with_ancestors, with_parent
+from stemma.functions.text import is_code_query, row_id, search_text, strip
+from stemma.operators.outline import has_children, with_ancestors, with_ordinal, with_parent
 
 FIELDS = ("chinese", "english", "code")
-#: Up to so many queries are sent to all executors; more are left to Spark's own choice of join.
-SENT_QUERIES = 10_000
+#: Up to so many needles are sent to all executors and looked for in each text; more meet by pieces of texts.
+SENT_QUERIES = 1_000
 DOCUMENT_ORDER = ("page", "level", "source_file", "source_line")
 
 
 def restrict(rows: DataFrame, page_min=None, page_max=None, level_min=None, level_max=None, files=None) -> DataFrame:
-    """Rows inside all given bounds (inclusive) and files."""
+    """Rows inside all given bounds (inclusive) and files (names, or a frame with source_file)."""
     for column, low, high in (("page", page_min, page_max), ("level", level_min, level_max)):
         if low is not None:
             rows = rows.where(F.col(column) >= low)
         if high is not None:
             rows = rows.where(F.col(column) <= high)
-    if files is not None:
+    if isinstance(files, DataFrame):
+        rows = rows.join(files.select("source_file").distinct(), "source_file", "left_semi")
+    elif files is not None:
         rows = rows.where(F.col("source_file").isin(list(files)))
     return rows
 
@@ -41,23 +43,25 @@ def cleaned(queries: DataFrame) -> DataFrame:
     return q.withColumn("is_code", is_code_query("q") | (F.col("mode") == "code"))
 
 
-def _sent(queries: DataFrame) -> DataFrame:
-    few = queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES
-    return F.broadcast(queries) if few else queries
-
-
-def search_codes(rows: DataFrame, queries: DataFrame) -> DataFrame:
+def search_codes(rows: DataFrame, queries: DataFrame, part: str = "source_file") -> DataFrame:
     """(query_id, pos, is_exact, rank) for code queries: exact hits, and prefixes only where a query has no exact hit.
 
-    Exact hits rank by page, level and place; prefix hits in document order.
+    Exact hits rank by page, level and place; prefix hits in document order. Distinct codes are cut to the lengths that
+    queries have (one number for each length, a few), so that prefixes meet in an equality join. Ranks are counted
+    part by part (exact hits page by page), not in one window over all hits of a query.
     """
-    wanted = _sent(cleaned(queries).where("is_code").select("query_id", "q"))
+    wanted = cleaned(queries).where("is_code").select("query_id", "q")
+    lengths = [r[0] for r in wanted.select(F.length("q")).distinct().collect()]
     low = rows.withColumn("_code", F.lower("code")).where("_code <> ''")
-    hits = low.join(wanted, low["_code"].startswith(wanted["q"])).withColumn("is_exact", F.col("_code") == F.col("q"))
-    exact = hits.groupBy("query_id").agg(F.max("is_exact").alias("_any"))
-    hits = hits.join(exact, "query_id").where(F.col("is_exact") == F.col("_any"))
-    by_place = Window.partitionBy("query_id").orderBy(*[F.when(F.col("is_exact"), F.col(c)) for c in DOCUMENT_ORDER], "pos")
-    return hits.withColumn("rank", F.row_number().over(by_place)).select("query_id", "pos", "is_exact", "rank")
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("_code"))
+    codes = low.select("_code").distinct().select("_code", F.explode(fits).alias("n")).select("_code", F.expr("substring(_code, 1, n)").alias("q"))
+    met = codes.join(wanted, "q").withColumn("is_exact", F.col("_code") == F.col("q"))
+    exact = met.groupBy("query_id").agg(F.max("is_exact").alias("_any"))
+    hits = low.join(met.join(exact, "query_id").where(F.col("is_exact") == F.col("_any")), "_code")
+    place = F.struct(*[F.when(F.col("is_exact"), F.col(c)).alias(f"k{i}") for i, c in enumerate(DOCUMENT_ORDER)], F.col("pos").alias("row"))
+    part_of = F.struct(F.when(F.col("is_exact"), F.col("page")).alias("page"), F.when(~F.col("is_exact"), F.col(part)).alias("part"))
+    ranked = with_ordinal(hits.select("query_id", "is_exact", part_of.alias("_part"), place.alias("pos")), "_part", ("query_id",))
+    return ranked.select("query_id", F.col("pos.row").alias("pos"), "is_exact", F.col("ord").cast("int").alias("rank"))
 
 
 def text_match(text: Column, q: Column, mode: Column) -> Column:
@@ -70,19 +74,21 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """texts(_text, ...) joined with needles(_needle, ...) that they contain.
 
     A few needles are sent to all executors. Beyond SENT_QUERIES each needle is looked up by the rarest of its
-    three-character pieces: an equality join, whose candidates are then tested. Needles of one or two characters have
-    no such piece; they are joined as they are.
+    three-character pieces: an equality join, whose candidates are then tested. Needles of one or two characters are
+    such pieces themselves.
     """
     if needles.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES:
         return texts.join(F.broadcast(needles), F.contains("_text", "_needle"))
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.call_function("substring", F.col(c), i, F.lit(3))))
+    pieces = lambda c, n=3: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.call_function("substring", F.col(c), i, F.lit(n))))
     each = texts.where(F.length("_text") >= 3).withColumn("_piece", F.explode(pieces("_text")))
     asked = needles.select("_needle").distinct().where(F.length("_needle") >= 3).withColumn("_piece", F.explode(pieces("_needle")))
     known = asked.join(each.groupBy("_piece").agg(F.count("*").alias("_n")), "_piece", "left")
     rarest = known.groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece")).alias("_r")).select("_needle", "_r._piece")
     found = each.join(rarest.join(needles, "_needle"), "_piece").where(F.contains("_text", "_needle")).drop("_piece")
-    short = texts.join(needles.where(F.length("_needle") < 3), F.contains("_text", "_needle"))
-    return found.unionByName(short)
+    for n in (1, 2):
+        cut = texts.where(F.length("_text") >= n).withColumn("_needle", F.explode(pieces("_text", n)))
+        found = found.unionByName(cut.join(needles.where(F.length("_needle") == n), "_needle").select(*found.columns))
+    return found
 
 
 def search_texts(rows: DataFrame, queries: DataFrame, fields=FIELDS) -> DataFrame:
@@ -94,11 +100,19 @@ def search_texts(rows: DataFrame, queries: DataFrame, fields=FIELDS) -> DataFram
     return containing(texts, needles).select("query_id", "pos").distinct()
 
 
-def search(rows: DataFrame, queries: DataFrame, fields=FIELDS) -> DataFrame:
-    """(query_id, pos) of all hits of all queries; an empty query has the level-0 rows."""
-    empty = _sent(queries.where(strip("query") == "").select("query_id"))
-    shown = browse(rows).select("pos").join(empty)
-    return search_codes(rows, queries).select("query_id", "pos").unionByName(search_texts(rows, queries, fields)).unionByName(shown.select("query_id", "pos"))
+def search(rows: DataFrame, queries: DataFrame, fields=FIELDS, part: str = "source_file") -> DataFrame:
+    """(query_id, pos, rank) of all hits of all queries; an empty query has the level-0 rows. Only exact code hits have a rank."""
+    empty = queries.where(strip("query") == "").select("query_id", F.lit(0).alias("level"))
+    shown = browse(rows).select("pos", "level").join(empty, "level").select("query_id", "pos")
+    coded = search_codes(rows, queries, part).select("query_id", "pos", F.when(F.col("is_exact"), F.col("rank")).alias("rank"))
+    other = search_texts(rows, queries, fields).unionByName(shown)
+    return coded.unionByName(other.withColumn("rank", F.lit(None).cast("int")))
+
+
+def node_positions(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, pos) of nodes(id) by row id; unknown ids have no row, and of rows with one id the last counts."""
+    known = rows.select(row_id().alias("id"), "pos").groupBy("id").agg(F.max("pos").alias("pos"))
+    return nodes.select("id").distinct().join(known, "id")
 
 
 def match_flag(q: str, mode: str = "auto", fields=FIELDS) -> Column:

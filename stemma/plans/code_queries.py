@@ -12,17 +12,26 @@ from stemma.sources.scratch import scratch
 
 KEY = r"""CASE WHEN regexp_full_match(code_norm, '\d{1,2}(\.\d{1,2})?') THEN CAST(split_part(code_norm, '.', 1) AS INT) * 1000
  + CASE WHEN contains(code_norm, '.') THEN CAST(rpad(split_part(code_norm, '.', 2), 2, '0') AS INT) + 1 ELSE 0 END END"""
-KEYED = rf"""keyed AS (SELECT *, {KEY} AS code_key FROM (SELECT *, lower(regexp_replace(code, '\s+', '', 'g')) AS code_norm FROM idx)),
+KEYED = rf"""keyed AS (SELECT *, {KEY} AS code_key FROM (SELECT *, CAST(floor(pos / 56.0) AS BIGINT) AS book, lower(regexp_replace(code, '\s+', '', 'g')) AS code_norm FROM idx)),
 map AS (SELECT *, {KEY} AS code_key FROM (SELECT *, lower(regexp_replace(code, '\s+', '', 'g')) AS code_norm FROM code_map) WHERE page BETWEEN 21 AND 415 AND code_norm <> ''),
-bounds AS (SELECT page, code_norm, code_key FROM map WHERE code_key IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY page ORDER BY code_norm) = 1),
-exact AS (SELECT code_norm, row_number() OVER (PARTITION BY code_norm ORDER BY page, code_norm, row_type, code) AS rank, page, code, row_type
-  FROM map WHERE code_norm IN (SELECT code_norm FROM keyed)),
-hits AS (SELECT code_norm, min(page) AS page, count(*) AS hits FROM exact WHERE rank <= 10 GROUP BY code_norm)"""
+bounds AS (SELECT book, page, code_norm, code_key FROM map WHERE code_key IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY code_norm) = 1),
+exact AS (SELECT book, code_norm, row_number() OVER (PARTITION BY book, code_norm ORDER BY page, code_norm, row_type, code) AS rank, page, code, row_type
+  FROM map m WHERE EXISTS (SELECT 1 FROM keyed k WHERE k.book = m.book AND k.code_norm = m.code_norm)),
+hits AS (SELECT book, code_norm, min(page) AS page, count(*) AS hits FROM exact WHERE rank <= 10 GROUP BY book, code_norm)"""
+
+
+BOOK = ("book",)
 
 
 def book_map(spark, d):
-    return batches.code_pages(view(spark, d, "code_map"))
+    """One map of codes for each of many books."""
+    return batches.code_pages(view(spark, d, "code_map"), by=BOOK)
+
+
+def book_rows(spark, d):
+    """Index rows, dealt to the books in order."""
+    return view(spark, d, "idx").withColumn("book", F.floor(F.col("pos") / 56.0).cast("bigint"))
 
 
 def code_keys(spark, d):
@@ -30,15 +39,15 @@ def code_keys(spark, d):
 
 
 def page_boundaries(spark, d):
-    return codes.page_boundaries(book_map(spark, d))
+    return codes.page_boundaries(book_map(spark, d), BOOK)
 
 
 def code_page_exact(spark, d):
-    return codes.exact_pages(view(spark, d, "idx"), book_map(spark, d))
+    return codes.exact_pages(book_rows(spark, d), book_map(spark, d), by=BOOK)
 
 
 def code_page_asof(spark, d):
-    return codes.book_pages(view(spark, d, "idx"), book_map(spark, d)).select("pos", "code_norm", "found", "book_page", "hits")
+    return codes.book_pages(book_rows(spark, d), book_map(spark, d), BOOK).select("pos", "code_norm", "found", "book_page", "hits")
 
 
 #: Cells as they come from files: padded, not numbers, or missing. Each text runs on both sides.
@@ -106,28 +115,32 @@ def state(spark, d):
     )
 
 
+#: Cells with line breaks, quotes and commas; the text runs on both sides.
+BROKEN = """CASE WHEN source_line % 13 = 0 THEN concat(english, chr(10), '"two", lines', chr(10), chr(10), 'and more') WHEN source_line % 13 = 1 THEN concat('"', english) ELSE english END"""
+
+
 def write_roundtrip(spark, d):
-    """Files written from the state, two of three, and loaded again."""
+    """Files written from the state, two of three, some cells with line breaks, and loaded again."""
     out, files = scratch(spark, "batches"), view(spark, d, "files")
-    batches.write_batches(state(spark, d), files, files.where("start_page % 3 <> 0"), out)
+    batches.write_batches(state(spark, d).withColumn("english", F.expr(BROKEN)), files, files.where("start_page % 3 <> 0"), out)
     return batches.read_back(spark, out)
 
 
-ROUNDTRIP_SQL = """written AS (SELECT i.*, f.name FROM idx i JOIN files f ON i.page BETWEEN f.start_page AND f.end_page WHERE f.start_page % 3 <> 0)
+ROUNDTRIP_SQL = f"""written AS (SELECT i.* REPLACE ({BROKEN} AS english), f.name FROM idx i JOIN files f ON i.page BETWEEN f.start_page AND f.end_page WHERE f.start_page % 3 <> 0)
 SELECT name AS source_file, CAST(1 + row_number() OVER (PARTITION BY name ORDER BY page, source_line) AS INT) AS source_line, page, level, chinese, english, code FROM written"""
 
 QUERIES = {f.__name__: f for f in (code_keys, page_boundaries, code_page_exact, code_page_asof, parse_values, row_ids, tree_preview, csv_lines, batch_discovery, load_code_map, write_roundtrip)}
 
 ORACLE_SQL = {
     "code_keys": with_views(f"{KEYED} SELECT pos, code_norm, code_key FROM keyed", "idx", "code_map"),
-    "page_boundaries": with_views(f"{KEYED} SELECT page, code_norm, code_key FROM bounds", "idx", "code_map"),
-    "code_page_exact": with_views(f"{KEYED} SELECT code_norm, CAST(rank AS INT) AS rank, page, code, row_type FROM exact WHERE rank <= 10", "idx", "code_map"),
+    "page_boundaries": with_views(f"{KEYED} SELECT book, page, code_norm, code_key FROM bounds", "idx", "code_map"),
+    "code_page_exact": with_views(f"{KEYED} SELECT book, code_norm, CAST(rank AS INT) AS rank, page, code, row_type FROM exact WHERE rank <= 10", "idx", "code_map"),
     "code_page_asof": with_views(
-        f"""{KEYED}, best AS (SELECT k.pos, max(b.code_key) AS code_key FROM keyed k JOIN bounds b ON b.code_key <= k.code_key GROUP BY k.pos),
-  near AS (SELECT t.pos, min(b.page) AS page FROM best t JOIN bounds b USING (code_key) GROUP BY t.pos)
+        f"""{KEYED}, best AS (SELECT k.book, k.pos, max(b.code_key) AS code_key FROM keyed k JOIN bounds b ON b.book = k.book AND b.code_key <= k.code_key GROUP BY k.book, k.pos),
+  near AS (SELECT t.pos, min(b.page) AS page FROM best t JOIN bounds b USING (book, code_key) GROUP BY t.pos)
 SELECT k.pos, k.code_norm, CASE WHEN h.page IS NOT NULL THEN 'exact' WHEN a.page IS NOT NULL THEN 'asof' ELSE 'none' END AS found,
   coalesce(h.page, a.page) AS book_page, CAST(coalesce(h.hits, CASE WHEN a.page IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS hits
-FROM keyed k LEFT JOIN hits h ON h.code_norm = k.code_norm LEFT JOIN near a ON a.pos = k.pos WHERE k.code_norm <> ''""",
+FROM keyed k LEFT JOIN hits h ON h.book = k.book AND h.code_norm = k.code_norm LEFT JOIN near a ON a.pos = k.pos WHERE k.code_norm <> ''""",
         "idx",
         "code_map",
     ),

@@ -35,12 +35,12 @@ SELECT event_id AS pos, CAST(floor(event_id / 200.0) AS BIGINT) AS file_rank,
 FROM events
 """,
     "code_map": """
-SELECT CAST(15 + o_orderkey AS INT) AS page,
- CASE WHEN o_orderkey % 19 = 7 THEN lpad(CAST(CAST(floor(o_orderkey / 4.0) AS INT) AS VARCHAR(9)), 2, '0')
-      WHEN o_orderkey % 5 = 2 THEN concat(lpad(CAST(CAST(floor(o_orderkey / 4.0) AS INT) AS VARCHAR(9)), 2, '0'), '.', CAST(o_orderkey % 4 * 2 AS VARCHAR(9)))
-      ELSE concat(lpad(CAST(CAST(floor(o_orderkey / 4.0) AS INT) AS VARCHAR(9)), 2, '0'), '.', lpad(CAST(o_orderkey % 4 * 21 AS VARCHAR(9)), 2, '0')) END AS code,
+SELECT CAST(floor(o_orderkey / 420.0) AS BIGINT) AS book, CAST(15 + o_orderkey % 420 AS INT) AS page,
+ CASE WHEN o_orderkey % 19 = 7 THEN lpad(CAST(CAST(floor(o_orderkey % 420 / 4.0) AS INT) AS VARCHAR(9)), 2, '0')
+      WHEN o_orderkey % 5 = 2 THEN concat(lpad(CAST(CAST(floor(o_orderkey % 420 / 4.0) AS INT) AS VARCHAR(9)), 2, '0'), '.', CAST(o_orderkey % 4 * 2 AS VARCHAR(9)))
+      ELSE concat(lpad(CAST(CAST(floor(o_orderkey % 420 / 4.0) AS INT) AS VARCHAR(9)), 2, '0'), '.', lpad(CAST(o_orderkey % 4 * 21 AS VARCHAR(9)), 2, '0')) END AS code,
  '' AS row_type
-FROM orders WHERE o_orderkey < 420
+FROM orders
 """,
     "files": """
 SELECT source_file AS name, CAST(split_part(source_file, '-', 3) AS INT) AS start_page,
@@ -54,6 +54,8 @@ SELECT page AS edit_page, CAST(row_number() OVER (PARTITION BY page ORDER BY pos
  CAST(CASE WHEN pos % 11 = 3 THEN 0 ELSE source_line END AS INT) AS ord,
  chinese, CASE WHEN pos % 11 = 2 THEN concat(english, ' NEC') ELSE english END AS english, code
 FROM idx WHERE page % 7 = 3 AND pos % 11 <> 0
+UNION ALL SELECT page + 7, CAST(1000 + pos % 40 AS INT), concat('u', CAST(pos AS VARCHAR(19))), CAST(page + 7 AS INT), level, 500, chinese, concat(english, ' again'), code
+FROM idx WHERE page % 7 = 3 AND pos % 11 = 4
 """,
     "queries": """
 SELECT * FROM (VALUES (1, 'red', 'auto'), (2, 'see also', 'phrase'), (3, 'ring bolt', 'any'),

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stemma.functions.text import DATA_COLUMNS, csv_line, normalize_code, parse_int, parse_text, strip
+from stemma.functions.text import DATA_COLUMNS, csv_line, extract_references, normalize_code, parse_int, parse_text, row_id, strip
 from stemma.operators.edits import page_files
 
 NAME = r"index-extraction-(\d+)-(\d+)\.csv$"
 #: The edit loader leaves wider files out: they repeat the pages of others.
 MAX_WIDTH = 4
 PAGE_MIN, PAGE_MAX = 21, 415
+#: A record and its end: cells are quoted, with doubled quotes inside, or run to the next comma or line end.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^,\r\n]*+)'
+RECORD = rf"({_CELL}(?:,{_CELL})*+)(?:\r\n|\n|\r|\z)"
+#: Rows in one JSON text of a payload.
+PAYLOAD_ROWS = 1000
 
 
 def batches_of(names: DataFrame, max_width: int | None = MAX_WIDTH) -> DataFrame:
@@ -31,10 +36,10 @@ def parse_records(files: DataFrame, loader: str = "search") -> DataFrame:
     """Index rows of whole texts (source_file, value); source_line counts all records, header and blank ones too.
 
     Cells are trimmed, short records padded, long ones cut. Rows whose page is no number or negative are left out.
-    Quoted cells may not hold line breaks.
+    Quoted cells may hold line breaks: a record ends at a line end outside quotes. A quote without its partner is text.
     """
     cells = ", ".join(f"c{i} string" for i in range(5))
-    records = files.select("source_file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_i", "_record"))
+    records = files.select("source_file", F.posexplode(F.regexp_extract_all("value", F.lit(RECORD), 1)).alias("_i", "_record"))
     cell = F.from_csv("_record", cells, {"sep": ",", "quote": '"', "escape": '"'})
     rows = records.select("source_file", (F.col("_i") + 1).cast("int").alias("source_line"), cell.alias("c"))
     rows = rows.select("source_file", "source_line", *[strip(F.coalesce(F.col(f"c.c{i}"), F.lit(""))).alias(f"c{i}") for i in range(5)])
@@ -59,18 +64,16 @@ def load_index(spark: SparkSession, directory: str, loader: str = "search", max_
 
 def with_position(rows: DataFrame, batches: DataFrame) -> DataFrame:
     """Rows of the given files with `pos`; the ranking window runs over one row for each file."""
-    from pyspark.sql import Window
-
     ranks = batches.select(F.col("name").alias("source_file"), F.row_number().over(Window.partitionBy().orderBy("name")).cast("long").alias("file_rank"))
     return rows.join(ranks, "source_file").withColumn("pos", F.shiftleft("file_rank", 32) + F.col("source_line"))
 
 
-def code_pages(raw: DataFrame, page_min: int = PAGE_MIN, page_max: int = PAGE_MAX) -> DataFrame:
-    """(page, code, row_type, code_norm) of a raw map; without a page or code column it is empty."""
+def code_pages(raw: DataFrame, page_min: int = PAGE_MIN, page_max: int = PAGE_MAX, by: tuple[str, ...] = ()) -> DataFrame:
+    """(page, code, row_type, code_norm) of a raw map, and its columns `by`; without a page or code column it is empty."""
     if not {"page", "code"} <= set(raw.columns):
         return raw.sparkSession.createDataFrame([], "page int, code string, row_type string, code_norm string")
     kind = F.coalesce(F.col("row_type").cast("string"), F.lit("")) if "row_type" in raw.columns else F.lit("")
-    out = raw.select(parse_int("page", None).cast("int").alias("page"), strip(F.coalesce(F.col("code").cast("string"), F.lit(""))).alias("code"), kind.alias("row_type"))
+    out = raw.select(*by, parse_int("page", None).cast("int").alias("page"), strip(F.coalesce(F.col("code").cast("string"), F.lit(""))).alias("code"), kind.alias("row_type"))
     return out.withColumn("code_norm", normalize_code("code")).where(F.col("page").between(page_min, page_max) & (F.col("code_norm") != ""))
 
 
@@ -88,9 +91,11 @@ def file_lines(state: DataFrame, files: DataFrame) -> DataFrame:
 def write_batches(state: DataFrame, files: DataFrame, modified: DataFrame, out: str) -> None:
     """Rewrite each modified file under out/name=<file>/: header, then rows by (page, ord, uid)."""
     changed = files.join(modified.select("name").distinct(), "name", "left_semi")
-    head = changed.select("name", F.lit(-1).alias("page"), F.lit(0.0).alias("ord"), F.lit("").alias("uid"), F.lit(",".join(DATA_COLUMNS)).alias("value"))
-    lines = file_lines(state, changed).unionByName(head)
-    lines.repartition("name").sortWithinPartitions("name", "page", "ord", "uid").select("name", "value").write.partitionBy("name").text(out)
+    lines = changed.select("name").join(file_lines(state, changed), "name", "left")
+    # the window keeps a file's lines together in one task; a file has a few pages
+    first = F.row_number().over(Window.partitionBy("name").orderBy("page", "ord", "uid")) == 1
+    value = F.when(first, F.concat_ws("\n", F.lit(",".join(DATA_COLUMNS)), "value")).otherwise(F.col("value"))
+    lines.select("name", "page", "ord", "uid", value.alias("value")).sortWithinPartitions("name", "page", "ord", "uid").select("name", "value").write.partitionBy("name").text(out)
 
 
 def read_back(spark: SparkSession, out: str, loader: str = "search") -> DataFrame:
@@ -99,13 +104,33 @@ def read_back(spark: SparkSession, out: str, loader: str = "search") -> DataFram
     return parse_records(text.select(F.col("name").alias("source_file"), "value"), loader)
 
 
-def payload(queries: DataFrame, rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, payload): one JSON text for each query with its rows in document order. Trees go as edges, see `nested`."""
-    row: Column = F.struct("pos", "page", "level", "chinese", "english", "code")
-    full = hits.join(rows, "pos").groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    out = queries.select("query_id", "query").join(full, "query_id", "left")
-    found = F.coalesce("rows", F.array().cast("array<struct<pos:bigint,page:int,level:int,chinese:string,english:string,code:string>>"))
-    return out.select("query_id", F.to_json(F.struct("query", F.size(found).alias("count"), found.alias("rows"))).alias("payload"))
+def _row_fields() -> list[Column]:
+    """What a payload tells of a row, without `matched`."""
+    refs = F.transform(extract_references(), lambda r: F.struct(r["kind"].alias("kind"), r["target"].alias("target")))
+    return [row_id().alias("id"), *[F.col(c) for c in ("page", "level", "code", "chinese", "english", "source_file", "source_line")], refs.alias("references"), F.col("has_children")]
+
+
+def payload(queries: DataFrame, rows: DataFrame, hits: DataFrame, tree: DataFrame, part: str, block_rows: int = PAYLOAD_ROWS) -> DataFrame:
+    """(query_id, kind, block, payload): JSON texts with the rows and the tree of each query, at most block_rows in each.
+
+    hits are (query_id, pos, rank or null), by which rows come in the order of a search; tree is what `nested` returns,
+    in document order, as rows with the id of their parent. A query without hits has one text without rows.
+    """
+    from stemma.operators.outline import has_children, with_ordinal
+
+    told = has_children(rows, part)
+    of_rows = hits.join(told, "pos").select("query_id", F.lit("rows").alias("kind"), part, F.struct("rank", "pos").alias("pos"), F.struct(*_row_fields(), F.lit(True).alias("matched"), F.lit(None).cast("string").alias("parent_id")).alias("row"))
+    parents = told.select(F.col("pos").alias("parent_pos"), row_id().alias("parent_id"))
+    of_tree = tree.join(told, "pos").join(parents, "parent_pos", "left").select("query_id", F.lit("tree").alias("kind"), part, F.struct(F.lit(None).cast("int").alias("rank"), "pos").alias("pos"), F.struct(*_row_fields(), "matched", "parent_id").alias("row"))
+    # exact hits come in the order of their rank, wherever they stand
+    every = of_rows.unionByName(of_tree).withColumn("_part", F.coalesce(F.floor(F.col("pos.rank") / block_rows), F.col(part)))
+    numbered = with_ordinal(every, "_part", ("query_id", "kind")).withColumn("block", F.floor((F.col("ord") - 1) / block_rows).cast("int"))
+    blocks = numbered.groupBy("query_id", "kind", "block").agg(F.max("n_rows").alias("count"), F.sort_array(F.collect_list(F.struct("ord", "row"))).alias("rows"))
+    asked = queries.select("query_id", "query", F.explode(F.array(F.lit("rows"), F.lit("tree"))).alias("kind"))
+    out = asked.join(blocks, ["query_id", "kind"], "left")
+    found = F.coalesce(F.transform("rows", lambda r: r["row"]), F.array().cast(every.schema["row"].dataType.simpleString().join(("array<", ">"))))
+    text = F.to_json(F.struct("query", F.coalesce("count", F.lit(0)).alias("count"), found.alias("rows")), {"ignoreNullFields": "false"})
+    return out.select("query_id", "kind", F.coalesce("block", F.lit(0)).alias("block"), text.alias("payload"))
 
 
 __all__ = ["batches_of", "code_pages", "discover_batches", "file_lines", "load_code_pages", "load_index", "page_files", "parse_records", "payload", "read_back", "with_position", "write_batches"]

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one; machine-local only where the session names none."""
+    """A new folder below the cluster's shared one; machine-local only where the session names none and is one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

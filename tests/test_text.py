@@ -49,6 +49,8 @@ def test_reference_spans_do_not_overlap(spark):
     df = spark.createDataFrame([("abc / See Abcd", ["abcd", "ABC", "bc", "zz"])], "title string, t array<string>")
     spans = df.select(T.reference_spans(F.col("title"), F.col("t")).alias("s")).first()["s"]
     assert [(s["start"], s["end"], s["target"]) for s in spans] == [(0, 3, "ABC"), (10, 14, "abcd")]
+    df = spark.createDataFrame([("abc", ["x", "y"]), ("abc", [])], "title string, t array<string>")
+    assert [[tuple(s) for s in r["s"]] for r in df.select(T.reference_spans(F.col("title"), F.col("t")).alias("s")).collect()] == [[(3, 3, "x")], []]
 
 
 def test_csv_line(spark):
