@@ -144,8 +144,9 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataF
     """(entity, term, disclosure) of all terms at or over GENERALISE, and (k1, k2, entity, term) of where such pairs may be met.
 
     A disclosure d of GENERALISE takes n(t) <= c(t, e) (N / n(e)) ** (1 - d), which is at most n(e) ** d * N ** (1 - d).
-    So terms of more documents with entities than the most frequent entity allows, and those of one text, are no
-    candidates; only candidates are paired with entities, and only paired terms are counted over all documents.
+    Documents that hold any entity are few, and n(t) is at least the number of those with t. So terms of more of them
+    than the most frequent entity allows, and those of one text, are not paired with entities; and only terms of pairs
+    that may still reach GENERALISE by that number are counted over all documents.
     """
     n_docs = docs.count()
     digest = F.xxhash64("rest").alias("where")
@@ -153,10 +154,12 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataF
     entities = saved(_several(held.groupBy("entity"), "n_entity").where(F.col("n_entity") < n_docs), "entities")
     most = entities.agg(F.max("n_entity")).first()[0] or 0
     own = saved(base.select("k1", "k2", "copies", digest, F.explode(_terms(F.col("rest"))).alias("term")), "own-terms")
-    rare = _several(own.groupBy("term"), "n_held").where(F.col("n_held") <= 1.0001 * most**GENERALISE * n_docs ** (1 - GENERALISE)).select("term")
-    pairs = own.join(rare, "term").join(held.join(entities, "entity").select("k1", "k2", "entity"), ["k1", "k2"])
+    rare = _several(own.groupBy("term"), "n_held").where(F.col("n_held") <= 1.0001 * most**GENERALISE * n_docs ** (1 - GENERALISE))
+    pairs = own.join(rare.select("term"), "term").join(held.join(entities, "entity").select("k1", "k2", "entity"), ["k1", "k2"])
     pairs = saved(pairs, "pairs")
-    both = saved(_several(pairs.groupBy("entity", "term"), "n_both").join(entities, "entity"), "terms")
+    most_of = 1.0001 * F.col("n_both") * F.pow(n_docs / F.col("n_entity"), F.lit(1 - GENERALISE))
+    both = _several(pairs.groupBy("entity", "term"), "n_both").join(entities, "entity").join(rare, "term").where(F.col("n_held") <= most_of)
+    both = saved(both.select("entity", "term", "n_both", "n_entity"), "terms")
     wanted = saved(both.select("term").distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.limit(SENT_TERMS + 1).count() <= SENT_TERMS else wanted
     others = docs.where(~may_hold()).select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"), F.lit(1).cast("long").alias("copies"))
