@@ -1,16 +1,19 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash cuts texts into chunks, so that documents which share a passage share its chunks. A chunk is encoded
-once in a worker and reused for every later document. A cut may fall inside a word; the joint is repaired by encoding
+once in a worker and reused for every later document; chunks that come back stay, those that do not are forgotten by
+age, so memory is bounded. A cut may fall inside a word; the joint is repaired by encoding
 the word that straddles it anew, and, where a chunk has no white space, by widening over the next chunks until both
 sides end at white space, where the tokenizer's pieces are independent and so agree exactly with the whole text's.
 
-Null texts count as empty; empty texts have no ids. Repeated rows and ties need no rule: each row stands alone.
+Null texts count as empty; empty texts have no ids. Each row stands alone, so repeated rows, rows without doc_id and
+doc_ids with several texts need no rule. Tokenizers whose pieces may reach over white space are refused.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import string
 from collections.abc import Iterator
@@ -75,12 +78,25 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return data, a, b, np.concatenate([order, [n]])[at]
 
 
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer file lowers texts, cuts them into words that hold no white space, and has no decoder."""
+    named = lambda part, key: [p.get("type") for p in ((part or {}).get(key) or [])]
+    normal, cut = spec.get("normalizer"), spec.get("pre_tokenizer")
+    if spec.get("decoder") is not None or named(normal, "normalizers") != ["NFC", "Replace", "Lowercase"] or named(cut, "pretokenizers") != ["Split", "ByteLevel"]:
+        return False
+    split, level = cut["pretokenizers"]
+    return split["behavior"] == "Removed" and split["invert"] and not re.search(split["pattern"]["Regex"].replace(r"\p{L}", "a").replace(r"\p{N}", "0"), " \t\n") and not level["add_prefix_space"]
+
+
 class WordEncoder:
-    """Ids of single words, each encoded once; a cache is emptied when it is full."""
+    """Ids of single words, each encoded once; a cache is emptied when it is full. Chunks have two ages: see `_known`."""
 
-    def __init__(self, path: str, max_pieces: int = 500_000, max_chunk_bytes: int = 16 << 20):
+    def __init__(self, path: str, max_pieces: int = 500_000, max_chunk_bytes: int = 24 << 20):
         from tokenizers import Tokenizer
 
+        with open(path) as file:
+            if not splits_at_spaces(json.load(file)):
+                raise ValueError(f"{path}: not a tokenizer that lowers texts, splits them at white space and has no decoder")
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
@@ -92,7 +108,8 @@ class WordEncoder:
         self.ends = np.array([t.endswith("</w>") for t in self.token])
         self.decimal = [str(i) for i in range(len(self.token))]
         self.max_pieces, self.cores = max_pieces, {}
-        self.max_chunk_bytes, self.chunk_bytes, self.chunks = max_chunk_bytes, 0, {}
+        self.max_chunk_bytes, self.chunk_bytes, self.chunks, self.older = max_chunk_bytes, 0, {}, {}
+        self.met = self.reused = 0
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
@@ -148,11 +165,10 @@ class WordEncoder:
     def chunked(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts by cached chunks, with repaired joints."""
         cut = [self._cut(t) for t in texts]
-        if self.chunk_bytes > self.max_chunk_bytes:
-            self.chunks, self.chunk_bytes = {}, 0
-        new = list({c for cs in cut for c in cs}.difference(self.chunks))
+        new = self._unknown({c for cs in cut for c in cs})
+        self.met += sum(map(len, cut))
+        self.reused += sum(map(len, cut)) - len(new)
         parts = [_opened(c) for c in new]
-        self.chunk_bytes += sum(map(len, new)) * 4
         words = {}  # of the joints
         plans = []
         known = dict(zip(new, parts))
@@ -173,9 +189,23 @@ class WordEncoder:
         ids = self.plain(*byte_view(pa.array(todo, pa.string())))
         for c, (head, mid, tail), x in zip(new, parts, ids):
             self.chunks[c] = (head, None if mid is None else x, tail)
+            self.chunk_bytes += 300 + len(c) + len(head) + len(tail) + len(x)
         words = dict(zip(words, ids[len(new) :]))
         return [b"".join([words[w] + (self.chunks[c][1] if c is not None else b"") for w, c in plan]) for plan in plans]
 
+    def _unknown(self, chunks: set[str]) -> list[str]:
+        """Those that must be encoded. Once the younger chunks are too many they become the older ones; a chunk that is met again is young."""
+        if self.chunk_bytes > self.max_chunk_bytes:
+            self.older, self.chunks, self.chunk_bytes = self.chunks, {}, 0
+        new = []
+        for c in chunks.difference(self.chunks):
+            if (found := self.older.get(c)) is None:
+                new.append(c)
+            else:
+                self.chunks[c] = found
+                self.chunk_bytes += 300 + len(c) + len(found[0]) + len(found[2]) + len(found[1] or b"")
+        return new
+
     def _cut(self, text: str) -> list[str]:
         raw = text.encode()
         data = np.frombuffer(raw, np.uint8)

@@ -5,7 +5,8 @@ estimates each rule's accuracy and the share of good documents; a document's pos
 then decides, in place of "all rules must pass". There are at most 3^10 patterns, whatever the input's size, so the
 whole estimation runs inside one row.
 
-Null and empty texts have zero words, fail the base rules and are not kept. Repeated rows count each time.
+Null and empty texts have zero words, fail the base rules and are not kept. Repeated rows count each time; a row is
+judged by its text alone, so null and repeated doc_ids need no rule. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -85,6 +85,23 @@ def test_both_encoders_agree_on_odd_pieces(tok):
     assert [np.frombuffer(x, enc.kind).tolist() for x in enc.chunked(texts)] == want
 
 
+def test_chunks_are_reused_and_forgotten_by_age(tok):
+    enc = bpe.WordEncoder(bpe.default_tokenizer(), max_chunk_bytes=20_000)
+    shared = prose(7, 600)
+    for k in range(12):
+        texts = [prose(100 + k, 500) + " " + shared, shared]
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, enc.kind).tolist() for x in enc.chunked(texts)] == want
+    assert enc.reused > 0.5 * enc.met and len(enc.chunks) + len(enc.older) < 150
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_token_files_round_trip(odd, tok):
     segments = token_files.write_segments(odd, segment_ids=500)
     assert segments.count() > 3
