@@ -89,17 +89,18 @@ def locate_path(rows: DataFrame, targets: DataFrame, part: str = "source_file")
     """
     paths = _paths(targets)
     both = lambda: F.concat_ws("\n", F.lower(strip("english")), F.lower(strip("chinese")))
-    book = with_subtree_end(rows.select("pos", "level", part, both().alias("text")), part).select("pos", "ord", "end_ord", "text")
+    book = written(with_subtree_end(rows.select("pos", "level", part, both().alias("text")), part).select("pos", "ord", "end_ord", "text"), "book")
     stretch = lambda c: F.floor(c / STRETCH)
     deepest = paths.agg(F.max(F.size("parts"))).first()[0] or 0
     at = _heads(rows, paths).join(paths, "target").select("target", "parts", F.col("pos").alias("head"), F.col("pos").alias("at"))
     for k in range(1, deepest):
         done = at.where(F.size("parts") <= k)
-        here = at.where(F.size("parts") > k).join(book.withColumnRenamed("pos", "at"), "at").withColumn("part", F.col("parts")[k])
-        # a subtree is a range of ordinals: the stretches of rows it covers meet in an equality join
-        below = book.select(F.col("pos").alias("next"), F.col("ord").alias("o"), F.col("text").alias("t"), stretch(F.col("ord")).alias("stretch"))
+        here = written(at.where(F.size("parts") > k).join(book.withColumnRenamed("pos", "at"), "at").withColumn("part", F.col("parts")[k]), "walk")
+        # a subtree is a range of ordinals: the stretches it covers meet, in an equality join, the rows there that hold the part
+        texts = book.select(F.col("pos").alias("next"), F.col("ord").alias("o"), F.col("text").alias("_text"))
+        holding = containing(texts, here.select(F.col("part").alias("_needle")).distinct()).select("next", "o", F.col("_needle").alias("part"), stretch(F.col("o")).alias("stretch"))
         spread = here.where("end_ord > ord + 1").withColumn("stretch", F.explode(F.sequence(stretch(F.col("ord") + 1), stretch(F.col("end_ord") - 1))))
-        found = spread.join(below, "stretch").where((F.col("o") > F.col("ord")) & (F.col("o") < F.col("end_ord")) & F.contains(F.col("t"), F.col("part")))
+        found = spread.join(holding, ["part", "stretch"]).where((F.col("o") > F.col("ord")) & (F.col("o") < F.col("end_ord")))
         first = found.groupBy("target", "head").agg(F.min("next").alias("next"))
         moved = here.join(first, ["target", "head"], "left")
         goal = F.coalesce("next", F.when(F.contains(F.col("text"), F.col("part")), F.col("at")))
