@@ -52,18 +52,48 @@ def test_quality_rules_base(odd):
     assert got[0]["kept"] and got[9]["kept"]
 
 
+def plain_votes(t):
+    t = t or ""
+    words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    n, chars = len(words), sum(map(len, words))
+    symbols, bangs, stops, upper = (sum(c in s for c in t) for s in ("#*$%&|<>", "!", ".", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    low = lambda x, good, bad: 0 if not n else -1 if x > bad else int(x < good)
+    mean, distinct = chars / max(1, n), len(set(words)) / max(1, n)
+    return (
+        low(symbols / max(1, n), 0.05, 0.3), low(symbols / max(1, chars), 0.01, 0.05), low((symbols + bangs + stops) / max(1, chars), 0.06, 0.1), low(bangs / max(1, n), 0.05, 0.3),
+        low(upper / max(1, chars), 0.1, 0.3), low(repeated(words) / max(1, n), 0.1, 0.3), low((len(lines) - len(set(lines))) / max(1, len(lines)), 0.05, 0.3),
+        0 if n < 50 else -1 if distinct < 0.1 else int(distinct > 0.2), 0 if not n else -1 if mean < 2 or mean > 15 else int(3 < mean < 9), 0 if n < 30 else -1 if stops / n < 0.01 else int(stops / n > 0.02),
+    )
+
+
+def plain_em(v, n, rules):
+    """Posterior of each vote pattern in v, seen n times."""
+    start_good, start_bad, a = (np.array(x) for x in (quality_rules.START_GOOD, quality_rules.START_BAD, quality_rules.PRIOR))
+    good, odds = 0.8, np.tile(np.log(start_good / start_bad), (rules, 1))
+    posterior = lambda: 1 / (1 + np.exp(-(np.log(good / (1 - good)) + odds[np.arange(rules), v + 1].sum(1))))
+    of = lambda w: np.array([[(w * (v[:, j] == k)).sum() for k in (-1, 0, 1)] for j in range(rules)])
+    for _ in range(25):
+        q = posterior()
+        odds = np.log((of(n * q) + a * start_good) / ((n * q).sum() + a)) - np.log((of(n * (1 - q)) + a * start_bad) / ((n * (1 - q)).sum() + a))
+        good = min(0.99, max(0.01, ((n * q).sum() + 1) / (n.sum() + 2)))
+    return posterior(), good, odds
+
+
+def test_quality_rules_keep_what_plain_estimation_keeps(make):
+    texts = odd_texts() + [prose(i, 60) + "." for i in range(40)] + ["!! $$ " + " ".join(w.upper() + "!#" for w in prose(i, 40).split()) for i in range(15)] + ["na na " * 40 + prose(i, 9) for i in range(5)]
+    v = np.array([plain_votes(t) for t in texts])
+    q = plain_em(v, np.ones(len(v)), v.shape[1])[0]
+    got = rows(quality_rules.judge(make(texts)))
+    assert np.allclose([got[i]["posterior"] for i in range(len(texts))], q, atol=1e-6)
+    assert [got[i]["kept"] for i in range(len(texts))] == [bool(not got[i]["base_failed"] and q[i] >= 0.5) for i in range(len(texts))]
+    assert 0 < sum(r["kept"] for r in got.values()) < len(texts) and any(not r["kept"] and not r["base_failed"] for r in got.values())
+
+
 def test_quality_rules_estimate_matches_plain_em(spark):
     patterns = [([1, 1, 0], 60), ([1, -1, 1], 10), ([-1, -1, 0], 15), ([0, 0, 0], 3), ([-1, 1, -1], 4)]
     voted = spark.createDataFrame([(v,) for v, n in patterns for _ in range(n)], "v array<int>")
     v, n = np.array([p[0] for p in patterns]), np.array([p[1] for p in patterns], float)
-    good, odds = 0.8, np.tile(np.log(np.array(quality_rules.START_GOOD) / np.array(quality_rules.START_BAD)), (3, 1))
-    for _ in range(25):
-        q = 1 / (1 + np.exp(-(np.log(good / (1 - good)) + odds[np.arange(3), v + 1].sum(1))))
-        of = lambda w: np.array([[(w * (v[:, j] == k)).sum() for k in (-1, 0, 1)] for j in range(3)])
-        a = quality_rules.PRIOR
-        g, b = a * np.array(quality_rules.START_GOOD), a * np.array(quality_rules.START_BAD)
-        odds = np.log((of(n * q) + g) / ((n * q).sum() + a)) - np.log((of(n * (1 - q)) + b) / ((n * (1 - q)).sum() + a))
-        good = min(0.99, max(0.01, ((n * q).sum() + 1) / (n.sum() + 2)))
+    _, good, odds = plain_em(v, n, 3)
     found = quality_rules.estimate(voted, 3)
     assert np.allclose(found[0], good) and np.allclose(found[1], odds)
 
