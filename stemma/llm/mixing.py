@@ -53,7 +53,7 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool =
         z = size[free] - size[free].mean()
         # what is left of each unit vector in the null space of (1, size); the first one's is taken unless nothing is left
         scale = z @ z
-        left = 1 - 1 / m - (z * z / scale if scale else 0)
+        left = 1 - 1 / m - (z * z / scale if scale else np.zeros(m))
         k = 0 if left[0] > 1e-6 else int(left.argmax())
         if left[k] <= 1e-9:
             break

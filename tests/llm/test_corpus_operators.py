@@ -196,6 +196,9 @@ def test_flight_keeps_totals_and_leaves_two_open(monkeypatch):
     for land in (False, True):
         mean = np.mean([mixing.fly(size[:12], p[:12], np.random.default_rng(k), land) for k in range(3000)], axis=0)
         assert np.abs(mean - 0.37).max() < 0.05
+    for alike in (np.full(9, 7.0), np.array([5.0, 5.0]), np.zeros(4), np.array([3.0])):
+        q = mixing.fly(alike, np.full(len(alike), 0.5), np.random.default_rng(4))
+        assert ((q > 0) & (q < 1)).sum() <= 1 and np.isclose(q.sum(), len(alike) / 2)
     landed = [mixing.fly(size, p, np.random.default_rng(k), True) for k in range(20)]
     assert all(set(q) <= {0.0, 1.0} and abs(q.sum() - p.sum()) < 1 and abs(q @ size - p @ size) < size.max() for q in landed)
 
