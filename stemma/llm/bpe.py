@@ -91,7 +91,7 @@ def splits_at_spaces(spec: dict) -> bool:
 class WordEncoder:
     """Ids of single words, each encoded once; a cache is emptied when it is full. Chunks have two ages: see `_known`."""
 
-    def __init__(self, path: str, max_pieces: int = 500_000, max_chunk_bytes: int = 24 << 20):
+    def __init__(self, path: str, max_pieces: int = 500_000, max_chunk_bytes: int = 8 << 20):
         from tokenizers import Tokenizer
 
         with open(path) as file:
