@@ -276,8 +276,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     a, b = unused(docs, "_k1", "_k2")
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     k1, k2 = row_keys()
-    rows = docs.where(worded).withColumns({a: k1, b: k2}).join(keep.select(F.col("k1").alias(a), F.col("k2").alias(b)), [a, b], "left_semi")
-    return rows.dropDuplicates([a, b]).select(*docs.columns).unionByName(docs.where(~worded))
+    # repeated rows are folded before their texts are moved, so that many of one row do not meet in one task
+    rows = docs.where(worded).withColumns({a: k1, b: k2}).dropDuplicates([a, b])
+    rows = rows.join(keep.select(F.col("k1").alias(a), F.col("k2").alias(b)), [a, b], "left_semi")
+    return rows.select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
