@@ -146,6 +146,24 @@ def test_estimate_is_near_the_true_similarity():
         assert abs(near_dedup.estimate(k[:1], k[1:], n, n)[0] - j) < 0.15
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_no_link_is_lost_by_bands_or_the_estimate(percent):
+    """Pairs at the threshold, of sets of many sizes and of unequal ones: all share a band and reach the estimate's floor."""
+    r = np.random.default_rng(percent)
+    pairs = []
+    for _ in range(1500):
+        union = int(r.integers(20, 500))
+        shared = -(-percent * union // 100)
+        items = r.integers(0, 1 << 63, union, dtype=np.uint64)
+        cut = shared + int(r.integers(0, union - shared + 1))
+        pairs.append((items[:cut], np.concatenate([items[:shared], items[cut:]])))
+    k = near_dedup.sketches([x for p in pairs for x in p])
+    n = np.array([len(x) for p in pairs for x in p], float)
+    bands = near_dedup._band_hashes(k)
+    assert (bands[::2] == bands[1::2]).any(1).all()
+    assert (near_dedup.estimate(k[::2], k[1::2], n[::2], n[1::2]) >= percent / 100 - near_dedup.SLACK).all()
+
+
 def test_connected_components(spark):
     r = random.Random(2)
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
