@@ -91,7 +91,7 @@ def splits_at_spaces(spec: dict) -> bool:
 class WordEncoder:
     """Ids of single words, each encoded once; a cache is emptied when it is full. Chunks have two ages: see `_known`."""
 
-    def __init__(self, path: str, max_pieces: int = 500_000, max_chunk_bytes: int = 8 << 20):
+    def __init__(self, path: str, max_pieces: int = 200_000, max_chunk_bytes: int = 4 << 20):
         from tokenizers import Tokenizer
 
         with open(path) as file:
@@ -220,7 +220,7 @@ class WordEncoder:
         return " ".join([token[i] for i in ids])
 
 
-def encoder(path: str, max_pieces: int = 500_000) -> WordEncoder:
+def encoder(path: str, max_pieces: int = 200_000) -> WordEncoder:
     """One for each worker process, tokenizer file and cache size, kept between tasks."""
     key = (path, max_pieces)
     if key not in _encoders:
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for batch in slices(whole, text_column, 2 << 20):
+            for batch in slices(whole, text_column):
                 ids = enc.chunked([t or "" for t in batch.column(text_column).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_column), pa.array(ids, pa.binary()), pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64())],
@@ -254,7 +254,7 @@ def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         enc = encoder(path)
         decimal, sha = enc.decimal, hashlib.sha256
         for whole in batches:
-            for batch in slices(whole, limit=2 << 20):
+            for batch in slices(whole):
                 n, a, b = [], [], []
                 for raw in enc.chunked([t or "" for t in batch.column("text").to_pylist()]):
                     ids = np.frombuffer(raw, enc.kind).tolist()
@@ -265,6 +265,7 @@ def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                     [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
