@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm.common import byte_view, documents, slices
 from stemma.llm.gear import boundaries
-from stemma.llm.words import span_hashes, word_spans
+from stemma.llm.words import span_hash_lists, word_spans
 
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 #: Punctuation that never joins a letter before it into one piece.
@@ -137,7 +137,7 @@ class WordEncoder:
         data, begin, last, at = _pieces(data, offsets)
         if not len(begin):
             return [b""] * (len(offsets) - 1)
-        h, g = (span_hashes(t[data], begin, last, b) for t, b in _HASHES)
+        h, g = span_hash_lists(tuple(t[data] for t, _ in _HASHES), begin, last, tuple(b for _, b in _HASHES))
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
         if (g != g[first[which]]).any():  # equal hashes of different pieces: tell by both
             _, first, which = np.unique(np.stack([h, g], 1), axis=0, return_index=True, return_inverse=True)

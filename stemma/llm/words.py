@@ -29,19 +29,36 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(value: np.ndarray, begin: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hashes of spans of value (one 64-bit number for each byte), mixed with their lengths."""
-    base = np.uint64(base)
+    return span_hash_lists((value,), begin, last, (base,))[0]
+
+
+def span_hash_lists(values: tuple[np.ndarray, ...], begin: np.ndarray, last: np.ndarray, bases: tuple[int, ...]) -> list[np.ndarray]:
+    """As span_hashes, for several values and bases of the same spans."""
     length = last - begin + 1
-    h = np.zeros(len(begin), np.uint64)
-    order = np.argsort(-length, kind="stable")
-    ranked = -length[order]
-    for k in range(int(length.max()) if len(length) else 0):
-        live = order[: np.searchsorted(ranked, -k, "left")]
-        if len(live) < 64 and k > 64:  # a few very long words: finish each at once
-            for w in live.tolist():
-                rest = value[begin[w] + k : last[w] + 1]
-                powers = np.cumprod(np.full(len(rest), base, np.uint64))
-                tail = (rest * np.concatenate([powers[:-1][::-1], np.ones(1, np.uint64)])).sum(dtype=np.uint64, keepdims=True)
-                h[w : w + 1] = h[w : w + 1] * powers[-1:] + tail
+    if not len(length):
+        return [np.zeros(0, np.uint64) for _ in values]
+    longest = int(length.max())
+    # the longest first, so that spans of more than k bytes stand at the front; 16 bits sort fastest
+    order = np.argsort((longest - length).astype(np.uint16 if longest < 1 << 16 else np.int64), kind="stable")
+    start, size = begin[order], length[order]
+    shorter = -size
+    pairs = [(np.zeros(len(order), np.uint64), v, np.uint64(b)) for v, b in zip(values, bases)]
+    for k in range(longest):
+        n = int(np.searchsorted(shorter, -k, "left"))
+        if n < 64 and k > 64:  # a few very long words: finish each at once
+            for h, value, base in pairs:
+                for w in range(n):
+                    rest = value[start[w] + k : start[w] + size[w]]
+                    powers = np.cumprod(np.full(len(rest), base, np.uint64))
+                    tail = (rest * np.concatenate([powers[:-1][::-1], np.ones(1, np.uint64)])).sum(dtype=np.uint64, keepdims=True)
+                    h[w : w + 1] = h[w : w + 1] * powers[-1:] + tail
             break
-        h[live] = h[live] * base + value[begin[live] + k]
-    return mix(h + length.astype(np.uint64))
+        at = start[:n] + k
+        for h, value, base in pairs:
+            h[:n] = h[:n] * base + value[at]
+    out = []
+    for h, _, _ in pairs:
+        found = np.empty(len(order), np.uint64)
+        found[order] = mix(h + size.astype(np.uint64))
+        out.append(found)
+    return out
