@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from stemma.llm import bpe, clustering, fingerprints, mixing, near_dedup, pii, prefix_trie, quality_classifier, quality_rules, substring_dedup, token_files, url_filter
+from stemma.llm import bpe, clustering, fingerprints, mixing, near_dedup, ngram_join, pii, prefix_trie, quality_classifier, quality_rules, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_clustering": clustering.op12_clustering,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
@@ -20,6 +21,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_ngram_join": ngram_join.OP11_SQL,
     "op12_clustering": clustering.OP12_SQL,
     "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
