@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,9 +41,9 @@ from stemma.llm.words import mix
 
 FRAGMENTS = 16
 #: Bytes of text whose grams meet in one task when occurrences are counted.
-COUNTED_BYTES = 16 << 20
+COUNTED_BYTES = 8 << 20
 #: Grams of texts that are told apart by batch, and most rows in a batch.
-BATCH_GRAMS, BATCH_ROWS = 1 << 21, 50_000
+BATCH_GRAMS, BATCH_ROWS = 1 << 19, 50_000
 #: Up to so many row keys are sent to all executors.
 SENT_KEYS = 50_000
 
@@ -104,6 +105,8 @@ def _dealt(docs: DataFrame, width: int, parts: int) -> DataFrame:
             columns = [pa.array(where, pa.int32()), *[none(pa.int64(), m)] * 6, pa.array(np.full(m, batch_id)), none(pa.int32(), m), none(pa.int64(), m), pa.array(blobs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             batch_id += 1
+            del columns, blobs, sets, h, row, order
+            pa.default_memory_pool().release_unused()
 
     k1, k2 = row_keys()
     rows = docs.select(F.col("doc_id").cast("long"), k1.alias("k1"), k2.alias("k2"), "text")
@@ -111,7 +114,10 @@ def _dealt(docs: DataFrame, width: int, parts: int) -> DataFrame:
 
 
 def _met(dealt: DataFrame, parts: int) -> DataFrame:
-    """The rows of documents, and rows (batch, row, shared): how many of a document's lone grams of one part other batches hold."""
+    """The rows of documents, and for each batch and part how many of its documents' lone grams other batches hold.
+
+    Such a row has the number of documents in `row`, and in `grams` their rows (two bytes each) and counts (four).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, memoryview]]] = {}
@@ -133,30 +139,55 @@ def _met(dealt: DataFrame, parts: int) -> DataFrame:
                 rows.append((batch_id, row))
             h, which = np.concatenate(hashes), np.concatenate(ids)
             row = np.concatenate([r for _, r in rows])
+            del hashes, ids
             order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
+            h = h[order]
+            same = h[1:] == h[:-1]
             again = np.zeros(len(h), bool)
             again[order[1:][same]] = True
             again[order[:-1][same]] = True
             again &= row >= 0
             pair, count = np.unique(which[again].astype(np.int64) << 16 | row[again], return_counts=True)
-            m = len(pair)
-            told = {"part": pa.array(np.full(m, part), pa.int32()), "batch": pa.array(np.array([b for b, _ in rows], np.int64)[pair >> 16]), "row": pa.array(pair & 0xFFFF, pa.int32()), "shared": pa.array(count)}
-            yield pa.RecordBatch.from_arrays([told.get(f.name, pa.nulls(m, f.type)) for f in schema], schema=schema)
+            at = np.searchsorted(pair, np.arange(len(rows) + 1, dtype=np.int64) << 16).tolist()
+            full = [i for i in range(len(rows)) if at[i] < at[i + 1]]
+            blobs = [(pair[at[i] : at[i + 1]] & 0xFFFF).astype(np.uint16).tobytes() + count[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in full]
+            told = {"batch": pa.array([rows[i][0] for i in full], pa.int64()), "row": pa.array([at[i + 1] - at[i] for i in full], pa.int32()), "grams": pa.array(blobs, pa.binary())}
+            yield pa.RecordBatch.from_arrays([told.get(f.name, pa.nulls(len(full), f.type)) for f in schema], schema=schema)
+
+    return dealt.repartition(parts, "part").mapInArrow(run, _DEALT)
+
 
-    return dealt.repartition(parts, "part").mapInArrow(run, _DEALT).drop("part", "grams")
+def _opened(met: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(doc_id, k1, k2, n, d1, d2, open) for each document; open ones have enough grams that others hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, docs = {}, []
+        for batch in batches:
+            own = batch.column("grams").is_null()
+            docs.append(batch.filter(own).select(["doc_id", "k1", "k2", "n", "d1", "d2", "batch", "row", "shared"]))
+            rest = batch.filter(pa.compute.invert(own))
+            for batch_id, m, raw in zip(*(rest.column(c).to_pylist() for c in ("batch", "row", "grams"))):
+                total = found.setdefault(batch_id, np.zeros(1 << 16, np.int64))
+                total[np.frombuffer(raw, np.uint16, m)] += np.frombuffer(raw, np.uint8, 4 * m, 2 * m).copy().view(np.uint32)
+        for batch in docs:
+            shared = batch.column("shared").to_numpy().copy()
+            batch_id, row = batch.column("batch").to_numpy(), batch.column("row").to_numpy()
+            for i in np.unique(batch_id).tolist():
+                if i in found:
+                    shared[batch_id == i] += found[i][row[batch_id == i]]
+            told = pa.array(100 * shared >= percent * batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], told], names=[*batch.schema.names[:6], "open"])
+
+    return met.repartition(parts, "batch").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, n bigint, d1 bigint, d2 bigint, open boolean")
 
 
 def _crowded(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows of docs with keys, size and digests of their sets; sets (rep, n, k1, k2) that may link)."""
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     parts = max(8, -(-size // COUNTED_BYTES))
-    met = saved(_met(_dealt(docs, width, parts), parts), "met")
-    every = met.where("k1 is not null")
-    more = met.where("k1 is null").groupBy("batch", "row").agg(F.sum("shared").alias("more"))
-    full = every.join(more, ["batch", "row"], "left").withColumn("open", 100 * (F.col("shared") + F.coalesce("more", F.lit(0))) >= percent * F.col("n"))
+    every = saved(_opened(_met(_dealt(docs, width, parts), parts), parts, percent), "opened")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "k1", "k2")
-    sets = full.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(row).alias("row"), F.max("open").alias("open")).where("open")
+    sets = every.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(row).alias("row"), F.max("open").alias("open")).where("open")
     sets = saved(sets.select(F.monotonically_increasing_id().alias("rep"), "n", "d1", "d2", "row"), "sets")
     return every.select("doc_id", "k1", "k2", "n", "d1", "d2"), sets
 
