@@ -10,61 +10,88 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions.text import code_key, normalize_code
+from stemma.sources.scratch import written
 
 TOP = 10
+#: The row type of an as-of hit; maps do not use it.
+BOUNDARY = "page_boundary"
 
 
 def keyed(rows: DataFrame, code: str = "code") -> DataFrame:
-    """rows with code_norm and code_key."""
-    return rows.withColumn("code_norm", normalize_code(code)).withColumn("code_key", code_key("code_norm"))
+    """rows with code_norm and code_key. A generated row holds both, so that no filter or aggregate works them out again."""
+    both = F.transform(F.array(normalize_code(code)), lambda c: F.struct(c.alias("code_norm"), code_key(c).alias("code_key")))
+    return rows.select("*", F.inline(both))
+
+
+def _keyed_map(code_map: DataFrame) -> DataFrame:
+    return code_map if "code_key" in code_map.columns else keyed(code_map.drop("code_norm"))
 
 
 def page_boundaries(code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(page, code_norm, code_key): the first keyable code of each page, by code text."""
-    fit = keyed(code_map).where("code_key is not null")
-    first = fit.groupBy(*by, "page").agg(F.min(F.struct("code_norm", "code_key")).alias("b"))
-    return first.select(*by, "page", "b.code_norm", "b.code_key")
+    """(page, code_norm, code_key, code): the first keyable code of each page, by code text."""
+    fit = _keyed_map(code_map).where("code_key is not null")
+    first = fit.groupBy(*by, "page").agg(F.min(F.struct("code_norm", "code_key", "code")).alias("b"))
+    return first.select(*by, "page", "b.code_norm", "b.code_key", "b.code")
+
+
+def wanted_codes(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (code_norm, code_key) of rows that have a code."""
+    return keyed(rows).where("code_norm <> ''").select(*by, "code_norm", "code_key").distinct()
 
 
 def exact_pages(codes: DataFrame, code_map: DataFrame, top: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
     """(code_norm, rank, page, code, row_type): the first `top` map rows of each code by (page, code, row type)."""
-    wanted = keyed(codes).where("code_norm <> ''").select(*by, "code_norm").distinct()
-    hits = keyed(code_map).join(wanted, [*by, "code_norm"], "left_semi")
+    return _exact(wanted_codes(codes, by), _keyed_map(code_map), top, by)
+
+
+def _exact(wanted: DataFrame, keyed_map: DataFrame, top: int, by: tuple[str, ...]) -> DataFrame:
+    hits = keyed_map.join(wanted.select(*by, "code_norm"), [*by, "code_norm"], "left_semi")
     order = Window.partitionBy(*by, "code_norm").orderBy("page", "code_norm", "row_type", "code")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*by, "code_norm", "rank", "page", "code", "row_type")
 
 
 def boundary_intervals(code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(low, high, page) of disjoint key ranges, cut at each major code: [low, high) has its as-of page.
+    """(major, low, high, page, code) of disjoint key ranges, cut at each major code: [low, high) has its as-of boundary.
 
     The window runs over one row for each page of a book.
     """
-    ends = page_boundaries(code_map, by).groupBy(*by, "code_key").agg(F.min("page").alias("page"))
+    ends = page_boundaries(code_map, by).groupBy(*by, "code_key").agg(F.min(F.struct("page", "code")).alias("at"))
     order = Window.partitionBy(*by).orderBy("code_key")
-    open_ = ends.select(*by, F.col("code_key").alias("low"), F.lead("code_key").over(order).alias("next"), "page")
+    open_ = ends.select(*by, F.col("code_key").alias("low"), F.lead("code_key").over(order).alias("next"), "at.page", "at.code")
     # majors have two digits: the last range goes on to 99
     majors = F.sequence((F.col("low") / 1000).cast("int"), F.coalesce(((F.col("next") - 1) / 1000).cast("int"), F.lit(99)))
-    cut = open_.select(*by, "low", "next", "page", F.explode(majors).alias("major"))
-    return cut.select(*by, "major", F.greatest("low", F.col("major") * 1000).alias("low"), F.least(F.coalesce("next", F.lit(100_000)), (F.col("major") + 1) * 1000).alias("high"), "page")
+    cut = open_.select(*by, "low", "next", "page", "code", F.explode(majors).alias("major"))
+    return cut.select(*by, "major", F.greatest("low", F.col("major") * 1000).alias("low"), F.least(F.coalesce("next", F.lit(100_000)), (F.col("major") + 1) * 1000).alias("high"), "page", "code")
+
+
+def _asof(wanted: DataFrame, keyed_map: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    rest = wanted.join(keyed_map.select(*by, "code_norm"), [*by, "code_norm"], "left_anti").where("code_key is not null")
+    within = rest.withColumn("major", (F.col("code_key") / 1000).cast("int")).join(boundary_intervals(keyed_map, by), [*by, "major"])
+    return within.where((F.col("code_key") >= F.col("low")) & (F.col("code_key") < F.col("high"))).select(*by, "code_norm", "page", "code", F.lit(BOUNDARY).alias("row_type"))
 
 
 def asof_pages(codes: DataFrame, code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(code_norm, page) of codes without an exact hit: the page of the greatest boundary at or before the code's key."""
-    wanted = keyed(codes).where("code_norm <> ''").select(*by, "code_norm", "code_key").distinct()
-    rest = wanted.join(keyed(code_map).select(*by, "code_norm"), [*by, "code_norm"], "left_anti").where("code_key is not null")
-    rest = rest.withColumn("major", (F.col("code_key") / 1000).cast("int"))
-    within = rest.join(boundary_intervals(code_map, by), [*by, "major"])
-    return within.where((F.col("code_key") >= F.col("low")) & (F.col("code_key") < F.col("high"))).select(*by, "code_norm", "page")
+    """(code_norm, page, code, row_type) of codes without an exact hit: the greatest boundary at or before the code's key."""
+    return _asof(wanted_codes(codes, by), _keyed_map(code_map), by)
+
+
+def page_hits(codes: DataFrame, code_map: DataFrame, by: tuple[str, ...] = (), top: int = TOP) -> DataFrame:
+    """(code_norm, rank, page, code, row_type): what a look-up of each code shows, its exact rows or else one boundary.
+
+    Codes and map are keyed once and written, since each is used in several joins.
+    """
+    wanted, keyed_map = written(wanted_codes(codes, by), "codes"), written(_keyed_map(code_map), "code-map")
+    near = _asof(wanted, keyed_map, by).select(*by, "code_norm", F.lit(1).alias("rank"), "page", "code", "row_type")
+    return _exact(wanted, keyed_map, top, by).unionByName(near)
 
 
 def book_pages(rows: DataFrame, code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Each coded row with its book page, how it was found (exact, asof, none) and the number of exact hits.
+    """Each coded row with its book page, how it was found (exact, asof, none), the number of hits, and the code and row type of the first.
 
     With several books, rows and map have the columns `by`, and each row is looked up in its own book.
     """
-    coded, key = keyed(rows).where("code_norm <> ''"), [*by, "code_norm"]
-    exact = exact_pages(rows, code_map, by=by).groupBy(*key).agg(F.min("page").alias("exact_page"), F.count("*").alias("hits"))
-    asof = asof_pages(rows, code_map, by).withColumnRenamed("page", "asof_page")
-    out = coded.join(exact, key, "left").join(asof, key, "left")
-    found = F.when(F.col("exact_page").isNotNull(), "exact").when(F.col("asof_page").isNotNull(), "asof").otherwise("none")
-    return out.withColumn("found", found).withColumn("book_page", F.coalesce("exact_page", "asof_page")).withColumn("hits", F.coalesce("hits", F.when(F.col("asof_page").isNotNull(), 1).otherwise(0)).cast("long")).drop("exact_page", "asof_page")
+    told = page_hits(rows, code_map, by).groupBy(*by, "code_norm").agg(F.min(F.struct("rank", "page", "code", "row_type")).alias("first"), F.count("*").alias("hits"))
+    told = told.select(*by, "code_norm", "hits", F.col("first.page").alias("book_page"), F.col("first.code").alias("book_code"), F.col("first.row_type").alias("row_type"))
+    out = keyed(rows).where("code_norm <> ''").join(told, [*by, "code_norm"], "left")
+    found = F.when(F.col("book_page").isNull(), "none").when(F.col("row_type") == BOUNDARY, "asof").otherwise("exact")
+    return out.withColumn("found", found).withColumn("hits", F.coalesce("hits", F.lit(0)))

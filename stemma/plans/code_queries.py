@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 from stemma.functions import text as T
 from stemma.operators import codes
 from stemma.plans.views import view, with_views
-from stemma.sources import batches
+from stemma.sources import batches, payloads
 from stemma.sources.scratch import scratch
 
 KEY = r"""CASE WHEN regexp_full_match(code_norm, '\d{1,2}(\.\d{1,2})?') THEN CAST(split_part(code_norm, '.', 1) AS INT) * 1000
  + CASE WHEN contains(code_norm, '.') THEN CAST(rpad(split_part(code_norm, '.', 2), 2, '0') AS INT) + 1 ELSE 0 END END"""
 KEYED = rf"""keyed AS (SELECT *, {KEY} AS code_key FROM (SELECT *, CAST(floor(pos / 56.0) AS BIGINT) AS book, lower(regexp_replace(code, '\s+', '', 'g')) AS code_norm FROM idx)),
-map AS (SELECT *, {KEY} AS code_key FROM (SELECT *, lower(regexp_replace(code, '\s+', '', 'g')) AS code_norm FROM code_map) WHERE page BETWEEN 21 AND 415 AND code_norm <> ''),
-bounds AS (SELECT book, page, code_norm, code_key FROM map WHERE code_key IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY code_norm) = 1),
+map AS (SELECT *, {KEY} AS code_key FROM (SELECT *, lower(regexp_replace(code, '\s+', '', 'g')) AS code_norm FROM (SELECT * REPLACE (coalesce(row_type, '') AS row_type) FROM code_map)) WHERE page BETWEEN 21 AND 415 AND code_norm <> ''),
+bounds AS (SELECT book, page, code_norm, code_key, code FROM map WHERE code_key IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY code_norm, code) = 1),
 exact AS (SELECT book, code_norm, row_number() OVER (PARTITION BY book, code_norm ORDER BY page, code_norm, row_type, code) AS rank, page, code, row_type
   FROM map m WHERE EXISTS (SELECT 1 FROM keyed k WHERE k.book = m.book AND k.code_norm = m.code_norm)),
-hits AS (SELECT book, code_norm, min(page) AS page, count(*) AS hits FROM exact WHERE rank <= 10 GROUP BY book, code_norm)"""
+hits AS (SELECT book, code_norm, min(page) AS page, count(*) AS hits, arg_min(code, rank) AS code, arg_min(row_type, rank) AS row_type FROM exact WHERE rank <= 10 GROUP BY book, code_norm)"""
+NEAR = """best AS (SELECT k.book, k.pos, max(b.code_key) AS code_key FROM keyed k JOIN bounds b ON b.book = k.book AND b.code_key <= k.code_key
+  WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.book = k.book AND h.code_norm = k.code_norm) GROUP BY k.book, k.pos),
+near AS (SELECT t.pos, min(b.page) AS page, arg_min(b.code, b.page) AS code FROM best t JOIN bounds b USING (book, code_key) GROUP BY t.pos)"""
 
 
 BOOK = ("book",)
@@ -47,7 +50,17 @@ def code_page_exact(spark, d):
 
 
 def code_page_asof(spark, d):
-    return codes.book_pages(book_rows(spark, d), book_map(spark, d), BOOK).select("pos", "code_norm", "found", "book_page", "hits")
+    return codes.book_pages(book_rows(spark, d), book_map(spark, d), BOOK).select("pos", "code_norm", "found", "book_page", "hits", "book_code", "row_type")
+
+
+#: Codes as they are typed: padded, with blanks inside, or missing; the text runs on both sides.
+TYPED = "CASE CAST(pos % 6 AS INT) WHEN 0 THEN concat('　', code, ' ') WHEN 1 THEN concat(substr(code, 1, 1), ' ', substr(code, 2)) WHEN 2 THEN NULL ELSE code END"
+
+
+def code_page_payload(spark, d):
+    """The answer to a look-up of each row's code, as it is typed, in its book."""
+    asked = book_rows(spark, d).select(F.col("pos").alias("query_id"), *BOOK, F.expr(TYPED).alias("query"))
+    return payloads.page_payload(asked, book_map(spark, d), BOOK)
 
 
 #: Cells as they come from files: padded, not numbers, or missing. Each text runs on both sides.
@@ -103,7 +116,7 @@ SELECT * FROM found WHERE end_page - start_page <= 4"""
 def load_code_map(spark, d):
     """The map written as a CSV file and loaded from it."""
     path = scratch(spark, "code-map")
-    view(spark, d, "code_map").select("page", "code").write.option("header", True).csv(path)
+    view(spark, d, "code_map").select("page", "code", "row_type").write.option("header", True).csv(path)
     return batches.load_code_pages(spark, path)
 
 
@@ -129,26 +142,35 @@ def write_roundtrip(spark, d):
 ROUNDTRIP_SQL = f"""written AS (SELECT i.* REPLACE ({BROKEN} AS english), f.name FROM idx i JOIN files f ON i.page BETWEEN f.start_page AND f.end_page WHERE f.start_page % 3 <> 0)
 SELECT name AS source_file, CAST(1 + row_number() OVER (PARTITION BY name ORDER BY page, source_line) AS INT) AS source_line, page, level, chinese, english, code FROM written"""
 
-QUERIES = {f.__name__: f for f in (code_keys, page_boundaries, code_page_exact, code_page_asof, parse_values, row_ids, tree_preview, csv_lines, batch_discovery, load_code_map, write_roundtrip)}
+QUERIES = {f.__name__: f for f in (code_keys, page_boundaries, code_page_exact, code_page_asof, code_page_payload, parse_values, row_ids, tree_preview, csv_lines, batch_discovery, load_code_map, write_roundtrip)}
 
 ORACLE_SQL = {
     "code_keys": with_views(f"{KEYED} SELECT pos, code_norm, code_key FROM keyed", "idx", "code_map"),
-    "page_boundaries": with_views(f"{KEYED} SELECT book, page, code_norm, code_key FROM bounds", "idx", "code_map"),
+    "page_boundaries": with_views(f"{KEYED} SELECT book, page, code_norm, code_key, code FROM bounds", "idx", "code_map"),
     "code_page_exact": with_views(f"{KEYED} SELECT book, code_norm, CAST(rank AS INT) AS rank, page, code, row_type FROM exact WHERE rank <= 10", "idx", "code_map"),
     "code_page_asof": with_views(
-        f"""{KEYED}, best AS (SELECT k.book, k.pos, max(b.code_key) AS code_key FROM keyed k JOIN bounds b ON b.book = k.book AND b.code_key <= k.code_key GROUP BY k.book, k.pos),
-  near AS (SELECT t.pos, min(b.page) AS page FROM best t JOIN bounds b USING (book, code_key) GROUP BY t.pos)
-SELECT k.pos, k.code_norm, CASE WHEN h.page IS NOT NULL THEN 'exact' WHEN a.page IS NOT NULL THEN 'asof' ELSE 'none' END AS found,
-  coalesce(h.page, a.page) AS book_page, CAST(coalesce(h.hits, CASE WHEN a.page IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS hits
+        f"""{KEYED}, {NEAR}
+SELECT k.pos, k.code_norm, CASE WHEN h.page IS NOT NULL THEN 'exact' WHEN a.page IS NOT NULL THEN 'asof' ELSE 'none' END AS found, coalesce(h.page, a.page) AS book_page,
+  CAST(coalesce(h.hits, CASE WHEN a.page IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS hits, coalesce(h.code, a.code) AS book_code, CASE WHEN h.page IS NOT NULL THEN h.row_type WHEN a.page IS NOT NULL THEN 'page_boundary' END AS row_type
 FROM keyed k LEFT JOIN hits h ON h.book = k.book AND h.code_norm = k.code_norm LEFT JOIN near a ON a.pos = k.pos WHERE k.code_norm <> ''""",
         "idx",
         "code_map",
     ),
+    "code_page_payload": with_views(
+        f"""asked AS (SELECT pos, CAST(floor(pos / 56.0) AS BIGINT) AS book, coalesce(regexp_replace({TYPED}, '^[\\s　]+|[\\s　]+$', '', 'g'), '') AS query FROM idx),
+{KEYED}, {NEAR}, told AS (SELECT a.*, k.code_norm FROM asked a JOIN keyed k USING (pos)),
+shown AS (SELECT pos, [{{'page': page, 'code': code, 'row_type': 'page_boundary'}}] AS rows FROM near
+  UNION ALL SELECT t.pos, list({{'page': e.page, 'code': e.code, 'row_type': e.row_type}} ORDER BY e.rank) FROM told t JOIN exact e ON e.book = t.book AND e.code_norm = t.code_norm WHERE e.rank <= 10 GROUP BY t.pos)
+SELECT t.pos AS query_id, t.book, CAST(to_json({{'query': t.query, 'count': coalesce(len(s.rows), 0), 'rows': coalesce(s.rows, []), 'page': s.rows[1].page}}) AS VARCHAR) AS payload
+FROM told t LEFT JOIN shown s ON s.pos = t.pos AND t.query <> ''""",
+        "idx",
+        "code_map",
+    ),
     "parse_values": with_views(PARSE_SQL, "idx"),
     "row_ids": with_views("SELECT pos, concat(page, '-', level, '-', source_file, '-', source_line) AS row_id FROM idx", "idx"),
     "tree_preview": with_views("SELECT pos, level, concat(repeat('　', greatest(level, 0)), chinese) AS hierarchy, english, code FROM idx", "idx"),
     "csv_lines": with_views(CSV_SQL, "idx"),
     "batch_discovery": with_views(DISCOVERY_SQL, "idx"),
-    "load_code_map": with_views(r"SELECT page, code, row_type, lower(regexp_replace(code, '\s+', '', 'g')) AS code_norm FROM code_map WHERE page BETWEEN 21 AND 415", "code_map"),
+    "load_code_map": with_views(r"SELECT page, code, coalesce(row_type, '') AS row_type, lower(regexp_replace(code, '\s+', '', 'g')) AS code_norm FROM code_map WHERE page BETWEEN 21 AND 415", "code_map"),
     "write_roundtrip": with_views(ROUNDTRIP_SQL, "idx", "files"),
 }

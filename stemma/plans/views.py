@@ -39,8 +39,11 @@ SELECT CAST(floor(o_orderkey / 420.0) AS BIGINT) AS book, CAST(15 + o_orderkey %
  CASE WHEN o_orderkey % 19 = 7 THEN lpad(CAST(CAST(floor(o_orderkey % 420 / 4.0) AS INT) AS VARCHAR(9)), 2, '0')
       WHEN o_orderkey % 5 = 2 THEN concat(lpad(CAST(CAST(floor(o_orderkey % 420 / 4.0) AS INT) AS VARCHAR(9)), 2, '0'), '.', CAST(o_orderkey % 4 * 2 AS VARCHAR(9)))
       ELSE concat(lpad(CAST(CAST(floor(o_orderkey % 420 / 4.0) AS INT) AS VARCHAR(9)), 2, '0'), '.', lpad(CAST(o_orderkey % 4 * 21 AS VARCHAR(9)), 2, '0')) END AS code,
- '' AS row_type
+ CASE o_orderkey % 3 WHEN 0 THEN 'row' WHEN 1 THEN '' END AS row_type
 FROM orders
+UNION ALL SELECT CAST(floor(o_orderkey / 420.0) AS BIGINT), CAST(15 + o_orderkey % 420 AS INT),
+ concat(lpad(CAST(CAST(floor(o_orderkey % 420 / 4.0) AS INT) AS VARCHAR(9)), 2, '0'), '.', lpad(CAST(o_orderkey % 4 * 21 AS VARCHAR(9)), 2, '0')), 'range'
+FROM orders WHERE o_orderkey % 7 IN (1, 4)
 """,
     "files": """
 SELECT source_file AS name, CAST(split_part(source_file, '-', 3) AS INT) AS start_page,

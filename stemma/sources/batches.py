@@ -73,8 +73,9 @@ def code_pages(raw: DataFrame, page_min: int = PAGE_MIN, page_max: int = PAGE_MA
     if not {"page", "code"} <= set(raw.columns):
         return raw.sparkSession.createDataFrame([], "page int, code string, row_type string, code_norm string")
     kind = F.coalesce(F.col("row_type").cast("string"), F.lit("")) if "row_type" in raw.columns else F.lit("")
-    out = raw.select(*by, parse_int("page", None).cast("int").alias("page"), strip(F.coalesce(F.col("code").cast("string"), F.lit(""))).alias("code"), kind.alias("row_type"))
-    return out.withColumn("code_norm", normalize_code("code")).where(F.col("page").between(page_min, page_max) & (F.col("code_norm") != ""))
+    coded = raw.where(F.col("code").cast("string").rlike(r"(?U)[^\s\x1c-\x1f]"))
+    out = coded.select(*by, parse_int("page", None).cast("int").alias("page"), strip(F.col("code").cast("string")).alias("code"), kind.alias("row_type"))
+    return out.where(F.col("page").between(page_min, page_max)).withColumn("code_norm", normalize_code("code"))
 
 
 def load_code_pages(spark: SparkSession, path: str, page_min: int = PAGE_MIN, page_max: int = PAGE_MAX) -> DataFrame:
@@ -110,27 +111,40 @@ def _row_fields() -> list[Column]:
     return [row_id().alias("id"), *[F.col(c) for c in ("page", "level", "code", "chinese", "english", "source_file", "source_line")], refs.alias("references"), F.col("has_children")]
 
 
-def payload(queries: DataFrame, rows: DataFrame, hits: DataFrame, tree: DataFrame, part: str, block_rows: int = PAYLOAD_ROWS) -> DataFrame:
-    """(query_id, kind, block, payload): JSON texts with the rows and the tree of each query, at most block_rows in each.
+def payload_blocks(rows: DataFrame, hits: DataFrame, tree: DataFrame, part: str, block_rows: int = PAYLOAD_ROWS, mark: bool = True) -> DataFrame:
+    """(query_id, kind, block, count, rows): the rows and the tree of each query that has any, at most block_rows in each array.
 
     hits are (query_id, pos, rank or null), by which rows come in the order of a search; tree is what `nested` returns,
-    in document order, as rows with the id of their parent. A query without hits has one text without rows.
+    in document order, as rows with the id of their parent. `mark` is the match flag of rows.
     """
     from stemma.operators.outline import has_children, with_ordinal
 
     told = has_children(rows, part)
-    of_rows = hits.join(told, "pos").select("query_id", F.lit("rows").alias("kind"), part, F.struct("rank", "pos").alias("pos"), F.struct(*_row_fields(), F.lit(True).alias("matched"), F.lit(None).cast("string").alias("parent_id")).alias("row"))
+    of_rows = hits.join(told, "pos").select("query_id", F.lit("rows").alias("kind"), part, F.struct("rank", "pos").alias("pos"), F.struct(*_row_fields(), F.lit(mark).alias("matched"), F.lit(None).cast("string").alias("parent_id")).alias("row"))
     parents = told.select(F.col("pos").alias("parent_pos"), row_id().alias("parent_id"))
     of_tree = tree.join(told, "pos").join(parents, "parent_pos", "left").select("query_id", F.lit("tree").alias("kind"), part, F.struct(F.lit(None).cast("int").alias("rank"), "pos").alias("pos"), F.struct(*_row_fields(), "matched", "parent_id").alias("row"))
     # exact hits come in the order of their rank, wherever they stand
     every = of_rows.unionByName(of_tree).withColumn("_part", F.coalesce(F.floor(F.col("pos.rank") / block_rows), F.col(part)))
     numbered = with_ordinal(every, "_part", ("query_id", "kind")).withColumn("block", F.floor((F.col("ord") - 1) / block_rows).cast("int"))
     blocks = numbered.groupBy("query_id", "kind", "block").agg(F.max("n_rows").alias("count"), F.sort_array(F.collect_list(F.struct("ord", "row"))).alias("rows"))
+    return blocks.select("query_id", "kind", "block", "count", F.transform("rows", lambda r: r["row"]).alias("rows"))
+
+
+def _json(*fields) -> Column:
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def payload(queries: DataFrame, rows: DataFrame, hits: DataFrame, tree: DataFrame, part: str, block_rows: int = PAYLOAD_ROWS) -> DataFrame:
+    """(query_id, kind, block, payload): JSON texts of `payload_blocks`; a query without hits has one text without rows."""
+    blocks = payload_blocks(rows, hits, tree, part, block_rows)
     asked = queries.select("query_id", "query", F.explode(F.array(F.lit("rows"), F.lit("tree"))).alias("kind"))
     out = asked.join(blocks, ["query_id", "kind"], "left")
-    found = F.coalesce(F.transform("rows", lambda r: r["row"]), F.array().cast(every.schema["row"].dataType.simpleString().join(("array<", ">"))))
-    text = F.to_json(F.struct("query", F.coalesce("count", F.lit(0)).alias("count"), found.alias("rows")), {"ignoreNullFields": "false"})
+    text = _json("query", F.coalesce("count", F.lit(0)).alias("count"), _rows_or_none(blocks).alias("rows"))
     return out.select("query_id", "kind", F.coalesce("block", F.lit(0)).alias("block"), text.alias("payload"))
 
 
-__all__ = ["batches_of", "code_pages", "discover_batches", "file_lines", "load_code_pages", "load_index", "page_files", "parse_records", "payload", "read_back", "with_position", "write_batches"]
+def _rows_or_none(blocks: DataFrame) -> Column:
+    return F.coalesce("rows", F.array().cast(blocks.schema["rows"].dataType))
+
+
+__all__ = ["batches_of", "code_pages", "discover_batches", "file_lines", "load_code_pages", "load_index", "page_files", "parse_records", "payload", "payload_blocks", "read_back", "with_position", "write_batches"]

@@ -46,4 +46,4 @@ def test_entry(spark):
     if not Path("/root/testdata/sf0.001").exists():
         pytest.skip("the driver's tables are not here")
     df = entry.entry(spark)
-    assert df.count() > 0 and df.columns == ["pos", "code_norm", "found", "book_page", "hits"]
+    assert df.count() > 0 and df.columns == ["pos", "code_norm", "found", "book_page", "hits", "book_code", "row_type"]
