@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.text import is_code_query, row_id, search_text, strip
-from stemma.operators.outline import has_children, with_ancestors, with_ordinal, with_parent
+from stemma.operators.outline import has_children, numbered_part, with_ancestors, with_ordinal, with_parent
 
 FIELDS = ("chinese", "english", "code")
 #: Up to so many needles are sent to all executors and looked for in each text; more meet by pieces of texts.
@@ -52,6 +52,7 @@ def search_codes(rows: DataFrame, queries: DataFrame, part: str = "source_file")
     """
     wanted = cleaned(queries).where("is_code").select("query_id", "q")
     lengths = [r[0] for r in wanted.select(F.length("q")).distinct().collect()]
+    rows, part = numbered_part(rows, part)
     low = rows.withColumn("_code", F.lower("code")).where("_code <> ''")
     fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("_code"))
     codes = low.select("_code").distinct().select("_code", F.explode(fits).alias("n")).select("_code", F.expr("substring(_code, 1, n)").alias("q"))
@@ -59,7 +60,7 @@ def search_codes(rows: DataFrame, queries: DataFrame, part: str = "source_file")
     exact = met.groupBy("query_id").agg(F.max("is_exact").alias("_any"))
     hits = low.join(met.join(exact, "query_id").where(F.col("is_exact") == F.col("_any")), "_code")
     place = F.struct(*[F.when(F.col("is_exact"), F.col(c)).alias(f"k{i}") for i, c in enumerate(DOCUMENT_ORDER)], F.col("pos").alias("row"))
-    part_of = F.struct(F.when(F.col("is_exact"), F.col("page")).alias("page"), F.when(~F.col("is_exact"), F.col(part)).alias("part"))
+    part_of = F.when(F.col("is_exact"), F.col("page")).otherwise(F.col(part))  # all hits of a query are of one kind
     ranked = with_ordinal(hits.select("query_id", "is_exact", part_of.alias("_part"), place.alias("pos")), "_part", ("query_id",))
     return ranked.select("query_id", F.col("pos.row").alias("pos"), "is_exact", F.col("ord").cast("int").alias("rank"))
 
@@ -127,7 +128,7 @@ def match_flag(q: str, mode: str = "auto", fields=FIELDS) -> Column:
 
 def with_paths(rows: DataFrame, hits: DataFrame, part: str, mark: bool = True) -> DataFrame:
     """(query_id, pos, matched): hits and all their ancestors, level-0 rows cut at last."""
-    above = with_ancestors(rows, part).select("pos", "level", "ancestors")
+    above = with_ancestors(rows.select("pos", "level", part), part).select("pos", "level", "ancestors")
     full = hits.select("query_id", "pos").join(above, "pos")
     way = full.select("query_id", F.explode("ancestors").alias("pos"), F.lit(False).alias("matched"))
     own = full.where("level <> 0").select("query_id", "pos", F.lit(mark).alias("matched"))

@@ -18,7 +18,7 @@ bounds AS (SELECT book, page, code_norm, code_key, code FROM map WHERE code_key
   QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY code_norm, code) = 1),
 exact AS (SELECT book, code_norm, row_number() OVER (PARTITION BY book, code_norm ORDER BY page, code_norm, row_type, code) AS rank, page, code, row_type
   FROM map m WHERE EXISTS (SELECT 1 FROM keyed k WHERE k.book = m.book AND k.code_norm = m.code_norm)),
-hits AS (SELECT book, code_norm, min(page) AS page, count(*) AS hits, arg_min(code, rank) AS code, arg_min(row_type, rank) AS row_type FROM exact WHERE rank <= 10 GROUP BY book, code_norm)"""
+hits AS (SELECT book, code_norm, min(page) AS page, count(*) AS hits FROM exact WHERE rank <= 10 GROUP BY book, code_norm)"""
 NEAR = """best AS (SELECT k.book, k.pos, max(b.code_key) AS code_key FROM keyed k JOIN bounds b ON b.book = k.book AND b.code_key <= k.code_key
   WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.book = k.book AND h.code_norm = k.code_norm) GROUP BY k.book, k.pos),
 near AS (SELECT t.pos, min(b.page) AS page, arg_min(b.code, b.page) AS code FROM best t JOIN bounds b USING (book, code_key) GROUP BY t.pos)"""
@@ -50,7 +50,12 @@ def code_page_exact(spark, d):
 
 
 def code_page_asof(spark, d):
-    return codes.book_pages(book_rows(spark, d), book_map(spark, d), BOOK).select("pos", "code_norm", "found", "book_page", "hits", "book_code", "row_type")
+    return codes.book_pages(book_rows(spark, d), book_map(spark, d), BOOK).select("pos", "code_norm", "found", "book_page", "hits")
+
+
+def code_page_hits(spark, d):
+    """What a look-up of each code shows: its exact rows, or the boundary before it with its own code and row type."""
+    return codes.page_hits(book_rows(spark, d), book_map(spark, d), BOOK)
 
 
 #: Codes as they are typed: padded, with blanks inside, or missing; the text runs on both sides.
@@ -142,7 +147,7 @@ def write_roundtrip(spark, d):
 ROUNDTRIP_SQL = f"""written AS (SELECT i.* REPLACE ({BROKEN} AS english), f.name FROM idx i JOIN files f ON i.page BETWEEN f.start_page AND f.end_page WHERE f.start_page % 3 <> 0)
 SELECT name AS source_file, CAST(1 + row_number() OVER (PARTITION BY name ORDER BY page, source_line) AS INT) AS source_line, page, level, chinese, english, code FROM written"""
 
-QUERIES = {f.__name__: f for f in (code_keys, page_boundaries, code_page_exact, code_page_asof, code_page_payload, parse_values, row_ids, tree_preview, csv_lines, batch_discovery, load_code_map, write_roundtrip)}
+QUERIES = {f.__name__: f for f in (code_keys, page_boundaries, code_page_exact, code_page_asof, code_page_hits, code_page_payload, parse_values, row_ids, tree_preview, csv_lines, batch_discovery, load_code_map, write_roundtrip)}
 
 ORACLE_SQL = {
     "code_keys": with_views(f"{KEYED} SELECT pos, code_norm, code_key FROM keyed", "idx", "code_map"),
@@ -151,11 +156,17 @@ ORACLE_SQL = {
     "code_page_asof": with_views(
         f"""{KEYED}, {NEAR}
 SELECT k.pos, k.code_norm, CASE WHEN h.page IS NOT NULL THEN 'exact' WHEN a.page IS NOT NULL THEN 'asof' ELSE 'none' END AS found, coalesce(h.page, a.page) AS book_page,
-  CAST(coalesce(h.hits, CASE WHEN a.page IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS hits, coalesce(h.code, a.code) AS book_code, CASE WHEN h.page IS NOT NULL THEN h.row_type WHEN a.page IS NOT NULL THEN 'page_boundary' END AS row_type
+  CAST(coalesce(h.hits, CASE WHEN a.page IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS hits
 FROM keyed k LEFT JOIN hits h ON h.book = k.book AND h.code_norm = k.code_norm LEFT JOIN near a ON a.pos = k.pos WHERE k.code_norm <> ''""",
         "idx",
         "code_map",
     ),
+    "code_page_hits": with_views(
+        f"""{KEYED}, {NEAR} SELECT book, code_norm, CAST(rank AS INT) AS rank, page, code, row_type FROM exact WHERE rank <= 10
+UNION ALL SELECT DISTINCT k.book, k.code_norm, 1, a.page, a.code, 'page_boundary' FROM near a JOIN keyed k USING (pos)""",
+        "idx",
+        "code_map",
+    ),
     "code_page_payload": with_views(
         f"""asked AS (SELECT pos, CAST(floor(pos / 56.0) AS BIGINT) AS book, coalesce(regexp_replace({TYPED}, '^[\\s　]+|[\\s　]+$', '', 'g'), '') AS query FROM idx),
 {KEYED}, {NEAR}, told AS (SELECT a.*, k.code_norm FROM asked a JOIN keyed k USING (pos)),

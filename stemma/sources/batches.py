@@ -63,8 +63,10 @@ def load_index(spark: SparkSession, directory: str, loader: str = "search", max_
 
 
 def with_position(rows: DataFrame, batches: DataFrame) -> DataFrame:
-    """Rows of the given files with `pos`; the ranking window runs over one row for each file."""
-    ranks = batches.select(F.col("name").alias("source_file"), F.row_number().over(Window.partitionBy().orderBy("name")).cast("long").alias("file_rank"))
+    """Rows of the given files with `file_rank`, by name, and `pos`."""
+    from stemma.operators.outline import ranked
+
+    ranks = ranked(batches, "name").select(F.col("name").alias("source_file"), F.col("rank").alias("file_rank"))
     return rows.join(ranks, "source_file").withColumn("pos", F.shiftleft("file_rank", 32) + F.col("source_line"))
 
 

@@ -58,3 +58,62 @@ def test_parent_takes_level_zero_and_groups_apart(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "pos bigint, part int, level int, english string")
     assert outline.with_ancestors(df, "part").collect() == [] and outline.with_subtree_end(df, "part").collect() == []
+
+
+def shuffled(spark, rows, schema):
+    return spark.createDataFrame(random.Random(1).sample(rows, len(rows)), schema).repartition(5)
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_groups_of_parts_carry_like_one_run(spark, monkeypatch, bits):
+    """Few parts in a group of parts, so that parents and ends lie in other parts, other groups, and beyond."""
+    monkeypatch.setattr(outline, "FAN_BITS", bits)
+    r = random.Random(bits)
+    levels = [r.choice([0, 1, 2, 2, 3, 5, 8, 9]) for _ in range(300)]
+    cuts = sorted(r.sample(range(1, 300), 60))
+    rows = [(g, i, sum(i >= c for c in cuts), v) for g in ("a", None) for i, v in enumerate(levels)]
+    df = shuffled(spark, rows, "g string, pos bigint, part int, level int")
+    ways = {(x["g"], x["pos"]): x["ancestors"] for x in outline.with_ancestors(df, "part", ("g",)).collect()}
+    ends = {(x["g"], x["pos"]): (x["ord"], x["n_rows"], x["end_ord"]) for x in outline.with_subtree_end(df, "part", ("g",)).collect()}
+    parents = {(x["g"], x["pos"]): x["parent_pos"] for x in outline.with_parent(df, "part", ("g",)).collect()}
+    kids = {(x["g"], x["pos"]): x["has_children"] for x in outline.has_children(df, "part", ("g",)).collect()}
+    assert len(ways) == len(ends) == len(parents) == len(kids) == 600
+    for g in ("a", None):
+        for i in range(300):
+            assert ways[g, i] == up(levels, i) and ends[g, i] == (i + 1, 300, end(levels, i) + 1)
+            assert parents[g, i] == max((j for j in range(i) if levels[j] < levels[i]), default=None)
+            assert kids[g, i] == (i < 299 and levels[i + 1] > levels[i])
+
+
+def test_ten_thousand_levels_in_a_thousand_parts(spark):
+    """A way down and up again, twice: levels are not counted anywhere."""
+    deep = 10_000
+    levels = [*range(deep), *range(deep - 1, 0, -3), *range(5, deep, 2)]
+    df = shuffled(spark, [(i, i // 23, v) for i, v in enumerate(levels)], "pos bigint, part int, level int")
+    parents = {x["pos"]: x["parent_pos"] for x in outline.with_parent(df, "part").collect()}
+    ends = {x["pos"]: x["end_ord"] for x in outline.with_subtree_end(df, "part").collect()}
+    stack, above, after = [], {}, {}
+    for i, v in enumerate(levels):
+        while stack and levels[stack[-1]] >= v:
+            after[stack.pop()] = i + 1
+        above[i] = stack[-1] if stack else None
+        stack.append(i)
+    after |= dict.fromkeys(stack, len(levels) + 1)
+    assert parents == above and ends == after
+
+
+def test_a_part_of_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        r = random.Random(9)
+        levels = [r.randrange(6) for _ in range(200)]
+        df = shuffled(spark, [(i, i // 90, v) for i, v in enumerate(levels)], "pos bigint, part int, level int")
+        assert {x["pos"]: x["ancestors"] for x in outline.with_ancestors(df, "part").collect()} == {i: up(levels, i) for i in range(200)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ranks_of_names(spark):
+    names = [f"f{i * 7919 % 1000:04d}" for i in range(500)]
+    got = {x["name"]: x["rank"] for x in outline.ranked(spark.createDataFrame([(n,) for n in names * 2], "name string"), "name").collect()}
+    assert got == {n: i + 1 for i, n in enumerate(sorted(names))}
