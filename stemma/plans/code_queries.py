@@ -144,10 +144,23 @@ def write_roundtrip(spark, d):
     return batches.read_back(spark, out)
 
 
+def save_in_place(spark, d):
+    """All files written, then every third one again in its place, with its rows on later pages gone; the whole loaded."""
+    out, files, rows = scratch(spark, "batches"), view(spark, d, "files"), state(spark, d)
+    batches.write_batches(rows, files, files, out)
+    gone = rows.withColumn("deleted", F.col("page") % 5 >= 3).withColumn("english", F.concat("english", F.lit(" again")))
+    batches.write_batches(gone, files, files.where("start_page % 3 = 0"), out, in_place=True)
+    return batches.read_back(spark, out)
+
+
+IN_PLACE_SQL = """saved AS (SELECT i.* REPLACE (CASE WHEN f.start_page % 3 = 0 THEN concat(i.english, ' again') ELSE i.english END AS english), f.name FROM idx i JOIN files f ON i.page BETWEEN f.start_page AND f.end_page
+  WHERE f.start_page % 3 <> 0 OR i.page % 5 < 3)
+SELECT name AS source_file, CAST(1 + row_number() OVER (PARTITION BY name ORDER BY page, source_line) AS INT) AS source_line, page, level, chinese, english, code FROM saved"""
+
 ROUNDTRIP_SQL = f"""written AS (SELECT i.* REPLACE ({BROKEN} AS english), f.name FROM idx i JOIN files f ON i.page BETWEEN f.start_page AND f.end_page WHERE f.start_page % 3 <> 0)
 SELECT name AS source_file, CAST(1 + row_number() OVER (PARTITION BY name ORDER BY page, source_line) AS INT) AS source_line, page, level, chinese, english, code FROM written"""
 
-QUERIES = {f.__name__: f for f in (code_keys, page_boundaries, code_page_exact, code_page_asof, code_page_hits, code_page_payload, parse_values, row_ids, tree_preview, csv_lines, batch_discovery, load_code_map, write_roundtrip)}
+QUERIES = {f.__name__: f for f in (code_keys, page_boundaries, code_page_exact, code_page_asof, code_page_hits, code_page_payload, parse_values, row_ids, tree_preview, csv_lines, batch_discovery, load_code_map, write_roundtrip, save_in_place)}
 
 ORACLE_SQL = {
     "code_keys": with_views(f"{KEYED} SELECT pos, code_norm, code_key FROM keyed", "idx", "code_map"),
@@ -184,4 +197,5 @@ FROM told t LEFT JOIN shown s ON s.pos = t.pos AND t.query <> ''""",
     "batch_discovery": with_views(DISCOVERY_SQL, "idx"),
     "load_code_map": with_views(r"SELECT page, code, coalesce(row_type, '') AS row_type, lower(regexp_replace(code, '\s+', '', 'g')) AS code_norm FROM code_map WHERE page BETWEEN 21 AND 415", "code_map"),
     "write_roundtrip": with_views(ROUNDTRIP_SQL, "idx", "files"),
+    "save_in_place": with_views(IN_PLACE_SQL, "idx", "files"),
 }

@@ -35,13 +35,20 @@ def discover_batches(spark: SparkSession, directory: str, max_width: int | None
 def parse_records(files: DataFrame, loader: str = "search") -> DataFrame:
     """Index rows of whole texts (source_file, value); source_line counts all records, header and blank ones too.
 
-    Cells are trimmed, short records padded, long ones cut. Rows whose page is no number or negative are left out.
     Quoted cells may hold line breaks: a record ends at a line end outside quotes. A quote without its partner is text.
     """
-    cells = ", ".join(f"c{i} string" for i in range(5))
     records = files.select("source_file", F.posexplode(F.regexp_extract_all("value", F.lit(RECORD), 1)).alias("_i", "_record"))
+    return index_rows(records.select("source_file", (F.col("_i") + 1).cast("int").alias("source_line"), "_record"), loader)
+
+
+def index_rows(records: DataFrame, loader: str = "search") -> DataFrame:
+    """Index rows of records (source_file, source_line, _record).
+
+    Cells are trimmed, short records padded, long ones cut. Rows whose page is no number or negative are left out.
+    """
+    cells = ", ".join(f"c{i} string" for i in range(5))
     cell = F.from_csv("_record", cells, {"sep": ",", "quote": '"', "escape": '"'})
-    rows = records.select("source_file", (F.col("_i") + 1).cast("int").alias("source_line"), cell.alias("c"))
+    rows = records.select("source_file", "source_line", cell.alias("c"))
     rows = rows.select("source_file", "source_line", *[strip(F.coalesce(F.col(f"c.c{i}"), F.lit(""))).alias(f"c{i}") for i in range(5)])
     header = F.lower("c0") == "page"
     if loader == "search":
@@ -55,11 +62,87 @@ def parse_records(files: DataFrame, loader: str = "search") -> DataFrame:
     return rows
 
 
+def _line_states(lines: DataFrame) -> DataFrame:
+    """lines (source_file, block, i, line) with `inside` and `after`: whether a quoted cell is open before and after each.
+
+    A line is a function of what is open before it: it opens or closes whatever came, or leaves that as it is, or turns
+    it round. So the state before a line is that of the last line of the first kind, turned round as often as lines of
+    the last kind follow. Within a block (a split of a file) that is a running window; across blocks, one over a row for
+    each block of a file.
+    """
+    cell = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,\r]*+|(?!")[^,\r]*+)'
+    opens = rf'(?:{cell}[,\r])*+"[^"]*+(?:""[^"]*+)*+$'
+    told = lines.withColumn("from_out", F.col("line").rlike("^" + opens)).withColumn("from_in", F.col("line").rlike(rf'^[^"]*+(?:""[^"]*+)*+(?:$|"[^,\r]*+[,\r]{opens})'))
+    fixed = F.when(F.col("from_out") == F.col("from_in"), F.col("from_out"))
+    turns = (F.col("from_out") & ~F.col("from_in")).cast("int")
+    own = Window.partitionBy("source_file", "block").orderBy("i")
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = told.withColumns({"_fixed": fixed, "_turns": F.sum(turns).over(upto)})
+    # value and turns at the last fixed line so far
+    told = told.withColumn("_since", F.last(F.when(F.col("_fixed").isNotNull(), F.struct(F.col("_fixed").alias("v"), F.col("_turns").alias("t"))), ignorenulls=True).over(upto))
+    blocks = told.groupBy("source_file", "block").agg(F.max_by(F.struct("_since", "_turns"), "i").alias("s"))
+    by_block = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    odd = lambda n: F.pmod(n, F.lit(2)) == 1
+    blocks = blocks.select("source_file", "block", F.when(F.col("s._since").isNotNull(), F.col("s._since.v") != odd(F.col("s._turns") - F.col("s._since.t"))).alias("_ends"), F.when(F.col("s._since").isNull(), F.col("s._turns")).otherwise(0).alias("_n"))
+    blocks = blocks.withColumn("_sum", F.sum("_n").over(Window.partitionBy("source_file").orderBy("block")))
+    last = F.last(F.when(F.col("_ends").isNotNull(), F.struct(F.col("_ends").alias("v"), F.col("_sum").alias("t"))), ignorenulls=True).over(by_block)
+    passed = F.coalesce(F.sum("_n").over(by_block), F.lit(0))
+    blocks = blocks.select("source_file", "block", F.coalesce(last["v"], F.lit(False)).alias("_v"), (passed - F.coalesce(last["t"], F.lit(0))).alias("_t"))
+    blocks = blocks.select("source_file", "block", (F.col("_v") != odd(F.col("_t"))).alias("_open"))
+    after = F.when(F.col("_since").isNotNull(), F.col("_since.v") != odd(F.col("_turns") - F.col("_since.t"))).otherwise(F.col("_open") != odd(F.col("_turns")))
+    out = told.join(blocks, ["source_file", "block"]).withColumn("after", after)
+    return out.select("source_file", "block", "i", "line", F.coalesce(F.lag("after").over(own), "_open").alias("inside"), "after")
+
+
+def split_records(lines: DataFrame) -> DataFrame:
+    """(source_file, source_line, _record) of lines (source_file, block, i, line), cut at line feeds, for files of any size.
+
+    Lines of one record are put together; most are one line and stay where they are. Records are numbered by counts for
+    each block. In files whose last quote is never closed it would be text, as `parse_records` has it: such files are
+    put together whole.
+    """
+    from stemma.sources.scratch import written
+
+    told = written(_line_states(lines), "lines")
+    ends = told.groupBy("source_file").agg(F.max_by("after", F.struct("block", "i")).alias("unclosed"))
+    told = told.join(ends, "source_file")
+    torn = told.where("unclosed").groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "i", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    torn = torn.select("source_file", F.posexplode(F.regexp_extract_all("value", F.lit(RECORD), 1)).alias("_i", "_record")).select("source_file", (F.col("_i") + 1).cast("int").alias("source_line"), "_record")
+    told = told.where("not unclosed")
+    single = told.where("not inside and not after").select("source_file", "block", "i", F.col("line").alias("piece"))
+    # the start of a record that goes on: the last line before that is not inside; where that lies in an earlier block, it is the last such line there
+    long = told.where("inside or after").withColumn("start", F.when(~F.col("inside"), F.struct("block", "i")))
+    long = long.withColumn("start", F.last("start", ignorenulls=True).over(Window.partitionBy("source_file", "block").orderBy("i")))
+    opened = long.groupBy("source_file", "block").agg(F.max("start").alias("start"))
+    earlier = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = opened.select("source_file", "block", F.last("start", ignorenulls=True).over(earlier).alias("_before"))
+    long = long.join(opened, ["source_file", "block"]).withColumn("start", F.coalesce("start", "_before"))
+    pieces = long.groupBy("source_file", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "i", "line"))), lambda x: x["line"]), "\n").alias("piece"))
+    pieces = single.unionByName(pieces.select("source_file", "start.block", "start.i", "piece"))
+    # a carriage return outside quotes ends a record too; behind the last line end stands no record
+    records = F.regexp_extract_all(F.concat("piece", F.lit("\n")), F.lit(RECORD), 1)
+    pieces = pieces.select("source_file", "block", "i", F.slice(records, F.lit(1), F.size(records) - 1).alias("records"))
+    counts = pieces.groupBy("source_file", "block").agg(F.sum(F.size("records")).alias("n"))
+    counts = counts.select("source_file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_ahead"))
+    own = Window.partitionBy("source_file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_own", F.coalesce(F.sum(F.size("records")).over(own), F.lit(0))).join(counts, ["source_file", "block"])
+    found = pieces.select("source_file", "_ahead", "_own", F.posexplode("records").alias("_i", "_record"))
+    return found.select("source_file", (F.col("_ahead") + F.col("_own") + F.col("_i") + 1).cast("int").alias("source_line"), "_record").unionByName(torn)
+
+
+def lines_of(text: DataFrame, source_file: Column) -> DataFrame:
+    """(source_file, block, i, line) of files read as text with line feeds as line ends; ids ascend within a split."""
+    return text.select(source_file.alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+
+
 def load_index(spark: SparkSession, directory: str, loader: str = "search", max_width: int | None = None) -> DataFrame:
-    """Index rows of all batch files in a directory, with `pos` in document order (file rank and record number)."""
-    text = spark.read.option("pathGlobFilter", "*.csv").text(directory, wholetext=True)
-    text = text.select(F.col("_metadata.file_name").alias("source_file"), "value")
-    return with_position(parse_records(text, loader), discover_batches(spark, directory, max_width))
+    """Index rows of all batch files in a directory, with `pos` in document order (file rank and record number).
+
+    Files are read in splits, so that a large one is spread over many tasks.
+    """
+    text = spark.read.option("pathGlobFilter", "*.csv").option("lineSep", "\n").text(directory)
+    records = split_records(lines_of(text, F.col("_metadata.file_name")))
+    return with_position(index_rows(records, loader), discover_batches(spark, directory, max_width))
 
 
 def with_position(rows: DataFrame, batches: DataFrame) -> DataFrame:
@@ -91,20 +174,30 @@ def file_lines(state: DataFrame, files: DataFrame) -> DataFrame:
     return routed.select("name", "page", "ord", "uid", csv_line().alias("value"))
 
 
-def write_batches(state: DataFrame, files: DataFrame, modified: DataFrame, out: str) -> None:
-    """Rewrite each modified file under out/name=<file>/: header, then rows by (page, ord, uid)."""
+def write_batches(state: DataFrame, files: DataFrame, modified: DataFrame, out: str, in_place: bool = False) -> None:
+    """Rewrite each modified file under out/name=<file>/: header, then rows by (page, ord, uid).
+
+    With in_place, `out` may hold files already: those of modified names are replaced and all others stay untouched. New
+    files are staged and take the old ones' place when all tasks are done, so a write that fails leaves the old state. A
+    file without rows keeps its header.
+    """
     changed = files.join(modified.select("name").distinct(), "name", "left_semi")
     lines = changed.select("name").join(file_lines(state, changed), "name", "left")
     # the window keeps a file's lines together in one task; a file has a few pages
     first = F.row_number().over(Window.partitionBy("name").orderBy("page", "ord", "uid")) == 1
     value = F.when(first, F.concat_ws("\n", F.lit(",".join(DATA_COLUMNS)), "value")).otherwise(F.col("value"))
-    lines.select("name", "page", "ord", "uid", value.alias("value")).sortWithinPartitions("name", "page", "ord", "uid").select("name", "value").write.partitionBy("name").text(out)
+    told = lines.select("name", "page", "ord", "uid", value.alias("value")).sortWithinPartitions("name", "page", "ord", "uid").select("name", "value")
+    writer = told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if in_place else told.write
+    writer.partitionBy("name").text(out)
 
 
-def read_back(spark: SparkSession, out: str, loader: str = "search") -> DataFrame:
-    """Index rows of files that write_batches wrote."""
-    text = spark.read.text(out, wholetext=True)
-    return parse_records(text.select(F.col("name").alias("source_file"), "value"), loader)
+def read_back(spark: SparkSession, out: str, loader: str = "search", names: DataFrame | None = None) -> DataFrame:
+    """Index rows of files that write_batches wrote; with names(name) only their folders are read."""
+    text = spark.read.option("lineSep", "\n").text(out)
+    lines = lines_of(text, F.col("name").cast("string"))
+    if names is not None:
+        lines = lines.join(names.select(F.col("name").alias("source_file")).distinct(), "source_file", "left_semi")
+    return index_rows(split_records(lines), loader)
 
 
 def _row_fields() -> list[Column]:
@@ -149,4 +242,4 @@ def _rows_or_none(blocks: DataFrame) -> Column:
     return F.coalesce("rows", F.array().cast(blocks.schema["rows"].dataType))
 
 
-__all__ = ["batches_of", "code_pages", "discover_batches", "file_lines", "load_code_pages", "load_index", "page_files", "parse_records", "payload", "payload_blocks", "read_back", "with_position", "write_batches"]
+__all__ = ["batches_of", "code_pages", "discover_batches", "file_lines", "index_rows", "load_code_pages", "load_index", "page_files", "parse_records", "payload", "payload_blocks", "read_back", "split_records", "with_position", "write_batches"]
