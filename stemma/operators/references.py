@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from stemma.functions.text import extract_references, followed, is_code_query, strip
 from stemma.operators.outline import with_subtree_end
-from stemma.operators.search import containing
+from stemma.operators.pieces import holding, index_texts
+from stemma.operators.search import SENT_QUERIES, containing
 from stemma.sources.scratch import written
 
 #: After a target, a strict head goes on with one of these.
@@ -40,21 +41,21 @@ def targets_of(refs: DataFrame) -> DataFrame:
     return refs.select(F.lower(strip("target")).alias("target")).where("target <> ''").distinct()
 
 
-def locate_exact(rows: DataFrame, targets: DataFrame) -> DataFrame:
+def locate_exact(rows: DataFrame, targets: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(target, pos): rows of the code for code targets (final, even without a row), else rows with that text."""
     codes = targets.where(is_code_query("target")).join(rows.select("pos", F.lower("code").alias("target")), "target")
-    texts = targets.where(~is_code_query("target")).join(term_index(rows).select(F.col("term").alias("target"), "pos"), "target")
+    texts = targets.where(~is_code_query("target")).join((terms or term_index(rows)).select(F.col("term").alias("target"), "pos"), "target")
     return codes.unionByName(texts.select("target", "pos").distinct())
 
 
-def locate_prefix(rows: DataFrame, targets: DataFrame) -> DataFrame:
+def locate_prefix(rows: DataFrame, targets: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(target, pos): rows one of whose texts begins with the target, by an equality join on prefixes.
 
     Distinct terms are cut to the lengths that targets have: one number for each length, a few dozen.
     """
     texts = targets.where(~is_code_query("target"))
     lengths = [r[0] for r in texts.select(F.length("target")).distinct().collect()]
-    terms = term_index(rows)
+    terms = terms or term_index(rows)
     cut = terms.select("term").distinct().select("term", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("term"))).alias("n"))
     keys = cut.select("term", F.expr("substring(term, 1, n)").alias("target"))
     return texts.join(keys, "target").join(terms, "term").select("target", "pos").distinct()
@@ -69,10 +70,10 @@ def _paths(targets: DataFrame) -> DataFrame:
     return targets.where(F.col("target").contains(",") & ~is_code_query("target")).withColumn("parts", _parts(F.col("target"))).where(F.size("parts") > 1)
 
 
-def _heads(rows: DataFrame, paths: DataFrame) -> DataFrame:
+def _heads(rows: DataFrame, paths: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(target, pos) of rows one of whose texts is the first part, or goes on after it with an end sign."""
     head = paths.select("target", F.col("parts")[0].alias("head"))
-    terms = term_index(rows)
+    terms = terms or term_index(rows)
     signs = "[" + "".join("\\" + s if s in "-()/" else s for s in HEAD_ENDS) + "]"
     # a term's heads: itself, and what stands before each of its end signs
     cuts = F.filter(F.transform(F.split("term", ""), lambda c, i: F.when(c.rlike(signs), i)), lambda i: i.isNotNull())
@@ -81,7 +82,7 @@ def _heads(rows: DataFrame, paths: DataFrame) -> DataFrame:
     return head.join(heads, "head").join(terms, "term").select("target", "pos").distinct()
 
 
-def locate_path(rows: DataFrame, targets: DataFrame, part: str = "source_file") -> DataFrame:
+def locate_path(rows: DataFrame, targets: DataFrame, part: str = "source_file", terms: DataFrame | None = None) -> DataFrame:
     """(target, pos): walk down from each head, part by part, always to the first row below that holds the part.
 
     Where no row below does, a row that holds the part itself stays. There is no way back up: the first head in
@@ -91,16 +92,20 @@ def locate_path(rows: DataFrame, targets: DataFrame, part: str = "source_file")
     both = lambda: F.concat_ws("\n", F.lower(strip("english")), F.lower(strip("chinese")))
     book = written(with_subtree_end(rows.select("pos", "level", part, both().alias("text")), part).select("pos", "ord", "end_ord", "text"), "book")
     stretch = lambda c: F.floor(c / STRETCH)
-    deepest = paths.agg(F.max(F.size("parts"))).first()[0] or 0
-    at = _heads(rows, paths).join(paths, "target").select("target", "parts", F.col("pos").alias("head"), F.col("pos").alias("at"))
-    for k in range(1, deepest):
+    deepest, n = paths.agg(F.max(F.size("parts")), F.count("*")).first()
+    # parts of many targets are looked up in one index, in every step
+    index = index_texts(book.select("pos", F.col("text").alias("_text"))) if n > SENT_QUERIES else None
+    at = _heads(rows, paths, terms).join(paths, "target").select("target", "parts", F.col("pos").alias("head"), F.col("pos").alias("at"))
+    for k in range(1, deepest or 0):
         done = at.where(F.size("parts") <= k)
         here = written(at.where(F.size("parts") > k).join(book.withColumnRenamed("pos", "at"), "at").withColumn("part", F.col("parts")[k]), "walk")
         # a subtree is a range of ordinals: the stretches it covers meet, in an equality join, the rows there that hold the part
         texts = book.select(F.col("pos").alias("next"), F.col("ord").alias("o"), F.col("text").alias("_text"))
-        holding = containing(texts, here.select(F.col("part").alias("_needle")).distinct()).select("next", "o", F.col("_needle").alias("part"), stretch(F.col("o")).alias("stretch"))
+        needles = here.select(F.col("part").alias("_needle")).distinct()
+        met = containing(texts, needles) if index is None else holding(index, needles).withColumnRenamed("pos", "next").join(texts, "next")
+        held = met.select("next", "o", F.col("_needle").alias("part"), stretch(F.col("o")).alias("stretch"))
         spread = here.where("end_ord > ord + 1").withColumn("stretch", F.explode(F.sequence(stretch(F.col("ord") + 1), stretch(F.col("end_ord") - 1))))
-        found = spread.join(holding, ["part", "stretch"]).where((F.col("o") > F.col("ord")) & (F.col("o") < F.col("end_ord")))
+        found = spread.join(held, ["part", "stretch"]).where((F.col("o") > F.col("ord")) & (F.col("o") < F.col("end_ord")))
         first = found.groupBy("target", "head").agg(F.min("next").alias("next"))
         moved = here.join(first, ["target", "head"], "left")
         goal = F.coalesce("next", F.when(F.contains(F.col("text"), F.col("part")), F.col("at")))
@@ -146,17 +151,17 @@ def locate_trailing_code(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def resolve(rows: DataFrame, targets: DataFrame, part: str = "source_file") -> DataFrame:
     """(target, stage, pos) of all distinct targets; unresolved ones have the stage `none` or `ignored` and no pos.
 
-    Each stage's hits and what they leave over are written to the shared folder, so that no stage runs twice.
+    The terms are written once for all stages. Each stage's hits and what they leave over are written to the shared folder, so that no stage runs twice.
     """
     rest = targets.where(followed(F.col("target")))
     out = targets.where(~followed(F.col("target"))).select("target", F.lit("ignored").alias("stage"), F.lit(None).cast(rows.schema["pos"].dataType).alias("pos"))
     code = is_code_query("target")
-    rest = written(rest, "targets")
+    rest, terms = written(rest, "targets"), written(term_index(rows), "terms")
     left = lambda t, hits: t.join(hits.select("target").distinct(), "target", "left_anti")
     for stage, find, ready in (
-        ("exact", locate_exact, F.lit(True)),
-        ("prefix", locate_prefix, ~code),
-        ("path", lambda r, t: locate_path(r, t, part), ~code),
+        ("exact", lambda r, t: locate_exact(r, t, terms), F.lit(True)),
+        ("prefix", lambda r, t: locate_prefix(r, t, terms), ~code),
+        ("path", lambda r, t: locate_path(r, t, part, terms), ~code),
         ("ordered", locate_ordered, ~code),
         ("trailing_code", locate_trailing_code, ~code),
     ):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from stemma.functions.text import is_code_query, row_id, search_text, strip
 from stemma.operators.outline import has_children, numbered_part, with_ancestors, with_ordinal, with_parent
+from stemma.operators.pieces import PieceIndex, holding, index_texts
+from stemma.sources.scratch import written
 
 FIELDS = ("chinese", "english", "code")
 #: Up to so many needles are sent to all executors and looked for in each text; more meet by pieces of texts.
@@ -92,21 +94,28 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     return found
 
 
-def search_texts(rows: DataFrame, queries: DataFrame, fields=FIELDS) -> DataFrame:
-    """(query_id, pos) for text queries over the chosen fields."""
+def text_index(rows: DataFrame, fields=FIELDS) -> PieceIndex:
+    """The index of the chosen fields' texts, for any number of searches of the same rows and fields."""
+    return index_texts(rows.select("pos", search_text(fields).alias("_text")).where("_text <> ''"))
+
+
+def search_texts(rows: DataFrame, queries: DataFrame, fields=FIELDS, index: PieceIndex | None = None) -> DataFrame:
+    """(query_id, pos) for text queries over the chosen fields; with their `text_index` no text is gone through."""
     wanted = cleaned(queries).where("not is_code")
     tokens = F.filter(F.split("q", r"(?U)\s+"), lambda t: t != "")
     needles = wanted.select("query_id", F.explode(F.when(F.col("mode") == "any", F.array_distinct(tokens)).otherwise(F.array("q"))).alias("_needle"))
+    if index is not None:
+        return holding(index, needles).join(needles, "_needle").select("query_id", "pos").distinct()
     texts = rows.select("pos", search_text(fields).alias("_text")).where("_text <> ''")
     return containing(texts, needles).select("query_id", "pos").distinct()
 
 
-def search(rows: DataFrame, queries: DataFrame, fields=FIELDS, part: str = "source_file") -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, fields=FIELDS, part: str = "source_file", index: PieceIndex | None = None) -> DataFrame:
     """(query_id, pos, rank) of all hits of all queries; an empty query has the level-0 rows. Only exact code hits have a rank."""
     empty = queries.where(strip("query") == "").select("query_id", F.lit(0).alias("level"))
     shown = browse(rows).select("pos", "level").join(empty, "level").select("query_id", "pos")
     coded = search_codes(rows, queries, part).select("query_id", "pos", F.when(F.col("is_exact"), F.col("rank")).alias("rank"))
-    other = search_texts(rows, queries, fields).unionByName(shown)
+    other = search_texts(rows, queries, fields, index).unionByName(shown)
     return coded.unionByName(other.withColumn("rank", F.lit(None).cast("int")))
 
 
@@ -129,7 +138,7 @@ def match_flag(q: str, mode: str = "auto", fields=FIELDS) -> Column:
 def with_paths(rows: DataFrame, hits: DataFrame, part: str, mark: bool = True) -> DataFrame:
     """(query_id, pos, matched): hits and all their ancestors, level-0 rows cut at last."""
     above = with_ancestors(rows.select("pos", "level", part), part).select("pos", "level", "ancestors")
-    full = hits.select("query_id", "pos").join(above, "pos")
+    full = written(hits.select("query_id", "pos").join(above, "pos"), "paths")
     way = full.select("query_id", F.explode("ancestors").alias("pos"), F.lit(False).alias("matched"))
     own = full.where("level <> 0").select("query_id", "pos", F.lit(mark).alias("matched"))
     return own.unionByName(way).groupBy("query_id", "pos").agg(F.max("matched").alias("matched"))

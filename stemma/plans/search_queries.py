@@ -87,6 +87,19 @@ def search_many(spark, d):
     return search.search(rows, queries.unionByName(blank), part="part").select("query_id", "pos")
 
 
+#: Each row's code and words as queries of their own, whole texts and pairs of pieces of words too; the text runs on both sides.
+NEEDLES = """SELECT DISTINCT q FROM (SELECT lower(english) AS q FROM idx UNION ALL SELECT lower(split_part(english, ' ', 1)) FROM idx UNION ALL SELECT lower(substr(english, 2, 9)) FROM idx
+  UNION ALL SELECT lower(substr(chinese, length(chinese) - 1, 3)) FROM idx UNION ALL SELECT concat(lower(substr(english, 1, 4)), 'q') FROM idx UNION ALL SELECT lower(substr(english, 1, 2)) FROM idx) n WHERE trim(q) = q AND q <> ''"""
+
+
+def search_index(spark, d):
+    """Thousands of phrases taken from the rows, by the index of pieces: hits of each."""
+    rows = _idx(spark, d)[0]
+    asked = spark.sql(NEEDLES.replace("FROM idx", "FROM {idx}"), idx=rows).select(F.col("q").alias("query_id"), F.col("q").alias("query"), F.lit("phrase").alias("mode"))
+    hits = search.search_texts(rows, asked, index=search.text_index(rows))
+    return hits.groupBy("query_id").agg(F.count("*").alias("n_rows"), F.min("pos").alias("first_pos"))
+
+
 def search_tree(spark, d):
     rows, queries = _idx(spark, d)
     return search.nested(rows, search.with_paths(rows, search.search(rows, queries, part="part"), "part"))
@@ -134,7 +147,7 @@ def node_children(spark, d):
     return below.select("node_id", row_id().alias("id"), "has_children", *[f.alias(f"is_{k}") for k, f in flags.items()])
 
 
-QUERIES = {f.__name__: f for f in (browse_root, search_code, search_phrase, search_any, search_fields, search_ranges, search_files, search_many, search_tree, search_tree_unmarked, search_counts, payload_json, node_positions, node_children)}
+QUERIES = {f.__name__: f for f in (browse_root, search_code, search_phrase, search_any, search_fields, search_ranges, search_files, search_many, search_index, search_tree, search_tree_unmarked, search_counts, payload_json, node_positions, node_children)}
 
 
 def _sql(select: str, more: str = "", recursive: bool = False) -> str:
@@ -166,6 +179,11 @@ kids AS (SELECT pos, coalesce(lead(level) OVER (ORDER BY pos) > level, false) AS
         "idx",
         "queries",
     ),
+    "search_index": with_views(
+        f"""needles AS ({NEEDLES}), blobs AS (SELECT pos, {BLOB} AS blob FROM idx)
+SELECT q AS query_id, count(*) AS n_rows, min(pos) AS first_pos FROM needles JOIN blobs ON contains(blob, q) WHERE NOT regexp_full_match(q, '\\d+(\\.\\d+)?') GROUP BY q""",
+        "idx",
+    ),
     "search_many": _sql("SELECT query_id, pos FROM hits UNION ALL SELECT 10, pos FROM idx WHERE level = 0"),
     "search_tree": _sql("SELECT * FROM edges", f", {WAY}, {EDGES}", recursive=True),
     "search_tree_unmarked": _sql("SELECT * REPLACE (false AS matched) FROM edges", f", {WAY}, {EDGES}", recursive=True),
