@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.functions.text import DATA_COLUMNS, csv_line, extract_references, normalize_code, parse_int, parse_text, row_id, strip
-from stemma.operators.edits import page_files
+from stemma.operators.edits import covering, page_files
 
 NAME = r"index-extraction-(\d+)-(\d+)\.csv$"
 #: The edit loader leaves wider files out: they repeat the pages of others.
@@ -170,7 +170,8 @@ def load_code_pages(spark: SparkSession, path: str, page_min: int = PAGE_MIN, pa
 
 def file_lines(state: DataFrame, files: DataFrame) -> DataFrame:
     """(name, page, ord, uid, value): canonical lines of active rows, by the page ranges of files; others go nowhere."""
-    routed = state.where("not deleted").join(files.select("name", F.explode(F.sequence("start_page", "end_page")).alias("page")), "page")
+    active = state.where("not deleted")
+    routed = active.join(covering(active, files).select("page", "name"), "page")
     return routed.select("name", "page", "ord", "uid", csv_line().alias("value"))
 
 
