@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions.text import code_key, normalize_code
+from stemma.operators.asof import last_before
 from stemma.sources.scratch import written
 
 TOP = 10
@@ -50,24 +51,12 @@ def _exact(wanted: DataFrame, keyed_map: DataFrame, top: int, by: tuple[str, ...
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*by, "code_norm", "rank", "page", "code", "row_type")
 
 
-def boundary_intervals(code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(major, low, high, page, code) of disjoint key ranges, cut at each major code: [low, high) has its as-of boundary.
-
-    The window runs over one row for each page of a book.
-    """
-    ends = page_boundaries(code_map, by).groupBy(*by, "code_key").agg(F.min(F.struct("page", "code")).alias("at"))
-    order = Window.partitionBy(*by).orderBy("code_key")
-    open_ = ends.select(*by, F.col("code_key").alias("low"), F.lead("code_key").over(order).alias("next"), "at.page", "at.code")
-    # majors have two digits: the last range goes on to 99
-    majors = F.sequence((F.col("low") / 1000).cast("int"), F.coalesce(((F.col("next") - 1) / 1000).cast("int"), F.lit(99)))
-    cut = open_.select(*by, "low", "next", "page", "code", F.explode(majors).alias("major"))
-    return cut.select(*by, "major", F.greatest("low", F.col("major") * 1000).alias("low"), F.least(F.coalesce("next", F.lit(100_000)), (F.col("major") + 1) * 1000).alias("high"), "page", "code")
-
-
 def _asof(wanted: DataFrame, keyed_map: DataFrame, by: tuple[str, ...]) -> DataFrame:
     rest = wanted.join(keyed_map.select(*by, "code_norm"), [*by, "code_norm"], "left_anti").where("code_key is not null")
-    within = rest.withColumn("major", (F.col("code_key") / 1000).cast("int")).join(boundary_intervals(keyed_map, by), [*by, "major"])
-    return within.where((F.col("code_key") >= F.col("low")) & (F.col("code_key") < F.col("high"))).select(*by, "code_norm", "page", "code", F.lit(BOUNDARY).alias("row_type"))
+    # of boundaries with one key the smaller page counts
+    at = page_boundaries(keyed_map, by).select(*by, "code_key", F.struct("page", "code").alias("at"))
+    found = rest.join(last_before(rest, at, "code_key", "at", by), [*by, "code_key"])
+    return found.select(*by, "code_norm", "at.page", "at.code", F.lit(BOUNDARY).alias("row_type"))
 
 
 def asof_pages(codes: DataFrame, code_map: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import text as T
 from stemma.operators import codes
+from stemma.operators.asof import last_before
 from stemma.plans.views import view, with_views
 from stemma.sources import batches, payloads
 from stemma.sources.scratch import scratch
@@ -58,6 +59,13 @@ def code_page_hits(spark, d):
     return codes.page_hits(book_rows(spark, d), book_map(spark, d), BOOK)
 
 
+def asof_text_keys(spark, d):
+    """The last English text of the row's level at or before each Chinese one and each code, in the order of letters."""
+    rows = view(spark, d, "idx").select("level", F.explode(F.array("chinese", "code", "english")).alias("key"))
+    marks = view(spark, d, "idx").where("page % 3 = 1").select("level", F.col("english").alias("key"), F.col("pos").alias("mark"))
+    return last_before(rows, marks, "key", "mark", ("level",))
+
+
 #: Codes as they are typed: padded, with blanks inside, or missing; the text runs on both sides.
 TYPED = "CASE CAST(pos % 6 AS INT) WHEN 0 THEN concat('　', code, ' ') WHEN 1 THEN concat(substr(code, 1, 1), ' ', substr(code, 2)) WHEN 2 THEN NULL ELSE code END"
 
@@ -160,7 +168,7 @@ SELECT name AS source_file, CAST(1 + row_number() OVER (PARTITION BY name ORDER
 ROUNDTRIP_SQL = f"""written AS (SELECT i.* REPLACE ({BROKEN} AS english), f.name FROM idx i JOIN files f ON i.page BETWEEN f.start_page AND f.end_page WHERE f.start_page % 3 <> 0)
 SELECT name AS source_file, CAST(1 + row_number() OVER (PARTITION BY name ORDER BY page, source_line) AS INT) AS source_line, page, level, chinese, english, code FROM written"""
 
-QUERIES = {f.__name__: f for f in (code_keys, page_boundaries, code_page_exact, code_page_asof, code_page_hits, code_page_payload, parse_values, row_ids, tree_preview, csv_lines, batch_discovery, load_code_map, write_roundtrip, save_in_place)}
+QUERIES = {f.__name__: f for f in (code_keys, page_boundaries, code_page_exact, code_page_asof, code_page_hits, code_page_payload, asof_text_keys, parse_values, row_ids, tree_preview, csv_lines, batch_discovery, load_code_map, write_roundtrip, save_in_place)}
 
 ORACLE_SQL = {
     "code_keys": with_views(f"{KEYED} SELECT pos, code_norm, code_key FROM keyed", "idx", "code_map"),
@@ -174,6 +182,13 @@ FROM keyed k LEFT JOIN hits h ON h.book = k.book AND h.code_norm = k.code_norm L
         "idx",
         "code_map",
     ),
+    "asof_text_keys": with_views(
+        """asked AS (SELECT DISTINCT level, key FROM (SELECT level, chinese AS key FROM idx UNION ALL SELECT level, code FROM idx UNION ALL SELECT level, english FROM idx) a),
+marks AS (SELECT level, english AS key, min(pos) AS mark FROM idx WHERE page % 3 = 1 GROUP BY level, english),
+best AS (SELECT a.level, a.key, max(m.key) AS at FROM asked a JOIN marks m ON m.level = a.level AND m.key <= a.key GROUP BY a.level, a.key)
+SELECT b.level, b.key, m.mark FROM best b JOIN marks m ON m.level = b.level AND m.key = b.at""",
+        "idx",
+    ),
     "code_page_hits": with_views(
         f"""{KEYED}, {NEAR} SELECT book, code_norm, CAST(rank AS INT) AS rank, page, code, row_type FROM exact WHERE rank <= 10
 UNION ALL SELECT DISTINCT k.book, k.code_norm, 1, a.page, a.code, 'page_boundary' FROM near a JOIN keyed k USING (pos)""",
