@@ -210,3 +210,15 @@ def subtree_rows(df: DataFrame, nodes: DataFrame, part: str) -> DataFrame:
     rows = _scanned(has_children(df, part), part, (), "chain")
     above = rows.withColumn("node", F.explode(F.transform("_up", lambda x: x["p"]))).drop("_up")
     return above.join(nodes.select("node").distinct(), "node", "left_semi")
+
+
+def enclosing(df: DataFrame, at: DataFrame, part: str) -> DataFrame:
+    """(pos), distinct: the rows whose subtree holds a row of at(pos) or ends at it, those of `at` left out unless they do too.
+
+    These are the row before it and all rows on that one's way up.
+    """
+    df, part = numbered_part(df.select("pos", "level", part), part)
+    numbered = written(with_ordinal(df, part), "ordinals")
+    before = numbered.join(at.select("pos").distinct(), "pos").select((F.col("ord") - 1).alias("ord"))
+    ways = _scanned(numbered, part, (), "chain").join(before, "ord")
+    return ways.select(F.explode(F.concat(F.array("pos"), F.transform("_up", lambda x: x["p"]))).alias("pos")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.text import extract_references, followed, is_code_query, strip
-from stemma.operators.outline import with_subtree_end
+from stemma.operators.outline import enclosing, with_subtree_end
 from stemma.operators.pieces import holding, index_texts
 from stemma.operators.search import SENT_QUERIES, containing
 from stemma.sources.scratch import written
@@ -19,6 +19,8 @@ from stemma.sources.scratch import written
 HEAD_ENDS = " ,-/()—"
 #: Rows in a stretch of the outline, the unit in which subtrees are joined.
 STRETCH = 256
+#: The stages of the cascade in their order.
+STAGES = ("exact", "prefix", "path", "ordered", "trailing_code")
 
 
 def references(rows: DataFrame) -> DataFrame:
@@ -158,14 +160,61 @@ def resolve(rows: DataFrame, targets: DataFrame, part: str = "source_file") -> D
     code = is_code_query("target")
     rest, terms = written(rest, "targets"), written(term_index(rows), "terms")
     left = lambda t, hits: t.join(hits.select("target").distinct(), "target", "left_anti")
-    for stage, find, ready in (
-        ("exact", lambda r, t: locate_exact(r, t, terms), F.lit(True)),
-        ("prefix", lambda r, t: locate_prefix(r, t, terms), ~code),
-        ("path", lambda r, t: locate_path(r, t, part, terms), ~code),
-        ("ordered", locate_ordered, ~code),
-        ("trailing_code", locate_trailing_code, ~code),
-    ):
+    finds = (lambda r, t: locate_exact(r, t, terms), lambda r, t: locate_prefix(r, t, terms), lambda r, t: locate_path(r, t, part, terms), locate_ordered, locate_trailing_code)
+    for stage, find in zip(STAGES, finds):
+        ready = F.lit(True) if stage == "exact" else ~code
         hits = written(find(rows, rest.where(ready)), stage)
         out = out.unionByName(hits.select("target", F.lit(stage).alias("stage"), "pos"))
         rest = written(left(rest, hits), "targets")
     return out.unionByName(rest.select("target", F.lit("none").alias("stage"), F.lit(None).cast(rows.schema["pos"].dataType).alias("pos")))
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(pos, reads, level, chinese, english, code): both versions of each row that is new, gone or changed, as far as it has them.
+
+    `reads`: more than the level changed. Rows are told by pos: one that moves is gone at one pos and new at another.
+    """
+    version = lambda df, name: df.select("pos", F.struct("level", "chinese", "english", "code").alias(name))
+    both = version(before, "_old").join(version(after, "_new"), "pos", "full").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    same = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    for c in ("chinese", "english", "code"):
+        same &= F.col("_old")[c].eqNullSafe(F.col("_new")[c])
+    return both.select("pos", (~same).alias("reads"), F.inline(F.array_compact(F.array("_old", "_new"))))
+
+
+def stale_targets(before: DataFrame, after: DataFrame, resolved: DataFrame, part: str = "source_file") -> DataFrame:
+    """(target) of those resolved(target, stage, pos) in the rows `before` whose answer in `after` may be another.
+
+    A stage's answer depends on few rows: those with the text, prefix or code, those that hold all parts in order, and
+    for a path the subtrees of its heads. So the changed versions, old and new, go through the stages as if they were
+    all rows, and whom they answer is stale. A head's subtree is another only where a changed row lies in it or ends it,
+    before or after. What comes behind the stage that answered is not looked at.
+    """
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage")), F.lit(0))
+    asked = resolved.where("stage <> 'ignored'").select("target", F.when(rank > 0, rank).otherwise(len(STAGES)).alias("_last")).distinct()
+    asked, changed = written(asked, "asked"), written(changes(before, after), "changes")
+    upto = lambda stage: asked.where(F.col("_last") >= STAGES.index(stage) + 1).select("target")
+    read = changed.where("reads").drop("reads")
+    text = lambda stage: upto(stage).where(~is_code_query("target"))
+    found = [locate_exact(read, upto("exact")), locate_prefix(read, text("prefix")), locate_ordered(read, text("ordered")), locate_trailing_code(read, text("trailing_code"))]
+    paths = _paths(text("path"))
+    for rows in (before, after):
+        near = enclosing(rows, changed, part).unionByName(changed.select("pos")).distinct()
+        found.append(_heads(rows, paths, written(term_index(rows.join(near, "pos", "left_semi")), "terms")))
+    out = found[0].select("target")
+    for hits in found[1:]:
+        out = out.unionByName(hits.select("target"))
+    return out.distinct()
+
+
+def resolve_again(before: DataFrame, after: DataFrame, resolved: DataFrame, targets: DataFrame, part: str = "source_file") -> DataFrame:
+    """resolve(after, targets), given what `resolve` found before: only stale and new targets go through the cascade.
+
+    A row keeps its pos between the two; new rows have a pos between their neighbours'. Answers of targets that are no
+    longer asked for are left out.
+    """
+    known = written(resolved.join(targets.distinct(), "target", "left_semi"), "known")
+    stale = stale_targets(before, after, known, part)
+    fresh = targets.distinct().join(known.select("target").distinct(), "target", "left_anti")
+    again = written(fresh.unionByName(stale), "again")
+    return known.join(again, "target", "left_anti").unionByName(resolve(after, again, part))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from stemma.functions.text import reference_spans
 from stemma.operators import references as R
 from stemma.plans.views import view, with_views
+from stemma.sources.scratch import written
 
 REFS = r"""found AS (
   SELECT pos, 'zh' AS lang, unnest(regexp_extract_all(chinese, '(?:[-（(]?\s*)(另见|见)\s*([^；;\n]+)', 1)) AS kind, unnest(regexp_extract_all(chinese, '(?:[-（(]?\s*)(另见|见)\s*([^；;\n]+)', 2)) AS target FROM idx
@@ -99,6 +102,25 @@ def resolve_references(spark, d):
     return R.resolve(rows, R.targets_of(R.references(rows)), "part")
 
 
+#: The rows before and after edits of some pages: rows gone, new, at another level, with another text or code. The texts run on both sides.
+BEFORE = "SELECT pos, page, level, chinese, english, code, source_file, source_line FROM idx WHERE NOT (page % 11 = 3 AND pos % 9 = 2)"
+AFTER = """SELECT pos, page, CASE WHEN page % 11 = 3 AND pos % 9 = 4 THEN level + 1 WHEN page % 11 = 3 AND pos % 9 = 5 THEN 1 ELSE level END AS level, chinese,
+ CASE WHEN page % 11 = 3 AND pos % 9 = 7 THEN concat('graft of ', english) ELSE english END AS english,
+ CASE WHEN page % 11 = 3 AND pos % 9 = 8 THEN '' ELSE code END AS code, source_file, source_line
+FROM idx WHERE NOT (page % 11 = 3 AND pos % 9 = 1)"""
+
+
+def _edition(rows, text):
+    return rows.sparkSession.sql(text.replace("FROM idx", "FROM {idx}"), idx=rows).join(rows.select("pos", "part"), "pos")
+
+
+def resolve_again(spark, d):
+    """References after edits of some pages, from those before."""
+    before, after = (_edition(_rows(spark, d), text) for text in (BEFORE, AFTER))
+    found = written(R.resolve(before, R.targets_of(R.references(before)), "part"), "resolved")
+    return R.resolve_again(before, after, found, R.targets_of(R.references(after)), "part")
+
+
 def _deep_targets(rows):
     """Targets of three parts: two English words and the Chinese text, in two orders, and those with a part that is nowhere."""
     a, b, c = F.split_part("english", F.lit(" "), F.lit(1)), F.split_part("english", F.lit(" "), F.lit(2)), F.replace("chinese", F.lit("术"), F.lit(""))
@@ -117,7 +139,7 @@ def locate_deep_ordered(spark, d):
     return R.locate_ordered(rows, _deep_targets(rows))
 
 
-QUERIES = {f.__name__: f for f in (locate_deep_path, locate_deep_ordered, extract_refs, followable_refs, ref_spans, term_index, locate_exact, locate_prefix, locate_path, locate_ordered, locate_trailing_code, resolve_references)}
+QUERIES = {f.__name__: f for f in (locate_deep_path, locate_deep_ordered, extract_refs, followable_refs, ref_spans, term_index, locate_exact, locate_prefix, locate_path, locate_ordered, locate_trailing_code, resolve_references, resolve_again)}
 
 RESOLVED = """stages AS (SELECT target, 'exact' AS stage, pos, 1 AS k FROM exact UNION ALL SELECT target, 'prefix', pos, 2 FROM prefix UNION ALL SELECT target, 'path', pos, 3 FROM path
   UNION ALL SELECT target, 'ordered', pos, 4 FROM ordered UNION ALL SELECT target, 'trailing_code', t.pos, 5 FROM tail_code t JOIN targets USING (target) WHERE NOT is_code),
@@ -161,3 +183,4 @@ ORACLE_SQL = {
         "resolve_references": RESOLVED,
     }.items()
 }
+ORACLE_SQL["resolve_again"] = with_views(re.sub(r"\bidx\b", "after_edits", f"{REFS}, {RESOLVED}").replace("found AS", f"after_edits AS ({AFTER}), found AS", 1), "idx")
