@@ -4,8 +4,11 @@ A source's documents are all due target / size copies on average. The whole part
 inclusion probability. The flight phase moves the probabilities of a block along the null space of two constraints (the
 source's token total and document total), in the direction that moves the longest open document most, until one of them
 is 0 or 1. It runs in blocks of bounded size, each of which leaves at most two documents undecided; these meet in fewer
-blocks at the next level, until one block a source is left. Its last two documents land by probabilities that keep both
-expectations and miss the document total by less than one. So every document keeps its inclusion probability.
+blocks at the next level, until one block a source is left. There the flight stops when LAST documents are open. They
+land by a linear programme over those of their subsets that miss the document total by less than one and the source's
+target by NEAR of it at most (the nearest one, if none does): the design that changes inclusion probabilities least, and
+of such designs the one of least expected squared miss of the token total, is drawn from. So documents of sources with
+many more than LAST keep their probabilities; where a few long ones make the source, its total goes before them.
 
 Null texts have size 0. A null source is a source of its own, the last in order. Repeated rows are drawn one by one.
 Draws depend on doc_id, text and source only, so reruns agree. Empty tables give empty results.
@@ -22,6 +25,12 @@ from stemma.llm.common import WORD, documents, row_keys, saved, unused
 
 #: Rows in a block of the flight phase.
 BLOCK = 1024
+#: Open documents of a source that land together, out of 2 ** LAST subsets.
+LAST = 12
+#: Part of its target that a source may miss while probabilities are kept.
+NEAR = 0.005
+#: Price of a changed probability, beside that of a squared miss in longest documents.
+CHANGED = 1e4
 #: Repeats of one row that are counted out at a time.
 REPEATS = 100_000
 
@@ -43,13 +52,48 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     return top.select("source", "n_rows", "source_size", F.when(F.col("level").isNull() | (F.col("level") * F.col("w") > cap * F.col("source_size")), cap * F.col("source_size")).otherwise(F.col("level") * F.col("w")).cast("double").alias("target"))
 
 
-def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
-    """Move probabilities to 0 or 1, keeping sum(p) and sum(size * p); at most two stay open, none if land."""
+def land(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, near: float = np.inf) -> np.ndarray:
+    """0 or 1 for each of a few open documents: a draw from the best design over subsets that miss the words due by `near` at most.
+
+    A design gives each subset a chance. Its chances of document k and p[k] differ by what two more columns take, at a
+    price. The simplex method starts from the nearest subset alone; where it ends, the chances are those drawn from.
+    """
+    m = len(p)
+    if not m:
+        return p.copy()
+    subsets = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+    words = subsets @ size - size @ p
+    whole = np.abs(subsets.sum(1) - p.sum()) < 1 - 1e-9
+    allowed = whole & (np.abs(words) <= max(near, np.abs(words[whole]).min()))
+    subsets, words = subsets[allowed], words[allowed]
+    n, nearest = len(subsets), int(np.abs(words).argmin())
+    columns = np.hstack([np.vstack([subsets.T, np.ones(n)]), np.vstack([np.hstack([np.eye(m), -np.eye(m)]), np.zeros(2 * m)])])
+    due = np.append(p, 1.0)
+    cost = np.concatenate([(words / max(1.0, size.max())) ** 2, np.full(2 * m, CHANGED)])
+    basis = np.append(n + np.arange(m) + m * (subsets[nearest] > 0), nearest)
+    for step in range(10_000):
+        chosen = columns[:, basis]
+        reduced = cost - np.linalg.solve(chosen.T, cost[basis]) @ columns
+        better = np.flatnonzero(reduced < -1e-7)
+        if not len(better):
+            break
+        # the steepest first; the first of all, which cannot cycle, when that has not ended
+        enters = better[0] if step > 500 else reduced.argmin()
+        chance, change = np.linalg.solve(chosen, due), np.linalg.solve(chosen, columns[:, enters])
+        ratio = np.where(change > 1e-9, np.maximum(chance, 0) / np.where(change > 1e-9, change, 1), np.inf)
+        tied = np.flatnonzero(ratio <= ratio.min() + 1e-12)
+        basis[tied[basis[tied].argmin()]] = enters
+    chance = np.where(basis < n, np.maximum(np.linalg.solve(columns[:, basis], due), 0), 0).cumsum()
+    return subsets[basis[int((chance > rng.random() * chance[-1] * (1 - 1e-12)).argmax())]]
+
+
+def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, last: bool = False, near: float = np.inf) -> np.ndarray:
+    """Move probabilities to 0 or 1, keeping sum(p) and sum(size * p); at most two stay open. If last, the last LAST land instead."""
     p, eps = p.astype(float).copy(), 1e-9
     p[p <= eps], p[p >= 1 - eps] = 0.0, 1.0
     free = np.flatnonzero((p > 0) & (p < 1))
     free = free[np.argsort(-size[free], kind="stable")]
-    while m := len(free):
+    while (m := len(free)) > (LAST if last else 0):
         z = size[free] - size[free].mean()
         # what is left of each unit vector in the null space of (1, size); the first one's is taken unless nothing is left
         scale = z @ z
@@ -71,18 +115,16 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool =
         q[q <= eps], q[q >= 1 - eps] = 0.0, 1.0
         p[free] = q
         free = free[(q > 0) & (q < 1)]
-    if land and len(free):
-        # one draw for both: none or one of them if they sum to one at most, one or both otherwise
-        draw, ends = rng.random(), np.cumsum(p[free])
-        p[free] = [float(draw < ends[0]), float(ends[0] <= draw < ends[-1] or draw < ends[-1] - 1)][: len(free)]
+    if last:
+        p[free] = land(size[free], p[free], rng, near)
     return p
 
 
-def _flight(land: bool, columns: list[str]):
+def _flight(last: bool, columns: list[str]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(z=-rows["size"]).sort_values(["z", "h", "k1", "k2", "nth"], kind="stable", ignore_index=True)
         seed = [int(rows["h"].iloc[0]) & 0x7FFFFFFFFFFFFFFF, int(rows["h"].iloc[-1]) & 0x7FFFFFFFFFFFFFFF, len(rows)]
-        return rows.assign(p=fly(rows["size"].to_numpy(np.float64), rows["p"].to_numpy(), np.random.default_rng(seed), land))[columns]
+        return rows.assign(p=fly(rows["size"].to_numpy(np.float64), rows["p"].to_numpy(), np.random.default_rng(seed), last, NEAR * rows["target"].iloc[0]))[columns]
 
     return run
 
@@ -107,13 +149,13 @@ def _drawn(docs: DataFrame, weights, share: float, cap: float) -> DataFrame:
     most = targets.agg(F.max(F.ceil(F.col("n_rows") / BLOCK))).first()[0] or 1
     done, todo, level = None, rows, 0
     while True:
-        land = most <= 1
+        last = most <= 1
         todo = todo.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks")))
-        flown = todo.groupBy("source", "block").applyInPandas(_flight(land, columns), schema)
+        flown = todo.groupBy("source", "block").applyInPandas(_flight(last, columns), schema)
         flown = saved(flown, "flight")
         decided = flown.where("p = 0 or p = 1")
         done = decided if done is None else done.unionByName(decided)
-        if land:
+        if last:
             break
         # a block leaves two rows at most
         todo = flown.where("p > 0 and p < 1").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("blocks") * 2 / BLOCK)))

@@ -221,6 +221,43 @@ def test_flight_keeps_totals_and_leaves_two_open(monkeypatch):
     assert all(set(q) <= {0.0, 1.0} and abs(q.sum() - p.sum()) < 1 and abs(q @ size - p @ size) < size.max() for q in landed)
 
 
+def nearest_subset(size, p):
+    """Least miss of the words due by subsets that miss the documents due by less than one."""
+    subsets = [[i >> k & 1 for k in range(len(p))] for i in range(1 << len(p))]
+    return min(abs(float(np.dot(s, size) - np.dot(size, p))) for s in subsets if abs(sum(s) - sum(p)) < 1 - 1e-9)
+
+
+def test_landing_is_the_design_that_changes_least():
+    size = np.array([270.0, 60, 50, 40, 30, 8])
+    for p in (np.full(6, 0.54), np.array([0.9, 0.1, 0.3, 0.3, 0.7, 0.2]), np.full(6, 0.5)):
+        free = np.array([mixing.land(size, p, np.random.default_rng(k)) for k in range(3000)])
+        assert np.abs(free.mean(0) - p).max() < 0.04 and (np.abs(free.sum(1) - p.sum()) < 1).all()
+        for near in (0.0, 25.0, 90.0):
+            landed = [mixing.land(size, p, np.random.default_rng(k), near) for k in range(40)]
+            assert all(abs(q @ size - p @ size) <= max(near, nearest_subset(size, p)) + 1e-6 and abs(q.sum() - p.sum()) < 1 for q in landed)
+    # {0} and {1, 2} miss nothing: chances of one half each change no probability, and no other design over them is as good
+    landed = np.array([mixing.land(np.array([2.0, 1, 1]), np.full(3, 0.5), np.random.default_rng(k), 0.0) for k in range(2000)])
+    assert {tuple(q) for q in landed} == {(1, 0, 0), (0, 1, 1)} and np.abs(landed.mean(0) - 0.5).max() < 0.05
+    assert list(mixing.land(np.zeros(0), np.zeros(0), np.random.default_rng(0))) == []
+
+
+def test_small_sources_meet_their_targets(spark):
+    r = np.random.default_rng(9)
+    docs = [(i, " ".join(["w"] * int(r.lognormal(4, 1.2))), f"s{i % 6}") for i in range(60)]
+    of = {}
+    for x in mixing.mix(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect():
+        of.setdefault(x["source"], []).append(x)
+    missed = 0
+    for found in of.values():
+        size, target = np.array([x["size"] for x in found]), found[0]["target"]
+        ratio = target / size.sum()
+        bound = max(mixing.NEAR * target, nearest_subset(size, np.full(len(size), ratio % 1)) if ratio % 1 else 0)
+        assert abs(sum(x["taken"] for x in found) - target) <= bound + 1e-6
+        assert abs(sum(x["copies"] for x in found) - len(found) * ratio) < 1 and all(x["copies"] in (0, 1, 2) for x in found)
+        missed += bound > 0
+    assert missed >= 3
+
+
 def test_mixed_rows(make):
     docs = make([prose(i, 50) for i in range(60)])
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}

@@ -119,8 +119,8 @@ def test_long_texts_are_cut_into_pieces(make, monkeypatch):
         assert texts[doc].encode()[at : at + substring_dedup.GRAM] in grams
 
 
-def brute_terms(rows):
-    """Spans of each row, base ones first, then terms, by the formula over all documents."""
+def brute_terms(rows, least=pii.GENERALISE):
+    """Spans of each row, base ones first, then terms of that disclosure at least, by the formula over all documents."""
     from math import log2
 
     held, terms = [], []
@@ -154,7 +154,7 @@ def brute_terms(rows):
         for w, a, b in terms[i]:
             for e in sorted(entities):
                 both = of_entity[e] & docs_of[w]
-                if two(of_entity[e]) and len(of_entity[e]) < n and two(both) and log2(n * len(both) / (len(docs_of[w]) * len(of_entity[e]))) / log2(n / len(of_entity[e])) >= pii.GENERALISE:
+                if two(of_entity[e]) and len(of_entity[e]) < n and two(both) and log2(n * len(both) / (len(docs_of[w]) * len(of_entity[e]))) / log2(n / len(of_entity[e])) >= least:
                     spans.append(("term", a, b))
                     break
         out.append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
