@@ -148,11 +148,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Net:
-    """Train on at most sample_rows labelled rows that are not held out, picked by a hash of doc_id."""
-    picked = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    """Train on at most sample_rows labelled rows that are not held out, picked by a hash of doc_id among those with a text of at most sample_bytes."""
+    labelled = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     text = F.coalesce("text", F.lit(""))
     short = docs.select("doc_id", text.alias("text")).where(F.octet_length(text) <= sample_bytes)
+    picked = labelled.join(short.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return train([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], np.float32))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -268,6 +269,18 @@ def test_mixed_rows(make):
     assert got == want and out.columns == docs.columns
 
 
+def test_classifier_sample_is_filled_from_short_texts(make, spark, monkeypatch):
+    docs = make(["long " * 50 if i % 2 else f"short {i}" for i in range(80)] + [None])
+    labels = spark.createDataFrame([(i, i % 3 % 2, 0) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    learned = []
+    monkeypatch.setattr(quality_classifier, "train", lambda texts, of: learned.append((texts, list(of))))
+    short = [i for i in range(0, 81, 2) if zlib.crc32(str(i).encode()) % 5]
+    for n in (10, 1000):
+        quality_classifier.fit(docs, labels, n, 100)
+        texts, of = learned.pop()
+        assert len(texts) == len(of) == min(n, len(short)) and all(len(t) < 100 for t in texts)
+
+
 def test_classifier_learns_and_scores_alike(make, spark):
     texts = [prose(i, 80) if i % 3 else " ".join(w.upper() + "!!" for w in prose(i, 60).split()) for i in range(300)]
     docs = make([*texts, None, "", texts[0], "x" * 5000])
