@@ -71,3 +71,13 @@ def test_children_of_nodes(spark):
         got.setdefault(r["query_id"], []).extend(json.loads(r["payload"])["children"])
     assert [(r["english"], r["matched"], r["parent_id"], r["has_children"]) for r in got["a"]] == [("hip -see Joint", True, None, True), ("left", False, "1-2-f.csv-2", False)]
     assert got["b"] == got["a"] and got["leaf"] == got["lost"] == [] and len(got["letter"]) == 6
+
+
+def test_only_given_nodes_are_known(spark):
+    """An id of a row that is no node is unknown, as is one of no row."""
+    rows = frame(spark)
+    asked = spark.createDataFrame([("a", "1-1-f.csv-1"), ("b", "1-2-f.csv-2"), ("c", "1-1-f.csv-10")], "query_id string, id string")
+    rows = rows.withColumn("page", F.lit(1))
+    count = lambda **kw: {r["query_id"]: len(json.loads(r["payload"])["children"]) for r in payloads.children_payload(asked, rows, "part", **kw).collect()}
+    assert count() == {"a": 2, "b": 1, "c": 0}
+    assert count(nodes=rows.where("level <= 1")) == {"a": 2, "b": 0, "c": 0}
