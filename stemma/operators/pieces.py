@@ -4,7 +4,7 @@ A text's pieces are its distinct substrings of one, two and three characters. Th
 second one of how many texts hold each, so a probe moves needles to the buckets and never the postings of pieces
 that nobody asks for. A needle of up to three characters is a piece itself; a longer one is looked up by its two
 rarest pieces, whose postings are intersected, and only the texts that remain are read. A needle with a piece that no text
-has is done without a posting.
+has is done without a posting. Texts that many rows share are cut once: postings name the first row of each text.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ LENGTHS = (1, 2, 3)
 
 @dataclass(frozen=True)
 class PieceIndex:
-    texts: DataFrame  #: (pos, _text)
-    postings: DataFrame  #: (piece, pos), bucketed by piece
+    texts: DataFrame  #: (pos, _text): each distinct text and the first row that has it
+    rows: DataFrame  #: (pos, first): each row and the first one with its text
+    postings: DataFrame  #: (piece, pos) of distinct texts, bucketed by piece
     counts: DataFrame  #: (piece, n), bucketed by piece
 
 
@@ -42,13 +43,25 @@ def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
 def index_texts(texts: DataFrame, buckets: int | None = None) -> PieceIndex:
     """The index of texts(pos, _text); buckets default to the number of shuffle partitions."""
     buckets = buckets or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = written(texts.select("pos", "_text"), "texts")
+    told = written(texts.select("pos", "_text"), "rows")
+    kept = written(told.groupBy("_text").agg(F.min("pos").alias("pos")), "texts")
+    rows = written(told.join(kept.withColumnRenamed("pos", "first").hint("merge"), "_text").select("pos", "first"), "first_rows")
     postings = _bucketed(kept.select(F.explode(F.concat(*[_cut("_text", n) for n in LENGTHS])).alias("piece"), "pos"), "pieces", buckets)
-    return PieceIndex(kept, postings, _bucketed(postings.groupBy("piece").agg(F.count("*").alias("n")), "piece_counts", buckets))
+    return PieceIndex(kept, rows, postings, _bucketed(postings.groupBy("piece").agg(F.count("*").alias("n")), "piece_counts", buckets))
 
 
 def holding(index: PieceIndex, needles: DataFrame) -> DataFrame:
-    """(_needle, pos): for each distinct _needle of needles the texts that hold it."""
+    """(_needle, pos): for each distinct _needle of needles the rows whose texts hold it."""
+    return rows_with(index, holding_texts(index, needles).withColumnRenamed("pos", "first")).select("_needle", "pos")
+
+
+def rows_with(index: PieceIndex, found: DataFrame) -> DataFrame:
+    """found(..., first) with the `pos` of all rows that have the text of the row `first`."""
+    return index.rows.join(found.hint("merge"), "first").drop("first")
+
+
+def holding_texts(index: PieceIndex, needles: DataFrame) -> DataFrame:
+    """(_needle, pos): as `holding`, with the first row of each text only."""
     asked = needles.select("_needle").where("_needle <> ''").distinct()
     longest = max(LENGTHS)
     pieces = F.when(F.length("_needle") <= longest, F.array("_needle")).otherwise(_cut("_needle", longest))

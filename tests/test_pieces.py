@@ -38,3 +38,12 @@ def test_search_and_paths_by_the_index_find_the_same(spark, monkeypatch):
     want = sorted(map(tuple, references.locate_path(rows, targets, "part").collect()))
     monkeypatch.setattr(references, "SENT_QUERIES", 0)
     assert sorted(map(tuple, references.locate_path(rows, targets, "part").collect())) == want != []
+
+
+def test_texts_of_many_rows_are_cut_once(spark):
+    texts = ["red ring", "blue bolt", "red ring"] * 20
+    index = pieces.index_texts(spark.createDataFrame(list(enumerate(texts)), "pos bigint, _text string"), 3)
+    assert index.texts.count() == 2 and index.postings.where("piece = 'red'").count() == 1
+    needles = spark.createDataFrame([("ring",), ("d r",), ("bolt",), ("none",)], "_needle string")
+    want = sorted((n, i) for n in ("ring", "d r", "bolt") for i, t in enumerate(texts) if n in t)
+    assert sorted(map(tuple, pieces.holding(index, needles).collect())) == want
