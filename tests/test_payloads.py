@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,15 @@ def test_only_given_nodes_are_known(spark):
     count = lambda **kw: {r["query_id"]: len(json.loads(r["payload"])["children"]) for r in payloads.children_payload(asked, rows, "part", **kw).collect()}
     assert count() == {"a": 2, "b": 1, "c": 0}
     assert count(nodes=rows.where("level <= 1")) == {"a": 2, "b": 0, "c": 0}
+
+
+def test_blocks_go_to_as_many_tasks_as_their_rows_need(spark, monkeypatch, capsys):
+    asked = spark.createDataFrame([(1, "Joint"), (2, "81"), (3, "nothing"), (4, "hip")], "query_id int, query string")
+    one = payloads.locate_payload(asked, frame(spark), "part", block_rows=1).collect()
+    monkeypatch.setattr(batches, "TASK_ROWS", 1)
+    many = payloads.locate_payload(asked, frame(spark), "part", block_rows=1)
+    many.explain()
+    tasks = {int(n) for n in re.findall(r"hashpartitioning\(query_id#\d+, kind#\d+, block#\d+, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)}
+    # one for each row of the answers and one more
+    assert tasks == {sum(len(json.loads(r["payload"])["rows"]) for r in one) + 1}
+    assert sorted(many.collect()) == sorted(one)
