@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stemma.functions.text import reference_spans
 from stemma.operators import references as R
 from stemma.plans.views import view, with_views
-from stemma.sources.scratch import written
+from stemma.sources.scratch import spread, written
 
 REFS = r"""found AS (
   SELECT pos, 'zh' AS lang, unnest(regexp_extract_all(chinese, '(?:[-（(]?\s*)(另见|见)\s*([^；;\n]+)', 1)) AS kind, unnest(regexp_extract_all(chinese, '(?:[-（(]?\s*)(另见|见)\s*([^；;\n]+)', 2)) AS target FROM idx
@@ -116,7 +116,7 @@ def _edition(rows, text):
 
 def resolve_again(spark, d):
     """References after edits of some pages, from those before."""
-    before, after = (_edition(_rows(spark, d), text) for text in (BEFORE, AFTER))
+    before, after = (spread(_edition(_rows(spark, d), text), "pos", "edition") for text in (BEFORE, AFTER))
     found = written(R.resolve(before, R.targets_of(R.references(before)), "part"), "resolved")
     return R.resolve_again(before, after, found, R.targets_of(R.references(after)), "part")
 
